@@ -213,8 +213,8 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All session events, and errors sent again with another text."""
     events = session_events(spark, sf_dir)
-    again = events.where(F.element_at("texts", 1).startswith("error ") & (F.col("app_name") == "shop")).withColumns(
-        {"arrival": F.lit(1), "texts": F.array(F.concat(F.lit("resent "), F.element_at("texts", 1)))}
+    again = events.where(F.get("texts", F.lit(0)).startswith("error ") & (F.col("app_name") == "shop")).withColumns(
+        {"arrival": F.lit(1), "texts": F.array(F.concat(F.lit("resent "), F.get("texts", F.lit(0))))}
     )
     return events.unionByName(again)
 

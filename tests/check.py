@@ -63,7 +63,7 @@ def main() -> int:
     arguments = sys.argv[1:]
     sf_dir = arguments.pop(0) if arguments and "/" in arguments[0] else "/root/testdata/sf0.01"
     spark = local_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     connection, queries, oracle = connect(sf_dir), entry.queries(), entry.oracle_sql()
     bad = 0
     for name in arguments or queries:
