@@ -76,28 +76,40 @@ def interval_seconds(value: Column) -> Column:
     return value.cast("decimal(18,6)").cast("double")
 
 
-def scalar_text(value: Column, data_type: T.DataType) -> Column:
-    """Plain text of a scalar as the sample grid shows it (null stays null)."""
-    if isinstance(data_type, T.BooleanType):
-        return F.when(value, F.lit("True")).when(~value, F.lit("False"))
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        double = value.cast("string").cast("double") if isinstance(data_type, T.FloatType) else value
-        finite = ~F.isnan(double) & (F.abs(double) != float("inf"))
-        return F.when(finite, number_text(double)).when(double.isNotNull(), F.lit("None"))
-    if isinstance(data_type, T.DecimalType):
-        return number_text(value.cast("double"))
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return iso_timestamp(value, isinstance(data_type, T.TimestampType))
+def raw_text_sql(name: str, data_type: T.DataType) -> str:
+    """SQL for a scalar column as text that ``shown_text`` can finish by its type."""
+    column = f"`{name}`"
+    if isinstance(data_type, T.TimestampType):
+        return f"date_format({column}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx\")"
     if isinstance(data_type, T.DayTimeIntervalType):
-        return number_text(interval_seconds(value))
+        return f"cast(cast({column} AS decimal(18,6)) AS string)"
     if isinstance(data_type, T.BinaryType):
-        return F.base64(value)
-    return value.cast("string")
+        return f"base64({column})"
+    return f"cast({column} AS string)"
 
 
-def format_cell(value: Column, data_type: T.DataType = T.StringType()) -> Column:
+def shown_text(raw: Column, kind: Column) -> Column:
+    """Raw text of a scalar as the sample grid shows it (null stays null).
+
+    ``kind`` is the type name; one expression serves all columns of a sample.
+    """
+    number = raw.try_cast("double")
+    numeric = kind.rlike("^(DOUBLE|FLOAT|DECIMAL|INTERVAL)")
+    finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
+    zoneless = F.replace(raw, F.lit(" "), F.lit("T"))
+    return (
+        F.when(numeric & finite, number_text(number))
+        .when(numeric & raw.isNotNull(), F.lit("None"))
+        .when(kind == "BOOLEAN", F.initcap(raw))
+        .when((kind == "TIMESTAMP_NTZ") & raw.contains("."), F.rpad(zoneless, 26, "0"))
+        .when(kind == "TIMESTAMP_NTZ", zoneless)
+        .when(kind == "TIMESTAMP", F.replace(raw, F.lit(".000000"), F.lit("")))
+        .otherwise(raw)
+    )
+
+
+def format_cell(text: Column) -> Column:
     """One sample value on one line: pipes escaped, capped, null as ``NULL``."""
-    text = scalar_text(value, data_type)
     one_line = strip(F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|")))
     return F.coalesce(clip(one_line, CELL_CHARS), F.lit("NULL"))
 

@@ -16,7 +16,8 @@ INPUT_CHARS = 8192 * 4 - 2000
 DOCUMENT_INSTRUCTION = "Represent this table so that questions about its data find it.\n\n"
 QUERY_INSTRUCTION = "Represent this question so that it finds the tables that answer it.\n\n"
 
-Embedder = Callable[[Column], Column]
+# Takes a list of texts, returns a matrix with a row for each.
+Embedder = Callable[[list[str]], object]
 
 
 def embed_input(text: Column, instruction: str = "", limit: int = INPUT_CHARS) -> Column:
@@ -51,41 +52,33 @@ def vector_status(vector: Column, dimensions: int) -> Column:
     )
 
 
-def checked(vector: Column, dimensions: int) -> Column:
-    """The vector; the job fails if its width is not ``dimensions``."""
-    status = vector_status(vector, dimensions)
-    failure = F.raise_error(F.concat(F.lit(f"vector of {dimensions} values expected: "), status))
-    return F.when(status == "ok", vector).otherwise(failure)
-
-
 def hashed_term_embedder(dimensions: int = DIMENSIONS) -> Embedder:
     """Offline embedder: counts of ASCII words by hash bucket.
 
     A word's bucket is the number given by the first eight hex digits of its
-    MD5, modulo the width. One Arrow pass, no shuffle; words are memoised per
-    batch.
+    MD5, modulo the width.
     """
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(texts):
         import hashlib
         import re
+        from collections import Counter
 
         import numpy as np
-        import pandas as pd
 
         word_pattern, buckets = re.compile("[A-Za-z0-9]+"), {}
 
         def bucket(word):
             if word not in buckets:
-                buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
+                buckets[word] = int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16) % dimensions
             return buckets[word]
 
-        def counts(text):
-            hits = [bucket(word.lower()) for word in word_pattern.findall(text)]
-            return np.bincount(np.array(hits, dtype="int64"), minlength=dimensions).astype("float64")
-
-        return pd.Series([None if text is None else counts(text) for text in texts])
+        matrix = np.zeros((len(texts), dimensions))
+        for row, text in enumerate(texts):
+            words = Counter(word_pattern.findall(text))
+            places = np.fromiter((bucket(word) for word in words), "int64", len(words))
+            np.add.at(matrix[row], places, np.fromiter(words.values(), "float64", len(words)))
+        return matrix
 
     return embed
 
@@ -96,13 +89,30 @@ def embed_column(
     output: str,
     embedder: Embedder,
     instruction: str = "",
-    dimensions: int | None = DIMENSIONS,
+    dimensions: int = DIMENSIONS,
 ) -> DataFrame:
-    """Add the unit vector of a text column; wrong widths fail the job."""
-    raw = "__raw_vector"
-    vector = F.col(raw) if dimensions is None else checked(F.col(raw), dimensions)
-    return (
-        df.withColumn(raw, embedder(embed_input(F.col(text), instruction)))
-        .withColumn(output, l2_normalize(vector))
-        .drop(raw)
-    )
+    """Add the unit vector of a text column; null text gives a null vector.
+
+    ``embedder`` takes a list of texts and returns a matrix with a row for each;
+    a matrix of another width fails the job. Rows stay where they are, so there
+    is nothing to put back in order.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def unit_vectors(inputs):
+        import numpy as np
+        import pyarrow as pa
+
+        known = np.asarray(inputs.is_valid())
+        texts = inputs.drop_null().to_pylist()
+        matrix = np.asarray(embedder(texts) if texts else np.zeros((0, dimensions)), "float64")
+        if matrix.shape != (len(texts), dimensions):
+            raise ValueError(f"embedder returned {matrix.shape}, expected {(len(texts), dimensions)}")
+        norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
+        matrix = np.divide(matrix, norms, out=matrix, where=norms > 0)
+        ends = np.cumsum(known * dimensions)
+        offsets = pa.array(np.concatenate(([0], ends)).astype("int32"))
+        mask = None if known.all() else pa.array(~known)
+        return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()), mask=mask)
+
+    return df.withColumn(output, unit_vectors(embed_input(F.col(text), instruction)))

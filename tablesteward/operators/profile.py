@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesteward.functions.text import format_cell, scalar_text
-from tablesteward.sources.tables import TableRef
+from tablesteward.functions.text import format_cell, raw_text_sql, shown_text
+from tablesteward.sources.tables import TableRef, each_table, with_schemas
 
 # Sampling size and the rules for representative values.
 SAMPLE_ROWS = 5
@@ -31,6 +31,12 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return frames[0]
 
 
+def array_sql(texts: list[str]) -> str:
+    """SQL for an array of string literals."""
+    quoted = [text.replace("\\", "\\\\").replace("'", "\\'") for text in texts]
+    return "array(" + ", ".join(f"'{text}'" for text in quoted) + ")"
+
+
 def iter_fields(schema: T.StructType, prefix: str = ""):
     """``(dotted path, field)``, parents first; arrays of structs are entered too."""
     for field in schema.fields:
@@ -54,7 +60,7 @@ def field_type(field: T.StructField) -> tuple[str, str]:
 def catalog_columns(spark: SparkSession, refs: list[TableRef]) -> DataFrame:
     """One row per column of every table, nested columns by dotted path."""
     rows = []
-    for ref in refs:
+    for ref in with_schemas(spark, refs):
         for ordinal, (path, field) in enumerate(iter_fields(ref.read(spark).schema), start=1):
             kind, mode = field_type(field)
             description = (field.metadata or {}).get("comment", "").strip()
@@ -73,107 +79,105 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*leaves)
 
 
-def value_bytes(value: Column, data_type: T.DataType) -> Column:
-    """Logical size of one value: UTF-8 length of text, else a fixed width."""
-    widths = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+FIXED_BYTES = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+
+
+def value_bytes_sql(value: str, data_type: T.DataType) -> str:
+    """SQL for the logical size of one value: UTF-8 length of text, else a fixed width."""
     if isinstance(data_type, (T.StringType, T.BinaryType)):
-        return F.octet_length(value)
+        return f"octet_length({value})"
     if isinstance(data_type, T.ArrayType):
-        fixed = widths.get(type(data_type.elementType), 8)
-        if isinstance(data_type.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
-            each = F.transform(value, lambda item: value_bytes(item, data_type.elementType).cast("bigint"))
-            return F.aggregate(each, F.lit(0).cast("bigint"), lambda total, n: total + F.coalesce(n, F.lit(0)))
-        return F.size(value) * F.lit(fixed)
+        inner = data_type.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+            each = f"coalesce({value_bytes_sql('x', inner)}, 0)"
+            return f"aggregate({value}, 0L, (total, x) -> total + {each})"
+        return f"size({value}) * {FIXED_BYTES.get(type(inner), 8)}"
     if isinstance(data_type, T.StructType):
-        sizes = [F.coalesce(value_bytes(value[f.name], f.dataType), F.lit(0)) for f in data_type.fields]
-        return reduce(Column.__add__, sizes)
+        return "(" + " + ".join(f"coalesce({value_bytes_sql(f'{value}.`{f.name}`', f.dataType)}, 0)" for f in data_type.fields) + ")"
     if isinstance(data_type, T.MapType):
-        entries = T.ArrayType(
-            T.StructType([T.StructField("key", data_type.keyType), T.StructField("value", data_type.valueType)])
-        )
-        return value_bytes(F.map_entries(value), entries)
-    return F.lit(widths.get(type(data_type), 8))
+        keys = value_bytes_sql(f"map_keys({value})", T.ArrayType(data_type.keyType))
+        return f"({keys} + {value_bytes_sql(f'map_values({value})', T.ArrayType(data_type.valueType))})"
+    return f"if({value} IS NULL, NULL, {FIXED_BYTES.get(type(data_type), 8)})"
 
 
 def column_logical_bytes(spark: SparkSession, refs: list[TableRef]) -> DataFrame:
     """Rows and logical bytes of each top-level column; one scan per table.
 
-    Fixed-width columns cost a count; only text columns are measured.
+    Fixed-width columns cost a count; only the others are measured.
     """
-    per_table = []
-    for ref in refs:
+    def totals(ref: TableRef) -> DataFrame:
         df = ref.read(spark)
-        sums = []
-        for field in df.schema.fields:
-            column = F.col(f"`{field.name}`")
-            size = value_bytes(column, field.dataType)
-            variable = isinstance(field.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType))
-            total = F.sum(size) if variable else F.count(column) * size
-            sums.append(F.coalesce(total, F.lit(0)).cast("bigint"))
-        entries = [
-            F.struct(
-                F.lit(ordinal).alias("ordinal"),
-                F.lit(field.name).alias("column"),
-                F.lit(field_type(field)[0]).alias("type"),
-                F.lit(field_type(field)[1]).alias("mode"),
-                size.alias("logical_bytes"),
-            )
-            for ordinal, (field, size) in enumerate(zip(df.schema.fields, sums), start=1)
-        ]
-        totals = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*entries).alias("columns"))
-        per_table.append(
-            totals.select(F.lit(ref.table_id).alias("table_id"), "rows", F.inline("columns"))
+        fields, sums = df.schema.fields, []
+        for f in fields:
+            if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+                total = f"coalesce(sum({value_bytes_sql(f'`{f.name}`', f.dataType)}), 0L)"
+            else:
+                total = f"count(`{f.name}`) * {FIXED_BYTES.get(type(f.dataType), 8)}"
+            sums.append(f"cast({total} AS bigint)")
+        return df.selectExpr(
+            f"{array_sql([ref.table_id])}[0] AS table_id",
+            "count(1) AS rows",
+            f"{array_sql([f.name for f in fields])} AS columns",
+            f"{array_sql([field_type(f)[0] for f in fields])} AS types",
+            f"{array_sql([field_type(f)[1] for f in fields])} AS modes",
+            f"array({', '.join(sums)}) AS sizes",
         )
-    return union_all(per_table)
+
+    per_table = each_table(totals, with_schemas(spark, refs))
+    entries = F.posexplode(F.arrays_zip("columns", "types", "modes", "sizes")).alias("pos", "c")
+    return union_all(per_table).select("table_id", "rows", entries).select(
+        "table_id",
+        "rows",
+        (F.col("pos") + 1).alias("ordinal"),
+        F.col("c.columns").alias("column"),
+        F.col("c.types").alias("type"),
+        F.col("c.modes").alias("mode"),
+        F.col("c.sizes").alias("logical_bytes"),
+    )
 
 
 def sample_rows(df: DataFrame, limit: int = SAMPLE_ROWS, order: tuple[str, ...] = ()) -> DataFrame:
     """The first rows of a table, scalar columns only.
 
     Without ``order`` this is a plain limit, which stops after the first
-    partitions. With it the sample is deterministic: the leading order column is
-    read alone to find its ``limit``-th smallest value, and that bound is pushed
-    into the scan of the other columns.
+    partitions. With it the sample is deterministic: the leading order column
+    (null rows are passed over) is read alone to find its ``limit``-th smallest
+    value, and that bound is pushed into the scan of the other columns.
     """
-    scalars = [
-        f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
-    ]
-    narrow = df.select(*scalars)
+    scalars = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+    narrow = df.select(*[f"`{name}`" for name in scalars])
     if not order:
         return narrow.limit(limit)
-    lead = F.col(order[0])
-    smallest = df.select(lead.alias("lead")).orderBy(F.col("lead").asc_nulls_last()).limit(limit)
-    bound = smallest.agg(F.max("lead")).scalar()
-    rest = [F.col(s).asc_nulls_last() for s in scalars if s.strip("`") not in order]
-    ordered = [F.col(name).asc_nulls_last() for name in order] + rest
-    return narrow.where(lead <= bound).orderBy(*ordered).limit(limit)
+    lead = F.col(f"`{order[0]}`")
+    smallest = df.select(lead.alias("lead")).where(lead.isNotNull()).orderBy("lead").limit(limit)
+    ranked = [f"`{name}`" for name in (*order, *[s for s in scalars if s not in order])]
+    return narrow.where(lead <= smallest.agg(F.max("lead")).scalar()).orderBy(*ranked).limit(limit)
 
 
 def sample_cells(spark: SparkSession, refs: list[TableRef], limit: int = SAMPLE_ROWS) -> DataFrame:
     """Sample rows of all tables in long form, one rendered cell per row."""
     if limit <= 0:
         return spark.createDataFrame([], CELL_SCHEMA)
-    per_table = []
-    for ref in refs:
-        if not ref.sampled:
-            continue
+
+    def rendered(ref: TableRef) -> DataFrame | None:
         try:
             sample = sample_rows(ref.read(spark), limit, ref.sample_order)
         except AnalysisException:  # a table that cannot be read has no sample, its card is still made
-            continue
+            return None
         fields = sample.schema.fields
         if not fields:
-            continue
+            return None
         # A limited sample is one partition in its order, which the id keeps.
-        per_table.append(
-            sample.select(
-                F.lit(ref.table_id).alias("table_id"),
-                F.monotonically_increasing_id().alias("place"),
-                F.array(*[F.lit(f.name) for f in fields]).alias("columns"),
-                F.array(*[F.lit(field_type(f)[0]) for f in fields]).alias("types"),
-                F.array(*[scalar_text(F.col(f"`{f.name}`"), f.dataType) for f in fields]).alias("texts"),
-            )
+        return sample.selectExpr(
+            f"{array_sql([ref.table_id])}[0] AS table_id",
+            "monotonically_increasing_id() AS place",
+            f"{array_sql([f.name for f in fields])} AS columns",
+            f"{array_sql([field_type(f)[0] for f in fields])} AS types",
+            f"array({', '.join(raw_text_sql(f.name, f.dataType) for f in fields)}) AS texts",
         )
+
+    opened = with_schemas(spark, [ref for ref in refs if ref.sampled])
+    per_table = [frame for frame in each_table(rendered, opened) if frame is not None]
     if not per_table:
         return spark.createDataFrame([], CELL_SCHEMA)
     row_no = F.row_number().over(W.partitionBy("table_id").orderBy("place"))
@@ -185,7 +189,7 @@ def sample_cells(spark: SparkSession, refs: list[TableRef], limit: int = SAMPLE_
         F.col("c.columns").alias("column"),
         F.col("c.types").alias("type"),
         "row_no",
-        format_cell(F.col("c.texts")).alias("cell"),
+        format_cell(shown_text(F.col("c.texts"), F.col("c.types"))).alias("cell"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablesteward.functions.vectors import QUERY_INSTRUCTION, Embedder, embed_column
+from tablesteward.functions.vectors import DIMENSIONS, QUERY_INSTRUCTION, Embedder, embed_column
 
 # Cards per question, and the rule between cards.
 TOP_K = 5
@@ -131,7 +131,7 @@ def retrieve_contexts(
     embedder: Embedder,
     k: int = TOP_K,
     max_distance: float | None = None,
-    dimensions: int | None = None,
+    dimensions: int = DIMENSIONS,
     instruction: str = QUERY_INSTRUCTION,
 ) -> DataFrame:
     """Add ``context`` to ``questions(question, ...)``; ``''`` where nothing fits.

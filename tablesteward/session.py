@@ -54,3 +54,13 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_path(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A frame read from files, over all cores if it has fewer splits than that.
+
+    For costly work per row. Large inputs have more splits than cores and are
+    left as they are. Not for frames with a shuffle, which would run here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_PROJECT = "warehouse"
+LOOKUPS = 8
+R = TypeVar("R")
 
 
 @dataclass(frozen=True)
@@ -65,14 +70,26 @@ def folder_tables(folder: str, names: list[str], dataset: str, project: str = DE
 
 
 def with_schemas(spark: SparkSession, refs: list[TableRef]) -> list[TableRef]:
-    """The same tables with their schemas, so that each is looked up once."""
-    return [ref if ref.schema is not None else replace(ref, schema=ref.read(spark).schema) for ref in refs]
+    """The same tables with their schemas, so that each is looked up once.
+
+    Looking up a folder is a small job; several run at a time.
+    """
+
+    def known(ref: TableRef) -> TableRef:
+        return ref if ref.schema is not None else replace(ref, schema=ref.read(spark).schema)
+
+    return each_table(known, refs)
+
+
+def each_table(task: Callable[[TableRef], R], refs: list[TableRef]) -> list[R]:
+    """``task`` for every table in order, a few at a time: it only plans or looks up."""
+    with ThreadPoolExecutor(LOOKUPS) as pool:
+        return list(pool.map(task, refs))
 
 
 def register(spark: SparkSession, refs: list[TableRef]) -> None:
     """A temporary view per table, named by its full dotted name in backticks."""
-    for ref in refs:
-        ref.read(spark).createOrReplaceTempView(f"`{ref.table_id}`")
+    each_table(lambda ref: ref.read(spark).createOrReplaceTempView(f"`{ref.table_id}`"), with_schemas(spark, refs))
 
 
 def data_files(spark: SparkSession, refs: list[TableRef]) -> DataFrame:

@@ -192,6 +192,6 @@ FROM conversations GROUP BY conv_id""",
     AND (length(text) <= 300 OR upper(args) = args) AS INTEGER) AS hit FROM steps WHERE role = 'assistant')
 SELECT invocation_id, count(*) AS calls, round(avg(hit), 6) AS score, CAST(min(hit) AS DOUBLE) AS exact FROM c GROUP BY 1""",
     "golden_rank_check": f"""WITH n AS (SELECT count(*) = 10 AS complete FROM ({_plain_names(TOPK)}))
-SELECT 'as given' AS answer, complete, true AS descending, true AS first_matches, true AS last_matches, 1.0 AS score, true AS passed FROM n
+SELECT 'as given' AS answer, complete, true AS descending, true AS first_matches, true AS last_matches, CAST(1 AS DOUBLE) AS score, true AS passed FROM n
 UNION ALL SELECT 'last place wrong', complete, false, true, false, 0.5, false FROM n""",
 }

@@ -81,7 +81,7 @@ UNION ALL
 (SELECT o_orderpriority AS kind, count(*) AS n FROM {_name("orders")} GROUP BY 1)"""
 
 CTE = f"""WITH yearly AS (
-  SELECT o_custkey, year(o_orderdate) AS y, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS spent
+  SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS y, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS spent
   FROM {_name("orders")} GROUP BY o_custkey, year(o_orderdate)
 )
 SELECT y, count(*) AS customers, CAST(MAX(spent) AS DOUBLE) AS most FROM yearly GROUP BY y"""

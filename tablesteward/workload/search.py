@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from tablesteward.functions import text, vectors
 from tablesteward.operators import retrieval
 from tablesteward.operators.cards import collect_cards
-from tablesteward.session import materialize
+from tablesteward.session import materialize, spread
 from tablesteward.workload.catalog import CARD_TEXTS
 from tablesteward.workload.inputs import table, table_refs, text_literal
 
 WIDTH = 1536
+MAX_DISTANCE = 0.55
 
 
 def embed_input(spark, sf_dir):
@@ -21,7 +22,7 @@ def embed_input(spark, sf_dir):
     instruction_chars = len(vectors.DOCUMENT_INSTRUCTION)
     return prepared.select(
         "doc_id",
-        F.length("input").alias("input_chars"),
+        F.length("input").cast("bigint").alias("input_chars"),
         (F.length("text") + instruction_chars > vectors.INPUT_CHARS).alias("truncated"),
         F.sha2("input", 256).alias("digest"),
     )
@@ -30,7 +31,7 @@ def embed_input(spark, sf_dir):
 def embed_hash_tf(spark, sf_dir):
     """Non-zero weights of each document's vector."""
     embedded = vectors.embed_column(
-        table(spark, sf_dir, "documents"), "text", "vector", vectors.hashed_term_embedder(), vectors.DOCUMENT_INSTRUCTION
+        spread(table(spark, sf_dir, "documents")), "text", "vector", vectors.hashed_term_embedder(), vectors.DOCUMENT_INSTRUCTION
     )
     weights = embedded.select("doc_id", F.posexplode("vector").alias("bucket", "weight")).where("weight != 0")
     return weights.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
@@ -66,7 +67,7 @@ def knn_cosine(spark, sf_dir):
 
 
 def knn_cosine_threshold(spark, sf_dir):
-    return _neighbours(spark, sf_dir, 0.3)
+    return _neighbours(spark, sf_dir, MAX_DISTANCE)
 
 
 def context_block(spark, sf_dir):
@@ -96,7 +97,7 @@ def retrieve_distinct(spark, sf_dir):
     )
     asked = _questions(spark, sf_dir).where("role = 'user'").drop("role")
     found = retrieval.retrieve_contexts(asked, index, embedder, dimensions=WIDTH)
-    return found.select("conv_id", "turn", F.length("context").alias("context_chars"), F.sha2("context", 256).alias("digest"))
+    return found.select("conv_id", "turn", F.length("context").cast("bigint").alias("context_chars"), F.sha2("context", 256).alias("digest"))
 
 
 QUERIES = {
@@ -148,7 +149,7 @@ SELECT vec_id, CAST(i - 1 AS INTEGER) AS position, round(CASE WHEN norm = 0 THEN
 FROM n, (SELECT unnest(range(1, 65)) AS i)""",
     "knn_cosine": f"""WITH {_KNN} SELECT q_id, doc_id, distance, CAST(place AS INTEGER) AS rank FROM ranked WHERE place <= 5""",
     "knn_cosine_threshold": f"""WITH {_KNN} SELECT q_id, doc_id, distance, CAST(place AS INTEGER) AS rank FROM ranked
-WHERE place <= 5 AND distance <= 0.3""",
+WHERE place <= 5 AND distance <= {MAX_DISTANCE}""",
     "context_block": f"""WITH {_KNN} SELECT q_id, {_HEADER} || string_agg('card ' || doc_id || chr(10) || 'label ' || label,
   {_RULE} ORDER BY place) AS context FROM ranked WHERE place <= 5 AND label <> 0 GROUP BY q_id""",
     "question_text": f"WITH {_ASKED} SELECT conv_id, turn, question FROM asked",

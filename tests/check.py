@@ -41,11 +41,25 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted(tuple(plain(row[i]) for i in order) for row in rows)
 
 
+TYPE_NAMES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP", "date": "DATE",
+}
+
+
+def type_problems(df, cursor) -> list[str]:
+    """Columns whose types differ between the two engines."""
+    want = {d[0]: str(d[1]) for d in cursor.description}
+    got = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    return [f"{name}: {kind} here, {want.get(name)} in SQL" for name, kind in got.items() if kind != want.get(name)]
+
+
 def compare(name: str, df, sql: str, connection) -> tuple[str, int]:
     """``("", rows)`` if equal, else what differs."""
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cursor = connection.execute(sql)
     columns = [d[0] for d in cursor.description]
+    types = type_problems(df, cursor)
     want = rows_of(columns, cursor.fetchall())
     if sorted(df.columns) != sorted(columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}", len(got)
@@ -53,7 +67,7 @@ def compare(name: str, df, sql: str, connection) -> tuple[str, int]:
         missing = [r for r in want if r not in set(got)][:2]
         surplus = [r for r in got if r not in set(want)][:2]
         return f"{len(got)} rows, want {len(want)}\n   only here:   {surplus}\n   only in SQL: {missing}", len(got)
-    return "", len(got)
+    return "; ".join(types), len(got)
 
 
 def main() -> int:
