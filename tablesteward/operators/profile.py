@@ -69,14 +69,17 @@ def catalog_columns(spark: SparkSession, refs: list[TableRef]) -> DataFrame:
 
 
 def flatten(df: DataFrame) -> DataFrame:
-    """Struct columns replaced by their leaves, named by dotted path."""
-    leaves = []
-    for path, field in iter_fields(df.schema):
-        top = path.split(".")[0]
-        within_array = isinstance(df.schema[top].dataType, T.ArrayType) and path != top
-        if not isinstance(field.dataType, T.StructType) and not within_array:
-            leaves.append(F.col(".".join(f"`{part}`" for part in path.split("."))).alias(path))
-    return df.select(*leaves)
+    """Struct columns replaced by their leaves, named by dotted path; arrays stay whole."""
+
+    def leaves(schema: T.StructType, parents: tuple[str, ...] = ()):
+        for field in schema.fields:
+            path = (*parents, field.name)
+            if isinstance(field.dataType, T.StructType):
+                yield from leaves(field.dataType, path)
+            else:
+                yield F.col(".".join(f"`{part}`" for part in path)).alias(".".join(path))
+
+    return df.select(*leaves(df.schema))
 
 
 FIXED_BYTES = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}

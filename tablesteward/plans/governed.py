@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tablesteward.functions.jsonsafe import json_safe
 from tablesteward.functions.sqltext import ESCAPE_HATCHES, with_verdict
 from tablesteward.operators.scancost import MAX_BYTES, rejection_text
-from tablesteward.session import materialize
+from tablesteward.session import materialize, setting
 from tablesteward.sources.footers import footer_inventory
 from tablesteward.sources.tables import TableRef, data_files, register
 
@@ -31,7 +31,9 @@ MESSAGES = {
 }
 
 # Leaves of a plan that read nothing from storage.
-FREE_SCANS = ("LocalTableScanExec", "RangeExec", "OneRowRelationExec", "RDDScanExec", "EmptyRelationExec")
+FREE_SCANS = (
+    "LocalTableScanExec", "RangeExec", "OneRowRelationExec", "RDDScanExec", "EmptyRelationExec", "ReusedExchangeExec", "ReusedSubqueryExec",
+)
 
 
 @dataclass(frozen=True)
@@ -108,8 +110,8 @@ def governed_sql(
         return GovernedRun("error", text if checked["cleaned"] is None else checked["cleaned"], code, MESSAGES[code])
     sql = checked["cleaned"]
     try:
-        result = spark.sql(sql, args=parameters) if parameters else spark.sql(sql)
-        scans = scanned_columns(result, warehouse.refs)
+        scans = scanned_columns(spark, sql, parameters, warehouse.refs)
+        result = spark.sql(sql, args=parameters)
     except Exception as problem:
         return GovernedRun("error", sql, "execution_failed", f"query could not be planned: {problem}")
     if scans is None:
@@ -121,13 +123,15 @@ def governed_sql(
     return GovernedRun("success", sql, None, None, estimate, max_bytes, json_safe(result))
 
 
-def scanned_columns(df: DataFrame, refs: tuple[TableRef, ...]) -> list[Scan] | None:
-    """What the planned scans of ``df`` read; None if a source is not registered.
+def scanned_columns(spark: SparkSession, sql: str, parameters: dict | None, refs: tuple[TableRef, ...]) -> list[Scan] | None:
+    """What the scans of a read-only text would read; None if a source is not registered.
 
-    Taken from the physical plan, where unused columns are already gone.
-    Subquery plans count as well.
+    Taken from the physical plan, where unused columns are already gone. It is
+    planned without adaptive execution, so that subqueries are planned as well,
+    and never run.
     """
-    plan = df._jdf.queryExecution().sparkPlan()
+    with setting(spark, "spark.sql.adaptive.enabled", "false"):
+        plan = spark.sql(sql, args=parameters)._jdf.queryExecution().executedPlan()
     subqueries = plan.subqueriesAll()
     scans = []
     for tree in [plan, *(subqueries.apply(i) for i in range(subqueries.size()))]:
@@ -207,16 +211,20 @@ def estimate_bytes(warehouse: Warehouse, scans: list[Scan]) -> int:
 
 
 def run_with_timeout(spark: SparkSession, action: Callable[[], object], seconds: float = TIMEOUT_SECONDS) -> object:
-    """Run a Spark action; after ``seconds`` its jobs are cancelled by tag."""
-    tag, expired = f"governed-{uuid.uuid4().hex}", threading.Event()
+    """Run a Spark action; after ``seconds`` its jobs are cancelled by tag.
+
+    Job tags of the context can be cancelled from the timer's thread; those of
+    the session belong to the thread that set them.
+    """
+    tag, expired, context = f"governed-{uuid.uuid4().hex}", threading.Event(), spark.sparkContext
 
     def cancel() -> None:
         expired.set()
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)
 
     timer = threading.Timer(seconds, cancel)
     timer.daemon = True
-    spark.addTag(tag)
+    context.addJobTag(tag)
     timer.start()
     try:
         return action()
@@ -226,7 +234,7 @@ def run_with_timeout(spark: SparkSession, action: Callable[[], object], seconds:
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def finish(run: GovernedRun, spark: SparkSession, timeout: float = TIMEOUT_SECONDS) -> GovernedRun:

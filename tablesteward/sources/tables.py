@@ -101,11 +101,10 @@ def data_files(spark: SparkSession, refs: list[TableRef]) -> DataFrame:
         .select("path", F.col("length").alias("file_bytes"))
         .where("file_bytes > 0")
     )
-    owner = F.lit(None).cast("string")
-    for ref in refs:
-        inside = F.concat(F.col("path"), F.lit("/")).contains(ref.path.rstrip("/") + "/")
-        owner = F.when(inside, F.lit(ref.table_id)).otherwise(owner)
-    return listing.select(owner.alias("table_id"), "path", "file_bytes")
+    # Two tables may share a folder, so a file can have more than one owner.
+    inside = [F.concat("path", F.lit("/")).contains(ref.path.rstrip("/") + "/") for ref in refs]
+    owners = F.array_compact(F.array(*[F.when(hit, F.lit(ref.table_id)) for hit, ref in zip(inside, refs)]))
+    return listing.select(F.explode(owners).alias("table_id"), "path", "file_bytes")
 
 
 def partition_summaries(spark: SparkSession, refs: list[TableRef]) -> dict[str, tuple[str | None, list[str]]]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +16,7 @@ from tablesteward.operators.sessions import (
     preview_columns,
     state_changes,
 )
+from tablesteward.session import setting
 from tablesteward.sources.snapshots import SnapshotTable
 
 EVENT_SCHEMA = (
@@ -63,7 +62,7 @@ class SessionStream:
         else:
             timed = stored.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late_limit)
             unique = timed.dropDuplicatesWithinWatermark(identity).drop("event_time")
-        with _setting(self.spark, PROVIDER, ROCKSDB):
+        with setting(self.spark, PROVIDER, ROCKSDB):
             return (
                 unique.writeStream.foreachBatch(self.apply)
                 .option("checkpointLocation", f"{self.folder}/checkpoint")
@@ -117,15 +116,3 @@ class SessionStream:
     def previews(self) -> DataFrame:
         return preview_columns(self.messages())
 
-
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
