@@ -213,19 +213,23 @@ def estimate_bytes(warehouse: Warehouse, scans: list[Scan]) -> int:
 def run_with_timeout(spark: SparkSession, action: Callable[[], object], seconds: float = TIMEOUT_SECONDS) -> object:
     """Run a Spark action; after ``seconds`` its jobs are cancelled by tag.
 
-    Job tags of the context can be cancelled from the timer's thread; those of
-    the session belong to the thread that set them.
+    Job tags of the context can be cancelled from another thread; those of the
+    session belong to the thread that set them. Cancelling goes on until the
+    action ends, as it may be between two jobs.
     """
-    tag, expired, context = f"governed-{uuid.uuid4().hex}", threading.Event(), spark.sparkContext
+    tag, context = f"governed-{uuid.uuid4().hex}", spark.sparkContext
+    ended, expired = threading.Event(), threading.Event()
 
-    def cancel() -> None:
-        expired.set()
-        context.cancelJobsWithTag(tag)
+    def watch() -> None:
+        if not ended.wait(seconds):
+            expired.set()
+            context.cancelJobsWithTag(tag)
+            while not ended.wait(0.2):
+                context.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(seconds, cancel)
-    timer.daemon = True
+    watcher = threading.Thread(target=watch, daemon=True)
     context.addJobTag(tag)
-    timer.start()
+    watcher.start()
     try:
         return action()
     except Exception as problem:
@@ -233,7 +237,7 @@ def run_with_timeout(spark: SparkSession, action: Callable[[], object], seconds:
             raise TimeoutError(f"query cancelled after {seconds:g} s") from problem
         raise
     finally:
-        timer.cancel()
+        ended.set()
         context.removeJobTag(tag)
 
 
