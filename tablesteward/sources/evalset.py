@@ -17,28 +17,36 @@ _CASE = f"""struct<
     creation_timestamp: double>>,
   session_input: struct<app_name: string, user_id: string>,
   creation_timestamp: double>"""
-SET_SCHEMA = f"eval_set_id string, name string, description string, eval_cases array<{_CASE}>"
+# ``generation`` and ``position`` are there only in sets written here.
+SET_SCHEMA = (
+    f"eval_set_id string, name string, description string, eval_cases array<{_CASE}>, generation int, position int"
+)
 
 
 def _text(content: str):
     return F.array_join(F.transform(F.col(content)["parts"], lambda part: part["text"]), "")
 
 
-def read_evalset(spark: SparkSession, path: str) -> DataFrame:
-    """One row per invocation of every case of the set files under ``path``."""
-    sets = spark.read.schema(SET_SCHEMA).option("multiLine", True).json(path)
-    cases = sets.select("eval_set_id", F.posexplode("eval_cases").alias("position", "case"))
+def read_evalset(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per invocation of every case of the set files under ``path``.
+
+    A file is one JSON document, or with ``lines`` a case per line as written
+    by ``write_evalset``, which many tasks can read.
+    """
+    sets = spark.read.schema(SET_SCHEMA).option("multiLine", not lines).json(path)
+    cases = sets.select("eval_set_id", "generation", "position", F.posexplode("eval_cases").alias("place", "case"))
     turns = cases.select(
         "eval_set_id",
         F.col("case.eval_id").alias("eval_id"),
-        "position",
+        F.coalesce("generation", F.lit(0)).alias("generation"),
+        F.coalesce("position", "place").alias("position"),
         F.col("case.session_input.app_name").alias("app_name"),
         F.posexplode("case.conversation").alias("turn", "invocation"),
     )
     return turns.select(
         "eval_set_id",
         "eval_id",
-        F.lit(0).alias("generation"),
+        "generation",
         "position",
         "turn",
         "app_name",
@@ -52,11 +60,7 @@ def read_evalset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_evalset(cases: DataFrame, path: str) -> None:
-    """Write the rows of ``read_evalset`` as a folder with one set per line.
-
-    Each case is a line of its own, in case order over the files; reading the
-    folder again gives the same rows.
-    """
+    """Write the rows of ``read_evalset`` as a folder with a case per line."""
 
     def content(text: str, role: str):
         return F.struct(F.array(F.struct(F.col(text).alias("text"))).alias("parts"), F.lit(role).alias("role"))
@@ -88,6 +92,6 @@ def write_evalset(cases: DataFrame, path: str) -> None:
         F.struct("app_name", F.lit("user").alias("user_id")).alias("session_input"),
     )
     lines = grouped.orderBy("generation", "position").select(
-        "eval_set_id", F.col("eval_set_id").alias("name"), F.array(case).alias("eval_cases")
+        "eval_set_id", F.col("eval_set_id").alias("name"), F.array(case).alias("eval_cases"), "generation", "position"
     )
     lines.write.mode("overwrite").json(path)
