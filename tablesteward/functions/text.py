@@ -125,6 +125,14 @@ def format_bytes(count: Column) -> Column:
     return text.otherwise(F.format_string("%.2f TB", F.bround(value / F.lit(1024.0**4), 2)))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, for values that need a lambda.
+
+    Plain values need no help: generated code shares their repeated parts.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nonempty(texts: Column) -> Column:
     return F.filter(texts, lambda t: t.isNotNull() & (t != ""))
 
@@ -136,8 +144,9 @@ def question_text(parts: Column) -> Column:
 
 def message_preview(parts: Column) -> Column:
     """First characters of a message's texts joined by blanks; null without text."""
-    kept = nonempty(parts)
-    return F.when(F.size(kept) > 0, clip(F.array_join(kept, " "), PREVIEW_CHARS))
+    return bind(
+        F.array_join(nonempty(parts), " "), lambda joined: F.when(joined != "", clip(joined, PREVIEW_CHARS))
+    )
 
 
 def content_summary(parts: Column, limit: int = CONTENT_CHARS) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesteward.functions.text import bind
+
 # Vector width and the longest input an embedder is given.
 DIMENSIONS = 1536
 INPUT_CHARS = 8192 * 4 - 2000
@@ -31,16 +33,14 @@ def l2_norm(vector: Column) -> Column:
 def l2_normalize(vector: Column) -> Column:
     """Unit-length copy in double; a zero vector stays as it is.
 
-    The norm is bound once per vector by the outer one-element array; written
-    inline it would be evaluated again for every element.
+    The norm is bound once per vector; written inline it would be evaluated
+    again for every element.
     """
-    scaled = F.transform(
-        F.array(l2_norm(vector)),
-        lambda norm: F.transform(
-            vector, lambda x: F.when(norm == 0.0, x.cast("double")).otherwise(x.cast("double") / norm)
-        ),
-    )
-    return F.element_at(scaled, 1)
+
+    def divided(norm: Column) -> Column:
+        return F.transform(vector, lambda x: F.when(norm == 0.0, x.cast("double")).otherwise(x.cast("double") / norm))
+
+    return bind(l2_norm(vector), divided)
 
 
 def vector_status(vector: Column, dimensions: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablesteward.functions.vectors import DIMENSIONS, QUERY_INSTRUCTION, Embedder, embed_column
+from tablesteward.session import materialize
 
 # Cards per question, and the rule between cards.
 TOP_K = 5
@@ -140,8 +141,10 @@ def retrieve_contexts(
     of rows ask it. ``index`` has ``doc_id, embedding, card``.
     """
     key: Column = F.sha2("question", 256)
-    asked = questions.where(F.col("question") != "").select(key.alias("q_id"), "question").dropDuplicates(["q_id"])
-    vectors = embed_column(asked, "question", "vector", embedder, instruction, dimensions).select("q_id", "vector")
+    asked = questions.where(F.col("question") != "").select("question").distinct()
+    embedded = embed_column(asked, "question", "vector", embedder, instruction, dimensions)
+    # Embedding is the dear step, so its result is kept once for all that follows.
+    vectors = materialize(embedded.select(key.alias("q_id"), "vector"), "question-vectors")
     hits = nearest(vectors, index.select("doc_id", F.col("embedding").alias("vector")), k, max_distance)
     found = context_blocks(hits, index)
     return (

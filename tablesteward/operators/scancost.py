@@ -16,8 +16,9 @@ ADVICE = "LIMIT does not reduce the bytes read: select fewer columns and filter
 def query_costs(query_columns: DataFrame, column_bytes: DataFrame, size: str = "logical_bytes") -> DataFrame:
     """``query_id, estimated_bytes`` from the columns each query reads.
 
-    A column named twice by one query counts once. The sizes have one row per
-    catalog column, so Spark broadcasts them while they are small.
+    A column named twice by one query counts once. ``column_bytes`` should be a
+    stored table: Spark then knows its size (a row per catalog column) and
+    broadcasts it as long as it is small, whichever table most queries read.
     """
     used = query_columns.select("query_id", "table_id", "column").distinct()
     sizes = column_bytes.select("table_id", "column", F.col(size).alias("bytes"))

@@ -11,6 +11,10 @@ from tablesteward.session import materialize
 SEGMENT = "segment"
 
 
+# Rows one task can sort with ease; more rows make more segments.
+SEGMENT_ROWS = 5_000_000
+
+
 def ordered_segments(df: DataFrame, keys: list[str], order: list[str], segments: int | None = None) -> DataFrame:
     """``df`` with a ``segment`` number: contiguous ranges of (keys, order).
 
@@ -18,7 +22,8 @@ def ordered_segments(df: DataFrame, keys: list[str], order: list[str], segments:
     columns differ. The result is written once, so that every later branch sees
     the same segments.
     """
-    count = segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = segments or max(usual, -(-df.count() // SEGMENT_ROWS))
     ranged = df.repartitionByRange(count, *keys, *order).withColumn(SEGMENT, F.spark_partition_id())
     return materialize(ranged, "segments")
 

@@ -124,18 +124,19 @@ def session_list(events: DataFrame, app_name: str | None = None, user_id: str |
 
 
 def message_facts(events: DataFrame) -> DataFrame:
-    """Per event what the preview needs; events without text are left out."""
-    preview = message_preview(F.col("texts"))
-    return (
-        events.where(~F.col("partial") & ~F.col("compaction"))
-        .select(
-            *SESSION,
-            "event_id",
-            "ts",
-            preview.alias("preview"),
-            F.when(F.col("author") == "user", F.lit("user")).otherwise(F.lit("agent")).alias("author"),
-        )
-        .where(F.col("preview").isNotNull())
+    """Per event what the preview needs instead of its texts.
+
+    The preview is null where an event is no message: it has no text, or is a
+    compaction.
+    """
+    return events.where(~F.col("partial")).select(
+        *SESSION,
+        "event_id",
+        "ts",
+        "arrival",
+        "partial",
+        F.when(~F.col("compaction"), message_preview(F.col("texts"))).alias("preview"),
+        F.when(F.col("author") == "user", F.lit("user")).otherwise(F.lit("agent")).alias("author"),
     )
 
 
@@ -145,7 +146,7 @@ def fold_messages(facts: DataFrame, counted: Column) -> DataFrame:
     Takes facts of single events (``counted`` = 1) or folded ones (their sum).
     """
     at = F.struct("ts", "event_id")
-    return facts.groupBy(*SESSION).agg(
+    return facts.where(F.col("preview").isNotNull()).groupBy(*SESSION).agg(
         F.max_by(F.struct("preview", "author", "event_id"), at).alias("last"),
         F.max("ts").alias("ts"),
         F.sum(counted).cast("bigint").alias("message_count"),
@@ -153,8 +154,11 @@ def fold_messages(facts: DataFrame, counted: Column) -> DataFrame:
 
 
 def session_preview(events: DataFrame) -> DataFrame:
-    """Preview columns of each session over its stored events."""
-    return preview_columns(fold_messages(message_facts(event_log(events)), F.lit(1)))
+    """Preview columns of each session over its stored events.
+
+    Texts are cut to previews before the shuffle that finds re-sent events.
+    """
+    return preview_columns(fold_messages(event_log(message_facts(events)), F.lit(1)))
 
 
 def preview_columns(folded: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from tablesteward.functions import jsonsafe, sqltext
 from tablesteward.functions.text import format_bytes as bytes_text
 from tablesteward.operators import audit, profile, scancost
 from tablesteward.plans.governed import Warehouse, governed_sql
+from tablesteward.session import materialize
 from tablesteward.workload import inputs
 from tablesteward.workload.inputs import DATASET, PROJECT, QUERY_COLUMNS_SQL, QUERY_LOG_SQL, table, table_refs
 
@@ -35,14 +36,13 @@ def sql_verdict(spark, sf_dir):
 
 
 def _costs(spark, sf_dir):
-    sizes = profile.column_logical_bytes(spark, table_refs(sf_dir))
+    sizes = materialize(profile.column_logical_bytes(spark, table_refs(sf_dir)), "column-sizes")
     return scancost.query_costs(inputs.query_columns(spark, sf_dir), sizes)
 
 
 def sql_audit_report(spark, sf_dir):
     """Verdicts of the log, texts above the cost limit apart."""
-    priced = inputs.query_log(spark, sf_dir).join(_costs(spark, sf_dir), "query_id", "left")
-    return audit.audit_report(priced, cost_limit=COST_LIMIT)
+    return audit.audit_report(inputs.query_log(spark, sf_dir), "sql", _costs(spark, sf_dir), COST_LIMIT)
 
 
 def cost_verdict(spark, sf_dir):
