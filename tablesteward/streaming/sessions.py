@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,13 +83,17 @@ class SessionStream:
             "state": latest_by_key(state_changes(events)),
             "messages": fold_messages(message_facts(events), F.lit(1)),
         }
-        for name, folded in folds.items():
-            folded.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
-        if (batch_id + 1) % self.compact_every == 0:
-            for name, fold in (("state", self.latest_state), ("messages", self.messages)):
-                # A replayed batch finds the snapshot it has already committed.
-                if self.bases[name].current() != batch_id:
-                    self.bases[name].write(fold(), batch_id)
+        everything = {"state": self.latest_state, "messages": self.messages}
+
+        def keep(name: str) -> None:
+            folds[name].write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
+            # A replayed batch finds the snapshot it has already committed.
+            if (batch_id + 1) % self.compact_every == 0 and self.bases[name].current() != batch_id:
+                self.bases[name].write(everything[name](), batch_id)
+
+        # Both tables depend only on the log part and are kept side by side.
+        with ThreadPoolExecutor(len(folds)) as pool:
+            list(pool.map(keep, folds))
 
     def _parts(self, name: str, schema: str) -> DataFrame:
         """The snapshot and the partitions written after it."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablesteward.operators import cardindex, cards, profile
 from tablesteward.session import scratch_path
-from tablesteward.sources.footers import column_bytes, footer_inventory
+from tablesteward.sources.footers import column_bytes, footer_inventory, table_rows
 from tablesteward.sources.snapshots import SnapshotTable
 from tablesteward.sources.tables import TableRef, data_files, partition_summaries
 from tablesteward.workload import inputs
@@ -26,7 +26,13 @@ def column_logical_bytes(spark, sf_dir):
 
 
 def footer_sizes(spark, sf_dir):
-    return column_bytes(footer_inventory(data_files(spark, table_refs(sf_dir))))
+    """Columns found in the footers; byte counts depend on the writer, so only their presence is shown."""
+    inventory = footer_inventory(data_files(spark, table_refs(sf_dir)))
+    return (
+        table_rows(inventory)
+        .join(column_bytes(inventory), "table_id")
+        .select("table_id", F.col("column").alias("column_name"), "num_rows", (F.col("plain_bytes") > 0).alias("stored"))
+    )
 
 
 def partitioned_events(spark, sf_dir):
@@ -243,6 +249,11 @@ ORACLE = {
         for n, fields in FIELDS.items()
         for i, (c, k) in enumerate(fields, start=1)
     ),
+    "footer_inventory": " UNION ALL ".join(
+        f"SELECT '{_id(n)}' AS table_id, '{c}' AS column_name, count(*) AS num_rows, true AS stored FROM {n}"
+        for n, fields in FIELDS.items()
+        for c, _ in fields
+    ),
     "partition_summary": f"SELECT '{_id('events_by_day')}' AS table_id, 'DAY on `event_day`' AS partition_summary, "
     "count(DISTINCT CAST(ts AS DATE)) AS partitions, count(*) AS num_rows FROM events",
     "sample_cells": f"WITH {CELLS} SELECT table_id, ordinal, column_name, row_no, cell FROM cells",
