@@ -32,6 +32,7 @@ MESSAGE_SCHEMA = (
 )
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
 class SessionStream:
@@ -64,7 +65,8 @@ class SessionStream:
         else:
             timed = stored.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late_limit)
             unique = timed.dropDuplicatesWithinWatermark(identity).drop("event_time")
-        with setting(self.spark, PROVIDER, ROCKSDB):
+        # Each commit uploads the changes, not the files of the whole state.
+        with setting(self.spark, PROVIDER, ROCKSDB), setting(self.spark, CHANGELOG, "true"):
             return (
                 unique.writeStream.foreachBatch(self.apply)
                 .option("checkpointLocation", f"{self.folder}/checkpoint")
