@@ -27,11 +27,13 @@ def with_calendar(df: DataFrame, moment: str, zone: str = ZONE) -> DataFrame:
     if isinstance(df.schema[moment].dataType, T.TimestampType):
         value, source = value.cast("timestamp_ntz"), F.current_timezone()
     local = local_clock(value, zone, source)
+    # Formats take a date, so the session's own time zone cannot shift anything.
+    day = local.cast("date")
     return df.withColumns(
         {
-            "local_time": F.date_format(local, "yyyy-MM-dd HH:mm:ss"),
-            "local_date": F.date_format(local, "dd/MM/yyyy"),
-            "month_label": F.date_format(local, "MMMM/yyyy"),
+            "local_time": F.substring(local.cast("string"), 1, 19),
+            "local_date": F.date_format(day, "dd/MM/yyyy"),
+            "month_label": F.date_format(day, "MMMM/yyyy"),
             "fiscal_year": fiscal_year(local),
             "previous_fiscal_year": fiscal_year(local) - 1,
         }

@@ -17,6 +17,7 @@ PREVIEW_CHARS = 80
 CONTENT_CHARS = 200
 ARGUMENT_CHARS = 600
 ELLIPSIS = "…"
+ZONED_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 
 
 def strip(text: Column) -> Column:
@@ -63,13 +64,16 @@ def number_text(value: Column) -> Column:
 
 
 def iso_timestamp(value: Column, zoned: bool) -> Column:
-    """ISO-8601 text; the fraction appears only when it is not zero."""
-    micros = F.date_format(value, "SSSSSS")
-    text = F.concat(
-        F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(F.lit("")),
-    )
-    return F.concat(text, F.date_format(value, "xxx")) if zoned else text
+    """ISO-8601 text; the fraction, of six digits, appears only when it is not zero."""
+    if zoned:
+        return F.replace(F.date_format(value, ZONED_FORMAT), F.lit(".000000"), F.lit(""))
+    return iso_zoneless(value.cast("string"))
+
+
+def iso_zoneless(text: Column) -> Column:
+    """ISO form of the text Spark casts a zoneless timestamp to; no time zone takes part."""
+    joined = F.replace(text, F.lit(" "), F.lit("T"))
+    return F.when(text.contains("."), F.rpad(joined, 26, "0")).otherwise(joined)
 
 
 def interval_seconds(value: Column) -> Column:
@@ -80,7 +84,7 @@ def raw_text_sql(name: str, data_type: T.DataType) -> str:
     """SQL for a scalar column as text that ``shown_text`` can finish by its type."""
     column = f"`{name}`"
     if isinstance(data_type, T.TimestampType):
-        return f"date_format({column}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx\")"
+        return f'date_format({column}, "{ZONED_FORMAT}")'
     if isinstance(data_type, T.DayTimeIntervalType):
         return f"cast(cast({column} AS decimal(18,6)) AS string)"
     if isinstance(data_type, T.BinaryType):
@@ -96,13 +100,11 @@ def shown_text(raw: Column, kind: Column) -> Column:
     number = raw.try_cast("double")
     numeric = kind.rlike("^(DOUBLE|FLOAT|DECIMAL|INTERVAL)")
     finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
-    zoneless = F.replace(raw, F.lit(" "), F.lit("T"))
     return (
         F.when(numeric & finite, number_text(number))
         .when(numeric & raw.isNotNull(), F.lit("None"))
         .when(kind == "BOOLEAN", F.initcap(raw))
-        .when((kind == "TIMESTAMP_NTZ") & raw.contains("."), F.rpad(zoneless, 26, "0"))
-        .when(kind == "TIMESTAMP_NTZ", zoneless)
+        .when(kind == "TIMESTAMP_NTZ", iso_zoneless(raw))
         .when(kind == "TIMESTAMP", F.replace(raw, F.lit(".000000"), F.lit("")))
         .otherwise(raw)
     )

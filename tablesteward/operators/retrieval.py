@@ -146,7 +146,9 @@ def retrieve_contexts(
     # Embedding is the dear step, so its result is kept once for all that follows.
     vectors = materialize(embedded.select(key.alias("q_id"), "vector"), "question-vectors")
     hits = nearest(vectors, index.select("doc_id", F.col("embedding").alias("vector")), k, max_distance)
-    found = context_blocks(hits, index)
+    # Kept, so that its size is known: a question most rows ask is then either
+    # broadcast or split by the adaptive skew join.
+    found = materialize(context_blocks(hits, index), "contexts")
     return (
         questions.withColumn("__q_id", key)
         .join(found.withColumnRenamed("q_id", "__q_id"), "__q_id", "left")

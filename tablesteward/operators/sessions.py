@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from tablesteward.functions.statekeys import is_saved
 from tablesteward.functions.text import message_preview
+from tablesteward.session import materialize
 
 SESSION = ["app_name", "user_id", "session_id"]
+# Default of spark.sql.optimizer.windowGroupLimitThreshold, and slices above it.
+WINDOW_LIMIT, SLICES = 1000, 64
 
 
 def event_log(events: DataFrame) -> DataFrame:
@@ -105,7 +108,14 @@ def recent_events(events: DataFrame, limit: int | None = None, after: datetime |
     scope = events if after is None else events_since(events, after)
     if not limit:
         return scope.withColumn("back", F.lit(None).cast("int"))
-    newest = W.partitionBy(*SESSION).orderBy(F.desc("ts"), F.desc("event_id"))
+    order = F.desc("ts"), F.desc("event_id")
+    if limit > WINDOW_LIMIT:
+        # Spark limits a window before its shuffle only up to a threshold; above
+        # it each session is first cut in slices, so that a hot one is shared.
+        scope = scope.withColumn("__slice", F.pmod(F.xxhash64("event_id"), F.lit(SLICES)))
+        place = F.row_number().over(W.partitionBy(*SESSION, "__slice").orderBy(*order))
+        scope = scope.withColumn("__place", place).where(F.col("__place") <= limit).drop("__slice", "__place")
+    newest = W.partitionBy(*SESSION).orderBy(*order)
     return scope.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= limit)
 
 
@@ -171,6 +181,11 @@ def preview_columns(folded: DataFrame) -> DataFrame:
     )
 
 
+def delete_list(rows: DataFrame) -> DataFrame:
+    """The sessions of ``rows``, stored: joins then know how many there are."""
+    return materialize(rows.select(*SESSION).distinct(), "deleted-sessions")
+
+
 def purge(rows: DataFrame, deleted: DataFrame) -> DataFrame:
     """Events or sessions without those of the deleted sessions."""
     return rows.join(deleted.select(*SESSION), SESSION, "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesteward.operators.segments import SEGMENT, earlier_segments, ordered_segments, with_carry, within_segment
 
@@ -36,9 +37,12 @@ def trace_rollup(trace: DataFrame) -> DataFrame:
     )
 
 
-def _micros(ts: str) -> Column:
-    """Microseconds since the epoch of a timestamp with or without zone."""
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+def _micros(calls: DataFrame, ts: str) -> Column:
+    """Microseconds since the epoch of a timestamp, or of a zoneless one as it reads."""
+    if isinstance(calls.schema[ts].dataType, T.TimestampType):
+        return F.unix_micros(ts)
+    since = F.col(ts) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (since.cast("decimal(18,6)") * 1_000_000).cast("bigint")
 
 
 def call_gaps(calls: DataFrame, caller: str, ts: str, call_id: str, interval: float = MIN_INTERVAL_SECONDS) -> DataFrame:
@@ -48,7 +52,7 @@ def call_gaps(calls: DataFrame, caller: str, ts: str, call_id: str, interval: fl
     is missing to the interval. Callers of any size are split into segments.
     """
     keys, order = [caller], ["micros", call_id]
-    rows = ordered_segments(calls.select(caller, call_id, _micros(ts).alias("micros")), keys, order)
+    rows = ordered_segments(calls.select(caller, call_id, _micros(calls, ts).alias("micros")), keys, order)
     local = rows.withColumn("before", F.lag("micros").over(within_segment(keys, order)))
     summary = rows.groupBy(*keys, SEGMENT).agg(F.max("micros").alias("last"))
     carried = with_carry(local, summary, keys, {"last_before": F.max("last").over(earlier_segments(keys))})
@@ -70,7 +74,7 @@ def paced_release(calls: DataFrame, caller: str, ts: str, call_id: str, interval
     """
     keys, order = [caller], ["micros", call_id]
     step = int(round(interval * 1_000_000))
-    rows = ordered_segments(calls.select(caller, call_id, _micros(ts).alias("micros")), keys, order)
+    rows = ordered_segments(calls.select(caller, call_id, _micros(calls, ts).alias("micros")), keys, order)
     window = within_segment(keys, order)
     local = rows.withColumn("i", F.row_number().over(window).cast("bigint") - 1)
     local = local.withColumn("slack", F.col("micros") - F.col("i") * step)

@@ -79,7 +79,7 @@ def session_purge(spark, sf_dir):
     """Events left, and removed per session, after deleting sessions with a warning mark."""
     events = inputs.session_events(spark, sf_dir)
     marked = F.get("texts", F.lit(0)).isin("error 13", "error 42", "error 77")
-    deleted = events.where(marked).select(*SESSION).distinct()
+    deleted = sessions.delete_list(events.where(marked))
     left = sessions.purge(events, deleted).groupBy(*SESSION).agg(F.count(F.lit(1)).alias("events")).withColumn("purged", F.lit(False))
     gone = sessions.purge_counts(events, deleted).withColumnRenamed("purged_events", "events").withColumn("purged", F.lit(True))
     return left.unionByName(gone)

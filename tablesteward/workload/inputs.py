@@ -175,7 +175,7 @@ def shop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.lit("shop").alias("app_name"),
         user.alias("user_id"),
-        F.concat(user, F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
+        F.concat(user, F.lit("-"), F.date_format(F.to_date("ts"), "yyyyMMdd")).alias("session_id"),
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event_id"),
         "ts",
         F.lit(0).alias("arrival"),

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesteward.functions import arithmetic, fiscal, jsonsafe, statekeys, text, vectors
+from tablesteward.operators.trace import paced_release
+from tablesteward.session import setting
 
 
 def test_byte_sizes(evaluate):
@@ -173,6 +175,20 @@ def test_calendar(spark):
             ]
 
 
+def test_no_session_zone_takes_part(spark):
+    """Midnights that a zone skipped (its clocks went forward) stay as they are."""
+    moment = dt.datetime(2018, 11, 4, 0, 30)
+    df = spark.createDataFrame([(moment,)], "at timestamp_ntz")
+    with setting(spark, "spark.sql.session.timeZone", "America/Sao_Paulo"):
+        assert jsonsafe.json_safe(df).first()[0] == "2018-11-04T00:30:00"
+        row = fiscal.with_calendar(df, "at", "UTC").first()
+        assert list(row)[1:4] == ["2018-11-04 00:30:00", "04/11/2018", "November/2018"]
+        calls = df.selectExpr("1 AS caller", "1 AS call_id", "at").union(df.selectExpr("1", "2", "at + INTERVAL '1' MINUTE"))
+        released = paced_release(calls, "caller", "at", "call_id", 90.0).orderBy("call_id").collect()
+    start = int(moment.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    assert [r["release_micros"] - start for r in released] == [0, 90_000_000]
+
+
 def test_state_keys(evaluate):
     keys = ["plain", "__meta__", "____", "_____", "_Z_x_Z_", "_Z__Z_", "__x", "x__"]
     encoded = evaluate(keys, "string", statekeys.encode_key(F.col("x")))

@@ -100,6 +100,12 @@ def test_recent_and_since(spark, history):
     edge = ordered[-3][4]
     since = sessions.recent_events(df, 10, after=edge).where("session_id = 'hot'").collect()
     assert {r["event_id"] for r in since} == {r[3] for r in ordered if r[4] > edge}
+    many = spark.range(5000).selectExpr(
+        "'a' AS app_name", "'u' AS user_id", "'hot' AS session_id", "CAST(id AS STRING) AS event_id",
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id % 1700 AS INT)) AS ts",
+    )
+    top = [r[0] for r in sessions.recent_events(many, 1200).orderBy("back").select("event_id").collect()]
+    assert top == sorted(map(str, range(5000)), key=lambda i: (int(i) % 1700, i), reverse=True)[:1200]
     assert sessions.recent_events(df).count() == sessions.recent_events(df, 0).count() == 600
 
 
@@ -119,7 +125,7 @@ def test_listing_and_purge(spark):
     assert [r["session_id"] for r in sessions.session_list(df, "a").collect()] == ["b", "c", "d", "a"]
     assert [r["session_id"] for r in sessions.session_list(df, "a", "v").collect()] == ["d"]
     assert sessions.session_list(df, "other").count() == 0
-    gone = df.where("session_id IN ('a', 'b')")
+    gone = sessions.delete_list(df.where("session_id IN ('a', 'b')"))
     assert {r["session_id"] for r in sessions.purge(df, gone).collect()} == {"c", "d"}
     assert {r["session_id"]: r["purged_events"] for r in sessions.purge_counts(df, gone).collect()} == {"a": 2, "b": 1}
 
