@@ -115,4 +115,5 @@ def embed_column(
         mask = None if known.all() else pa.array(~known)
         return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()), mask=mask)
 
-    return df.withColumn(output, unit_vectors(embed_input(F.col(text), instruction)))
+    # Marked so that a filter on the vector does not embed every text twice.
+    return df.withColumn(output, unit_vectors.asNondeterministic()(embed_input(F.col(text), instruction)))
