@@ -29,8 +29,9 @@ MASKED_SPANS = (
     r"|`(?:\\.|[^`\\])*+(?:`|\\?\z)"
 )
 
-# Functions and clauses of Spark's own dialect that reach outside the query.
-ESCAPE_HATCHES = r"(?iU)(?<!\w)(?:reflect|java_method|try_reflect|transform)\s*\("
+# Functions of Spark's own dialect that reach outside the query, and USING with
+# a command instead of a column list (script transforms).
+ESCAPE_HATCHES = r"(?iU)(?<!\w)(?:(?:reflect|java_method|try_reflect)\s*\(|using(?!\w)(?!\s*+\())"
 
 
 def unfence(text: Column) -> Column:

@@ -23,8 +23,8 @@ def _lines(ordinal: str, line: Column) -> Column:
 def catalog_tables(spark: SparkSession, refs: list[TableRef]) -> DataFrame:
     """One row per table with its row count.
 
-    Counts of Parquet folders come from the footers, all tables in one job;
-    tables of the session catalog are counted by Spark.
+    Counts of Parquet tables come from the footers, all tables in one job;
+    other tables of the session catalog are counted by Spark.
     """
     layout = partition_summaries(spark, refs)
     rows = [
@@ -32,10 +32,10 @@ def catalog_tables(spark: SparkSession, refs: list[TableRef]) -> DataFrame:
         for r in refs
     ]
     counts = None
-    stored = [ref for ref in refs if ref.path is not None]
+    stored = [ref for ref in refs if ref.files is not None]
     if stored:
         counts = table_rows(footer_inventory(data_files(spark, stored)))
-    for ref in (r for r in refs if r.path is None):
+    for ref in (r for r in refs if r.files is None):
         counted = ref.read(spark).agg(F.count(F.lit(1)).alias("num_rows")).select(F.lit(ref.table_id).alias("table_id"), "num_rows")
         counts = counted if counts is None else counts.unionByName(counted)
     tables = spark.createDataFrame(rows, TABLE_SCHEMA)

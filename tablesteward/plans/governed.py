@@ -140,7 +140,10 @@ def scanned_columns(spark: SparkSession, sql: str, parameters: dict | None, refs
             kind = leaf.getClass().getSimpleName()
             if kind in FREE_SCANS:
                 continue
-            table = _table_of(leaf, refs) if kind == "FileSourceScanExec" else None
+            paths = _root_paths(leaf) if kind == "FileSourceScanExec" else None
+            if paths == []:  # every partition is pruned away
+                continue
+            table = _table_of(paths, refs) if paths else None
             if table is None:
                 return None
             partition_schema = T.StructType.fromJson(_json(leaf.relation().partitionSchema().json()))
@@ -165,11 +168,15 @@ def _plain_path(path: str) -> str:
     return path.rstrip("/").replace("file:///", "/").removeprefix("file:")
 
 
-def _table_of(leaf, refs: tuple[TableRef, ...]) -> TableRef | None:
-    roots = leaf.relation().location().rootPaths()
-    paths = [_plain_path(roots.apply(i).toString()) for i in range(roots.size())]
+def _root_paths(leaf) -> list[str]:
+    roots = leaf.relation().location().rootPaths().mkString("\n")
+    return [_plain_path(path) for path in roots.split("\n") if path]
+
+
+def _table_of(paths: list[str], refs: tuple[TableRef, ...]) -> TableRef | None:
     for ref in refs:
-        if ref.path is not None and all(path == _plain_path(ref.path) for path in paths):
+        # A partitioned catalog table is scanned by its pruned partition folders.
+        if ref.files is not None and all(f"{path}/".startswith(_plain_path(ref.files) + "/") for path in paths):
             return ref
     return None
 

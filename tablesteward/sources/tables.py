@@ -18,7 +18,11 @@ R = TypeVar("R")
 
 @dataclass(frozen=True)
 class TableRef:
-    """One table: its three-part name, where it is read, and what is known of it."""
+    """One table: its three-part name, where it is read, and what is known of it.
+
+    ``path`` is set for folder tables; a table of the session catalog is read by
+    name, and ``location`` is where its Parquet files are, if it has such.
+    """
 
     project: str
     dataset: str
@@ -28,6 +32,11 @@ class TableRef:
     description: str = ""
     sample_order: tuple[str, ...] = ()
     schema: T.StructType | None = field(default=None, compare=False)
+    location: str | None = None
+
+    @property
+    def files(self) -> str | None:
+        return self.path or self.location
 
     @property
     def table_id(self) -> str:
@@ -60,10 +69,18 @@ def catalog_tables(spark: SparkSession, datasets: str | list[str] = "", project:
         for entry in spark.catalog.listTables(dataset):
             if not entry.isTemporary:
                 kind = "VIEW" if entry.tableType == "VIEW" else "TABLE"
-                refs.append(TableRef(owner, dataset, entry.name, None, kind, (entry.description or "").strip()))
+                ref = TableRef(owner, dataset, entry.name, None, kind, (entry.description or "").strip())
+                refs.append(replace(ref, location=_location(spark, ref)))
     return refs
 
 
+def _location(spark: SparkSession, ref: TableRef) -> str | None:
+    """The folder of a catalog table kept as Parquet files."""
+    facts = spark.sql(f"DESCRIBE TABLE EXTENDED `{ref.dataset}`.`{ref.table}`").where("col_name IN ('Provider', 'Location')")
+    found = {row["col_name"]: row["data_type"] for row in facts.collect()}
+    return found.get("Location") if found.get("Provider", "").lower() == "parquet" else None
+
+
 def folder_tables(folder: str, names: list[str], dataset: str, project: str = DEFAULT_PROJECT) -> list[TableRef]:
     """Tables kept as ``<folder>/<name>.parquet`` (a file or a folder of files)."""
     return [TableRef(project, dataset, name, f"{folder}/{name}.parquet") for name in names]
@@ -97,12 +114,12 @@ def data_files(spark: SparkSession, refs: list[TableRef]) -> DataFrame:
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load([ref.path for ref in refs])
+        .load([ref.files for ref in refs])
         .select("path", F.col("length").alias("file_bytes"))
         .where("file_bytes > 0")
     )
     # Two tables may share a folder, so a file can have more than one owner.
-    inside = [F.concat("path", F.lit("/")).contains(ref.path.rstrip("/") + "/") for ref in refs]
+    inside = [F.concat("path", F.lit("/")).contains(ref.files.rstrip("/") + "/") for ref in refs]
     owners = F.array_compact(F.array(*[F.when(hit, F.lit(ref.table_id)) for hit, ref in zip(inside, refs)]))
     return listing.select(F.explode(owners).alias("table_id"), "path", "file_bytes")
 
