@@ -32,6 +32,7 @@ MESSAGE_SCHEMA = (
 )
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
@@ -51,12 +52,19 @@ class SessionStream:
         self.bases = {name: SnapshotTable(spark, f"{self.folder}/{name}_base") for name in ("state", "messages")}
 
     def start(
-        self, source: str, files_per_batch: int = 1000, late_limit: str | None = None, schema: str = EVENT_SCHEMA
+        self,
+        source: str,
+        files_per_batch: int = 1000,
+        late_limit: str | None = None,
+        schema: str = EVENT_SCHEMA,
+        state_partitions: int | None = None,
     ) -> StreamingQuery:
         """Process all files now under ``source`` and stop.
 
         By default no event is too late. ``late_limit`` (an interval) bounds the
         remembered ids instead, and drops events later than that.
+        ``state_partitions`` (default: the session's shuffle partitions) is fixed
+        by the first start; each has a store that is committed every batch.
         """
         events = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
         stored, identity = events.where(~F.col("partial")), [*SESSION, "event_id"]
@@ -66,7 +74,12 @@ class SessionStream:
             timed = stored.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late_limit)
             unique = timed.dropDuplicatesWithinWatermark(identity).drop("event_time")
         # Each commit uploads the changes, not the files of the whole state.
-        with setting(self.spark, PROVIDER, ROCKSDB), setting(self.spark, CHANGELOG, "true"):
+        partitions = str(state_partitions or self.spark.conf.get(PARTITIONS))
+        with (
+            setting(self.spark, PROVIDER, ROCKSDB),
+            setting(self.spark, CHANGELOG, "true"),
+            setting(self.spark, PARTITIONS, partitions),
+        ):
             return (
                 unique.writeStream.foreachBatch(self.apply)
                 .option("checkpointLocation", f"{self.folder}/checkpoint")

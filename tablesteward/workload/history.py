@@ -92,7 +92,7 @@ def stream_sessions(spark, sf_dir):
     again = events.where("author = 'user'")
     events.unionByName(again).repartition(6, F.xxhash64("event_id", F.size("texts")) % 6, "user_id").write.parquet(source)
     stream = SessionStream(spark, scratch_path(spark, "session-stream"), compact_every=2)
-    stream.run(source, files_per_batch=2)
+    stream.run(source, files_per_batch=2, state_partitions=spark.sparkContext.defaultParallelism)
     return stream.previews()
 
 
@@ -101,7 +101,7 @@ def stream_state(spark, sf_dir):
     source = scratch_path(spark, "event-files")
     inputs.session_events(spark, sf_dir).repartition(4, "event_id").write.parquet(source)
     stream = SessionStream(spark, scratch_path(spark, "session-stream"), compact_every=3)
-    stream.run(source, files_per_batch=1)
+    stream.run(source, files_per_batch=1, state_partitions=spark.sparkContext.defaultParallelism)
     return stream.state()
 
 
