@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tablesteward.llm import quality
+from tablesteward.llm import quality, simhash
 
-MODULES = (quality,)
+MODULES = (quality, simhash)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}
