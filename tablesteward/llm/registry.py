@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tablesteward.llm import bpe, quality, simhash
+from tablesteward.llm import bpe, mixing, quality, simhash
 
-MODULES = (bpe, quality, simhash)
+MODULES = (bpe, mixing, quality, simhash)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}
