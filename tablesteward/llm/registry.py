@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tablesteward.llm import annsearch, bpe, language, mixing, quality, sharding, simhash
+from tablesteward.llm import annsearch, bpe, language, maxent, mixing, quality, sharding, simhash
 
-MODULES = (annsearch, bpe, language, mixing, quality, sharding, simhash)
+MODULES = (annsearch, bpe, language, maxent, mixing, quality, sharding, simhash)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE", {}).items()}
