@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from tablesteward.functions.jsonsafe import json_safe
 from tablesteward.functions.sqltext import ESCAPE_HATCHES, with_verdict
+from tablesteward.plans.planwalk import leaves_engine, parsed, physical_leaves, refusal
 from tablesteward.operators.scancost import MAX_BYTES, rejection_text
-from tablesteward.session import materialize, setting
+from tablesteward.session import materialize
 from tablesteward.sources.footers import footer_inventory
 from tablesteward.sources.tables import TableRef, data_files, register
 
@@ -49,6 +50,11 @@ class Warehouse:
         register(spark, refs)
         return cls(spark, tuple(refs))
 
+    def names(self) -> set[str]:
+        """What a text may call the tables; those of the session catalog go by their database as well."""
+        short = {f"{ref.dataset}.{ref.table}".lower() for ref in self.refs if ref.path is None}
+        return short | {ref.table_id.lower() for ref in self.refs}
+
     def with_stored_inventory(self) -> Warehouse:
         """Read all footers once now, instead of those of each query's tables."""
         return replace(self, inventory=materialize(footer_inventory(data_files(self.spark, list(self.refs))), "footers"))
@@ -97,7 +103,10 @@ class GovernedRun:
 def governed_sql(
     warehouse: Warehouse, text: str | None, max_bytes: int = MAX_BYTES, parameters: dict | None = None
 ) -> GovernedRun:
-    """Check and price ``text``; nothing of it reaches Spark before the checks.
+    """Check and price ``text``: by its words, as parsed, as analysed and as planned.
+
+    A relation that is not registered is refused on the parsed text, before
+    Spark looks for it. Calls into the JVM are refused however they are written.
 
     Every failure comes back as a run with status ``error``. The result is lazy
     and JSON-safe; ``finish`` runs it under a time limit.
@@ -110,12 +119,16 @@ def governed_sql(
         return GovernedRun("error", text if checked["cleaned"] is None else checked["cleaned"], code, MESSAGES[code])
     sql = checked["cleaned"]
     try:
-        scans = scanned_columns(spark, sql, parameters, warehouse.refs)
-        result = spark.sql(sql, args=parameters)
+        code = refusal(parsed(spark, sql), warehouse.names())
+        result = None if code else spark.sql(sql, args=parameters)
+        if result is not None and leaves_engine(result):
+            code = "escape_hatch"
+        scans = None if code else scanned_columns(result, warehouse.refs)
     except Exception as problem:
         return GovernedRun("error", sql, "execution_failed", f"query could not be planned: {problem}")
     if scans is None:
-        return GovernedRun("error", sql, "unknown_source", MESSAGES["unknown_source"])
+        code = code or "unknown_source"
+        return GovernedRun("error", sql, code, MESSAGES[code])
     estimate = estimate_bytes(warehouse, scans)
     if estimate > max_bytes:
         message = spark.range(1).select(rejection_text(F.lit(estimate), max_bytes)).first()[0]
@@ -123,38 +136,33 @@ def governed_sql(
     return GovernedRun("success", sql, None, None, estimate, max_bytes, json_safe(result))
 
 
-def scanned_columns(spark: SparkSession, sql: str, parameters: dict | None, refs: tuple[TableRef, ...]) -> list[Scan] | None:
-    """What the scans of a read-only text would read; None if a source is not registered.
+def scanned_columns(planned: DataFrame, refs: tuple[TableRef, ...]) -> list[Scan] | None:
+    """What the scans of a read-only frame would read; None if a source is not registered.
 
-    Taken from the physical plan, where unused columns are already gone. It is
-    planned without adaptive execution, so that subqueries are planned as well,
-    and never run.
+    Taken from the physical plan, where unused columns are already gone; of a
+    cached relation, from the plan under the cache. Nothing is run and no
+    setting of the session is touched, so runs may overlap.
     """
-    with setting(spark, "spark.sql.adaptive.enabled", "false"):
-        plan = spark.sql(sql, args=parameters)._jdf.queryExecution().executedPlan()
-    subqueries = plan.subqueriesAll()
-    scans = []
-    for tree in [plan, *(subqueries.apply(i) for i in range(subqueries.size()))]:
-        leaves = tree.collectLeaves()
-        for leaf in (leaves.apply(i) for i in range(leaves.size())):
-            kind = leaf.getClass().getSimpleName()
-            if kind in FREE_SCANS:
-                continue
-            paths = _root_paths(leaf) if kind == "FileSourceScanExec" else None
-            if paths == []:  # every partition is pruned away
-                continue
-            table = _table_of(paths, refs) if paths else None
-            if table is None:
-                return None
-            partition_schema = T.StructType.fromJson(_json(leaf.relation().partitionSchema().json()))
-            scans.append(
-                Scan(
-                    table,
-                    tuple(f["name"] for f in _json(leaf.requiredSchema().json())["fields"]),
-                    tuple(partition_schema.fields),
-                    tuple(_static_filters(leaf)),
-                )
+    spark, scans = planned.sparkSession, []
+    for leaf in physical_leaves(planned):
+        kind = leaf.getClass().getSimpleName()
+        if kind in FREE_SCANS:
+            continue
+        paths = _root_paths(leaf) if kind == "FileSourceScanExec" else None
+        if paths == []:  # every partition is pruned away
+            continue
+        table = _table_of(spark, paths, refs) if paths else None
+        if table is None:
+            return None
+        partition_schema = T.StructType.fromJson(_json(leaf.relation().partitionSchema().json()))
+        scans.append(
+            Scan(
+                table,
+                tuple(f["name"] for f in _json(leaf.requiredSchema().json())["fields"]),
+                tuple(partition_schema.fields),
+                tuple(_static_filters(leaf)),
             )
+        )
     return scans
 
 
@@ -164,19 +172,22 @@ def _json(text: str):
     return json.loads(text)
 
 
-def _plain_path(path: str) -> str:
-    return path.rstrip("/").replace("file:///", "/").removeprefix("file:")
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, as scans name it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place).toString().rstrip("/")
 
 
 def _root_paths(leaf) -> list[str]:
     roots = leaf.relation().location().rootPaths().mkString("\n")
-    return [_plain_path(path) for path in roots.split("\n") if path]
+    return [path for path in roots.split("\n") if path]
 
 
-def _table_of(paths: list[str], refs: tuple[TableRef, ...]) -> TableRef | None:
+def _table_of(spark: SparkSession, paths: list[str], refs: tuple[TableRef, ...]) -> TableRef | None:
+    found = [_qualified(spark, path) for path in paths]
     for ref in refs:
         # A partitioned catalog table is scanned by its pruned partition folders.
-        if ref.files is not None and all(f"{path}/".startswith(_plain_path(ref.files) + "/") for path in paths):
+        if ref.files is not None and all(f"{path}/".startswith(_qualified(spark, ref.files) + "/") for path in found):
             return ref
     return None
 

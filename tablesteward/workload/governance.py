@@ -135,6 +135,32 @@ def result_envelope(spark, sf_dir):
     )
 
 
+def _refused(sf_dir: str) -> list[tuple[str, str | None]]:
+    """Texts that have to be refused, each with its code by construction, and one that is fine."""
+    events = _name("events")
+    return [
+        ("SELECT `reflect`('java.lang.System', 'getProperty', 'user.home') AS leak", "escape_hatch"),
+        (r"SELECT r'\', java_method('java.lang.System', 'getProperty', 'user.home') , 'x'", "escape_hatch"),
+        (f"SELECT event_id FROM {events} WHERE event_id IN (SELECT `try_reflect`('a', 'b'))", "escape_hatch"),
+        (f"SELECT TRANSFORM(event_id) USING 'cat' AS (copy) FROM {events}", "escape_hatch"),
+        (f"SELECT event_id FROM parquet.`{sf_dir}/events.parquet`", "unknown_source"),
+        (f"WITH hidden AS (SELECT * FROM json.`{sf_dir}`) SELECT * FROM hidden", "unknown_source"),
+        (f"SELECT (SELECT max(c) FROM csv.`{sf_dir}`) AS most FROM {events}", "unknown_source"),
+        (f"WITH gone AS (SELECT 1 AS x) DELETE FROM {events}", "not_read_only"),
+        (f"SELECT event_id FROM {events}; DROP TABLE {events}", "multiple_statements"),
+        (f"SELECT count(*) AS n FROM {events} WHERE value > (SELECT avg(value) FROM {events})", None),
+    ]
+
+
+def governed_refusals(spark, sf_dir):
+    """Events as a log of texts, most of them hostile, with the code of each."""
+    warehouse = Warehouse.open(spark, table_refs(sf_dir))
+    codes = [governed_sql(warehouse, text).error_code for text, _ in _refused(sf_dir)]
+    shape = F.pmod("event_id", F.lit(len(codes))).cast("int")
+    told = F.get(F.array(*[F.lit(code).cast("string") for code in codes]), shape)
+    return table(spark, sf_dir, "events").select("event_id", shape.alias("shape"), told.alias("code"))
+
+
 def json_safe_scalars(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("double")
     ratio = F.when(k == 50, F.lit(float("nan"))).when(k == 51, F.lit(float("inf"))).when(k == 52, F.lit(float("-inf")))
@@ -182,7 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sql_unfence, sql_mask, sql_sanitize, sql_verdict, sql_audit_report, cost_verdict, scan_cost_report, format_bytes,
-        governed_topk, governed_cte, governed_union_all, governed_join, governed_rollup, result_envelope,
+        governed_topk, governed_cte, governed_union_all, governed_join, governed_rollup, result_envelope, governed_refusals,
         json_safe_scalars, json_safe_nested, rows_as_json,
     )
 }
@@ -245,6 +271,9 @@ SELECT *, {_unit_sql('total_bytes')} AS total_text FROM t""",
     "format_bytes": f"""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT)
   * ([{', '.join(str(1024**p // 64 + 1) for p in range(5))}])[l_orderkey % 5 + 1] AS size FROM lineitem)
 SELECT *, {_unit_sql('size')} AS size_text FROM s""",
+    "governed_refusals": f"""SELECT event_id, CAST(event_id % {len(_refused(""))} AS INTEGER) AS shape,
+  CASE event_id % {len(_refused(""))} {" ".join(f"WHEN {i} THEN '{code}'" for i, (_, code) in enumerate(_refused("")) if code)} END AS code
+FROM events""",
     "governed_topk": _plain_names(TOPK),
     "governed_cte": _plain_names(CTE),
     "governed_union_all": _plain_names(UNION),
