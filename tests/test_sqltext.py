@@ -5,67 +5,36 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablesteward.functions.sqltext import mask, with_verdict
-
-READ = "SELECT site, AVG(level) AS mean_level FROM `a.b.daily` WHERE day BETWEEN '2026-05-01' AND '2026-05-31' GROUP BY 1 LIMIT 10"
-
-CLEANED = [
-    ("```sql\nSELECT 2\n```", "SELECT 2"),
-    ("```SQL\nSELECT 2\n```", "SELECT 2"),
-    ("```googlesql\nSELECT 2\n```", "SELECT 2"),
-    ("```\nSELECT 2\n```", "SELECT 2"),
-    ("text before ```bigquery SELECT 2``` and after; it", "SELECT 2"),
-    ("```sql\nSELECT 2", "SELECT 2"),
-    ("   SELECT 2\t ", "SELECT 2"),
-    ("SELECT 2;", "SELECT 2"),
-    ("SELECT 2 ;\n;\u2003", "SELECT 2"),
-]
-EMPTY = ["", "    ", "\n", ";", None, "```sql\n```", "\u00a0"]
-ONE_STATEMENT = [
-    "SELECT * FROM t WHERE note = 'x;y'",
-    'SELECT * FROM t WHERE note = "x;y"',
-    "SELECT * FROM t WHERE note = '''x;'y'''",
-    "SELECT 3 -- the end ; here",
-    "SELECT 3 # the end ; here",
-    "SELECT 3 /* within ; this */",
-    "SELECT `odd;name` FROM t",
-    r"SELECT * FROM t WHERE note = 'that\'s; it'",
-]
-READS = [
-    READ,
-    "WITH m AS (SELECT 3 AS a) SELECT a FROM m",
-    "(SELECT 3) UNION ALL (SELECT 4)",
-    "-- a line first\nSELECT 3",
-    "/* a block first */ SELECT 3",
-    "SELECT day, updated_at FROM t",
-    "SELECT created_on FROM t",
-    "SELECT alterations FROM t",
-    "SELECT * FROM t WHERE town = 'Update Falls'",
-    "SELECT 3 -- create a list",
-    "SELECT * FROM t /* DROP it all */",
-    "SELECT delete_mark, insert_time FROM t",
-    "select é_update from t",
-]
-WRITES = [
-    "INSERT INTO t VALUES (3)",
-    "UPDATE t SET a = 3",
-    "DELETE FROM t WHERE 3 = 3",
-    "CREATE TABLE x AS SELECT 3",
-    "create or replace view v as select 3",
-    "DROP TABLE t",
-    "ALTER TABLE t ADD COLUMN c INT",
-    "TRUNCATE TABLE t",
-    "MERGE t USING s ON 3=3 WHEN MATCHED THEN UPDATE SET a = 3",
-    "GRANT `r` ON SCHEMA d TO 'user:x'",
-    "REVOKE `r` ON SCHEMA d FROM 'user:x'",
-    "CALL d.p()",
-    "DECLARE x INT DEFAULT 3",
-    "EXPORT DATA OPTIONS(uri='u*.csv', format='CSV') AS SELECT 3",
-    "LOAD DATA INTO t FROM FILES (uris=['u.csv'])",
-    "WITH a AS (SELECT 3) DELETE FROM t",
-    "SELECT call FROM t",
-    "SELECT 3 FROM t; ",
-][:-1]
+from tablesteward.functions.sqltext import FENCE_TAGS, WRITE_KEYWORDS, mask, with_verdict
+
+TABLES = ("orders", "lineitem", "customer")
+BLANK = (" ", "\n", "\t", "\u2003")
+# Parts of statements over the driver's tables; what a text should get follows from the parts it is made of.
+BODIES = (
+    "SELECT count(*) AS n FROM {t}",
+    "WITH w AS (SELECT * FROM {t}) SELECT max(n) FROM w",
+    "((SELECT 5 AS n) UNION ALL (SELECT n FROM {t}))",
+    "select {column} from {t} group by all",
+)
+COLUMNS = tuple(f"{lead}{word.lower()}{tail}" for word in WRITE_KEYWORDS for lead, tail in (("x_", ""), ("", "_x"), ("é", ""), ("", "9")))
+
+
+def hidden(draw, inside):
+    """``inside`` where it counts for nothing: in a comment, a literal or a quoted name."""
+    shape = draw.choice(["'{}'", '"{}"', "\'\'\'{}\'\'\'", "`{}`", "/* {} */", "-- {}\n", "# {}\n", r"'\' {}'"])
+    return " " + shape.format(inside) + " "
+
+
+def read_text(draw):
+    body = draw.choice(BODIES).format(t=draw.choice(TABLES), column=draw.choice(COLUMNS))
+    word = draw.choice(WRITE_KEYWORDS)
+    head, tail = (draw.choice(["", hidden(draw, f"{word} it; {word}")]) for _ in range(2))
+    return (head if head.strip().startswith(("/*", "--", "#")) else "") + body + tail
+
+
+def fenced(draw, text):
+    tag = draw.choice(["", *FENCE_TAGS, *(t.upper() for t in FENCE_TAGS)])
+    return draw.choice(["", "so: "]) + "```" + tag + "\n" + text + draw.choice(["\n", " "]) + "```" + draw.choice(["", " done; bye"])
 
 
 @pytest.fixture(scope="module")
@@ -78,22 +47,42 @@ def audited(spark):
 
 
 def test_clean_up(audited):
-    assert [r["cleaned"] for r in audited([raw for raw, _ in CLEANED])] == [want for _, want in CLEANED]
+    draw = random.Random(11)
+    wanted = [draw.choice(BODIES).format(t=draw.choice(TABLES), column="n") for _ in range(200)]
+    dressed = []
+    for text in wanted:
+        ends = "".join(draw.choice([*BLANK, ";"]) for _ in range(draw.randint(0, 4)))
+        plain = draw.choice(BLANK) + text + ends
+        dressed.append(draw.choice([plain, fenced(draw, text + ends), "```sql\n" + text + ends]))
+    assert [r["cleaned"] for r in audited(dressed)] == wanted
 
 
 def test_empty_texts(audited):
-    rows = audited(EMPTY)
+    draw = random.Random(12)
+    texts = [None, *("".join(draw.choice([*BLANK, ";", "\u00a0"]) for _ in range(n)) for n in range(12))]
+    rows = audited(texts + [f"```{tag}\n```" for tag in FENCE_TAGS])
     assert {r["verdict"] for r in rows} == {"empty"} and {r["cleaned"] for r in rows} == {None}
 
 
-def test_two_statements(audited):
-    assert audited(["SELECT 3; DROP TABLE t"])[0]["verdict"] == "multiple_statements"
+def test_reads(audited):
+    draw = random.Random(13)
+    assert [r["sql"] for r in audited([read_text(draw) for _ in range(400)]) if r["verdict"] != "ok"] == []
 
 
-@pytest.mark.parametrize("texts, verdict", [(ONE_STATEMENT, "ok"), (READS, "ok"), (WRITES, "not_read_only")])
-def test_verdicts(audited, texts, verdict):
-    wrong = [r["sql"] for r in audited(texts) if r["verdict"] != verdict]
-    assert wrong == []
+def test_two_statements(audited):
+    draw = random.Random(14)
+    texts = [read_text(draw) + "\n;" + read_text(draw) for _ in range(100)]
+    assert {r["verdict"] for r in audited(texts)} == {"multiple_statements"}
+
+
+def test_writes(audited):
+    draw = random.Random(15)
+    texts = []
+    for word in WRITE_KEYWORDS:
+        shown, t = draw.choice([word, word.lower(), word.title()]), draw.choice(TABLES)
+        texts += [f"{shown} {t}", f"/* first */ {shown} {t}", f"WITH w AS (SELECT 5) {shown} {t}", f"SELECT {shown} FROM {t}"]
+    texts += ["VALUES (5)", "SHOW TABLES", "USE x", "selects 5"]
+    assert [r["sql"] for r in audited(texts) if r["verdict"] != "not_read_only"] == []
 
 
 def scan(sql):
