@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Steps of an invocation that go into one record; longer ones make several.
-RECORD_STEPS = 1000
-
-
 def _in_order(value: str, kept: Column | None = None) -> Column:
     """The non-null values of a group by step number."""
     source = F.col(value) if kept is None else F.when(kept, F.col(value))
@@ -17,16 +13,13 @@ def _in_order(value: str, kept: Column | None = None) -> Column:
     return F.transform(F.sort_array(pairs), lambda s: s["item"])
 
 
-def invocation_fold(steps: DataFrame, record_steps: int = RECORD_STEPS) -> DataFrame:
-    """Records of ``steps(invocation_id, seq, author, text, call, response, final)``.
+def invocation_fold(steps: DataFrame) -> DataFrame:
+    """One record per invocation of ``steps(invocation_id, seq, author, text, call, response, final)``.
 
-    A record holds ``record_steps`` consecutive step numbers, in ``part`` order;
-    an invocation of usual length is one record, one of any length never grows a
-    group beyond that. ``final_text`` joins the final texts without separator.
+    ``final_text`` joins the final texts without separator.
     """
-    part = F.floor(F.col("seq") / F.lit(record_steps)).cast("bigint")
     asked = F.when(F.col("author") == "user", F.col("text"))
-    return steps.groupBy("invocation_id", part.alias("part")).agg(
+    return steps.groupBy("invocation_id").agg(
         F.min_by(asked, F.when(asked.isNotNull(), F.col("seq"))).alias("question"),
         F.array_join(_in_order("text", F.col("final")), "").alias("final_text"),
         _in_order("call").alias("tool_uses"),

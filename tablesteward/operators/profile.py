@@ -144,8 +144,9 @@ def sample_rows(df: DataFrame, limit: int = SAMPLE_ROWS, order: tuple[str, ...]
 
     Without ``order`` this is a plain limit, which stops after the first
     partitions. With it the sample is deterministic: the leading order column
-    (null rows are passed over) is read alone to find its ``limit``-th smallest
-    value, and that bound is pushed into the scan of the other columns.
+    is read alone to find its ``limit``-th smallest value, and that bound is
+    pushed into the scan of the other columns. Null rows come last and fill the
+    sample where fewer than ``limit`` others exist.
     """
     scalars = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
     narrow = df.select(*[f"`{name}`" for name in scalars])
@@ -153,8 +154,12 @@ def sample_rows(df: DataFrame, limit: int = SAMPLE_ROWS, order: tuple[str, ...]
         return narrow.limit(limit)
     lead = F.col(f"`{order[0]}`")
     smallest = df.select(lead.alias("lead")).where(lead.isNotNull()).orderBy("lead").limit(limit)
-    ranked = [f"`{name}`" for name in (*order, *[s for s in scalars if s not in order])]
-    return narrow.where(lead <= smallest.agg(F.max("lead")).scalar()).orderBy(*ranked).limit(limit)
+    rest = [F.col(f"`{name}`") for name in (*order[1:], *[s for s in scalars if s not in order])]
+    near = narrow.where(lead <= smallest.agg(F.max("lead")).scalar())
+    # A plan of its own: merged with the bound's it would keep the bound out of the scan.
+    some = df.where(lead.isNotNull()).select(lead.alias("some")).limit(limit)
+    last = narrow.where(lead.isNull() & (some.agg(F.count("some")).scalar() < limit)).orderBy(*rest).limit(limit)
+    return near.union(last).orderBy(lead.asc_nulls_last(), *rest).limit(limit)
 
 
 def sample_cells(spark: SparkSession, refs: list[TableRef], limit: int = SAMPLE_ROWS) -> DataFrame:

@@ -77,7 +77,7 @@ def invocation_fold(spark, sf_dir):
         return F.array_join(F.transform(calls, lambda c: F.concat(c["id"], F.lit(":"), c["name"], F.lit(":"), c[value])), "\n")
 
     return folded.select(
-        "invocation_id", "part", "question", "final_text", joined("tool_uses", "args").alias("calls"),
+        "invocation_id", "question", "final_text", joined("tool_uses", "args").alias("calls"),
         joined("tool_responses", "response").alias("responses"),
     )
 
@@ -145,7 +145,7 @@ _LOCAL = "timezone('America/Sao_Paulo', timezone('UTC', {ts}))"
 _FISCAL = f"CAST(year({_LOCAL}) - CASE WHEN month({_LOCAL}) < 4 THEN 1 ELSE 0 END AS INTEGER)"
 _STEPS = """steps AS (
   SELECT 'c' || conv_id AS invocation_id, conv_id, turn, role, text, 'call_' || turn AS call_id,
-    CASE WHEN contains(text, chr(10)) THEN 'run_query' ELSE 'look_up' END AS name, substr(text, 1, 40) AS args
+    CASE WHEN contains(text, chr(10)) THEN 'run_query' ELSE 'look_up' END AS name, text AS args
   FROM conversations)"""
 _MONEY = "CAST(o_totalprice AS DECIMAL(18,2))"
 
@@ -179,12 +179,12 @@ FROM p""",
   {_FISCAL.format(ts='ts')} AS fiscal_year, {_FISCAL.format(ts='ts')} - 1 AS previous_fiscal_year FROM events""",
     "fiscal_year_rollup": f"""SELECT {_FISCAL.format(ts='o_orderdate')} AS fiscal_year, count(*) AS orders,
   CAST(sum({_MONEY}) AS DOUBLE) AS spent FROM orders GROUP BY 1""",
-    "invocation_fold": f"""WITH {_STEPS} SELECT invocation_id, CAST(turn // 1000 AS BIGINT) AS part,
+    "invocation_fold": f"""WITH {_STEPS} SELECT invocation_id,
   arg_min(text, turn) FILTER (role = 'user') AS question,
-  coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant' AND length(text) <= 200), '') AS final_text,
+  coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS final_text,
   coalesce(string_agg(call_id || ':' || name || ':' || args, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS calls,
   coalesce(string_agg(call_id || ':run_query:' || sha256(text), chr(10) ORDER BY turn) FILTER (role = 'system'), '') AS responses
-FROM steps GROUP BY 1, 2""",
+FROM steps GROUP BY 1""",
     "evalset_upsert": """SELECT 'case_' || conv_id AS eval_id, CAST(max(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS INTEGER) AS generation,
   conv_id AS position, CASE WHEN bool_or(role = 'system') THEN 'second' ELSE 'first' END AS recording
 FROM conversations GROUP BY conv_id""",

@@ -202,7 +202,7 @@ def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(False).alias("partial"),
         (F.col("role") == "system").alias("compaction"),
         F.split("text", "\n").alias("texts"),
-        F.create_map(F.lit("topic"), F.substring("text", 1, 20)).alias("state_delta"),
+        F.create_map(F.lit("topic"), F.col("text")).alias("state_delta"),
     )
 
 
@@ -235,7 +235,7 @@ session_events AS (
   UNION ALL
   SELECT 'chat', 'c' || conv_id, 'c' || conv_id, 'c' || conv_id || '-' || turn,
     TIMESTAMP '2024-02-01 00:00:00' + to_minutes(turn), 0, role, false, role = 'system',
-    string_split(text, chr(10)), 'chat', substr(text, 1, 20)
+    string_split(text, chr(10)), 'chat', text
   FROM conversations)"""
 
 
@@ -265,11 +265,11 @@ def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def invocation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of invocations from ``conversations``: one step per turn."""
     number = F.col("turn").cast("string")
-    assistant, short = F.col("role") == "assistant", F.length("text") <= 200
+    assistant = F.col("role") == "assistant"
     call = F.struct(
         F.concat(F.lit("call_"), number).alias("id"),
         F.when(F.col("text").contains("\n"), F.lit("run_query")).otherwise(F.lit("look_up")).alias("name"),
-        F.substring("text", 1, 40).alias("args"),
+        F.col("text").alias("args"),
     )
     response = F.struct(
         F.concat(F.lit("call_"), number).alias("id"), F.lit("run_query").alias("name"), F.sha2("text", 256).alias("response")
@@ -281,7 +281,7 @@ def invocation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
         F.when(assistant, call).alias("call"),
         F.when(F.col("role") == "system", response).alias("response"),
-        (assistant & short).alias("final"),
+        assistant.alias("final"),
     )
 
 
@@ -301,7 +301,7 @@ def index_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
             {
                 "table_id": F.concat(F.lit(prefix), F.col(key).cast("string")),
                 "card": card,
-                "embed_text": F.substring(card, 1, 200),
+                "embed_text": card,
                 "embedding_dimensions": F.lit(1536),
             }
         )
@@ -319,7 +319,7 @@ def index_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def _hash_sql(text: str) -> str:
-    return f"sha256({text} || chr(0) || substr({text}, 1, 200))"
+    return f"sha256({text} || chr(0) || {text})"
 
 
 INDEX_SQL = f"""cards AS (

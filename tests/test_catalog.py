@@ -142,3 +142,12 @@ def test_index_changes(spark):
     updated = cardindex.upsert(index, stale)
     assert cardindex.stale_cards(live, updated, "m", 8).count() == 0 and updated.count() == 6
     assert cardindex.prune(updated, live).count() == 5 and cardindex.pruned_count(updated, live).first()[0] == 1
+
+
+def test_null_leads_fill_a_sample(spark):
+    from tablesteward.operators.profile import sample_rows
+
+    for leads, want in (([3, None, None, None], 4), ([None, None, None], 3), ([1, 2, 3, 4, 5, 6, None], 5)):
+        rows = spark.createDataFrame([(lead, i) for i, lead in enumerate(leads)], "lead int, i int")
+        got = [r["lead"] for r in sample_rows(rows, 5, ("lead",)).collect()]
+        assert len(got) == want and got[:1] == [min((x for x in leads if x is not None), default=None)]

@@ -21,19 +21,19 @@ def test_invocation_fold(spark):
     found = {r["invocation_id"]: r for r in evaluation.invocation_fold(spark.createDataFrame(rows, STEPS)).collect()}
     record = found["i"].asDict(recursive=True)
     assert record == {
-        "invocation_id": "i", "part": 0, "question": "how many?", "final_text": "the answer",
+        "invocation_id": "i", "question": "how many?", "final_text": "the answer",
         "tool_uses": [{"id": "c1", "name": "ask", "args": "{}"}], "tool_responses": [{"id": "c1", "name": "ask", "response": "7"}],
     }
     assert (found["j"]["question"], found["j"]["final_text"], found["j"]["tool_uses"]) == (None, "", [])
 
 
-def test_long_invocation_is_cut_into_parts(spark):
+def test_long_invocation_is_one_record(spark):
     rows = spark.range(2500).selectExpr(
         "'i' AS invocation_id", "id AS seq", "'model' AS author", "CAST(id AS STRING) AS text",
         "CAST(NULL AS STRUCT<id:STRING,name:STRING,args:STRING>) AS call", "CAST(NULL AS STRUCT<id:STRING,name:STRING,response:STRING>) AS response", "true AS final",
     )
-    parts = evaluation.invocation_fold(rows).orderBy("part").collect()
-    assert len(parts) == 3 and "".join(p["final_text"] for p in parts) == "".join(str(i) for i in range(2500))
+    records = evaluation.invocation_fold(rows).collect()
+    assert [r["final_text"] for r in records] == ["".join(str(i) for i in range(2500))]
 
 
 def test_case_upsert(spark):
