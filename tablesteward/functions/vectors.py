@@ -22,8 +22,10 @@ QUERY_INSTRUCTION = "Represent this question so that it finds the tables that an
 Embedder = Callable[[list[str]], object]
 
 
-def embed_input(text: Column, instruction: str = "", limit: int = INPUT_CHARS) -> Column:
-    return F.substring(F.concat(F.lit(instruction), text), 1, limit)
+def embed_input(text: Column, instruction: str = "", limit: int | None = INPUT_CHARS) -> Column:
+    """The text an embedder is given; ``limit`` is what its model reads, None for all."""
+    whole = F.concat(F.lit(instruction), text)
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def l2_norm(vector: Column) -> Column:
@@ -44,10 +46,12 @@ def l2_normalize(vector: Column) -> Column:
 
 
 def vector_status(vector: Column, dimensions: int) -> Column:
-    """``ok``, ``missing`` or ``wrong_size``."""
+    """``ok``, ``missing``, ``wrong_size`` or ``not_finite``."""
+    numbers = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
         F.when(vector.isNull() | (F.size(vector) == 0), F.lit("missing"))
         .when(F.size(vector) != dimensions, F.lit("wrong_size"))
+        .when(~numbers, F.lit("not_finite"))
         .otherwise(F.lit("ok"))
     )
 
@@ -80,6 +84,7 @@ def hashed_term_embedder(dimensions: int = DIMENSIONS) -> Embedder:
             np.add.at(matrix[row], places, np.fromiter(words.values(), "float64", len(words)))
         return matrix
 
+    embed.input_chars = None  # counts words of texts of any length
     return embed
 
 
@@ -95,9 +100,12 @@ def embed_column(
 
     ``embedder`` takes a list of texts and returns a matrix with a row for each;
     a matrix of another width fails the job. Rows stay where they are, so there
-    is nothing to put back in order.
+    is nothing to put back in order. An embedder says by its ``input_chars``
+    how many characters its model reads (``INPUT_CHARS`` if it does not say).
     """
 
+    limit = getattr(embedder, "input_chars", INPUT_CHARS)
+
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def unit_vectors(inputs):
         import numpy as np
@@ -116,4 +124,4 @@ def embed_column(
         return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()), mask=mask)
 
     # Marked so that a filter on the vector does not embed every text twice.
-    return df.withColumn(output, unit_vectors.asNondeterministic()(embed_input(F.col(text), instruction)))
+    return df.withColumn(output, unit_vectors.asNondeterministic()(embed_input(F.col(text), instruction, limit)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablesteward.functions.vectors import DIMENSIONS, QUERY_INSTRUCTION, Embedder, embed_column
+from tablesteward.functions.vectors import DIMENSIONS, QUERY_INSTRUCTION, Embedder, embed_column, vector_status
 from tablesteward.session import materialize
 
 # Cards per question, and the rule between cards.
@@ -28,6 +28,11 @@ def block_count(df: DataFrame, rows_per_block: int) -> int:
     return max(1, -(-df.count() // rows_per_block))
 
 
+def unusable_vectors(df: DataFrame, key: str, dimensions: int) -> DataFrame:
+    """``key, status`` of the rows whose vectors a search leaves out."""
+    return df.select(key, vector_status(F.col("vector"), dimensions).alias("status")).where(F.col("status") != "ok")
+
+
 def nearest(
     questions: DataFrame,
     index: DataFrame,
@@ -43,7 +48,12 @@ def nearest(
     of blocks is one matrix product in one task, which passes on only its best
     ``k`` per question. No row pair is ever emitted beyond that and nothing goes
     through the driver. Equal distances (to six digits) go to the smaller id.
+    Vectors that are missing, of another size than the first index vector, or
+    not finite take no part; ``unusable_vectors`` lists them.
     """
+    sized = index.where(F.size("vector") > 0).select(F.size("vector")).first()
+    dimensions = sized[0] if sized else 0
+    questions, index = (df.where(vector_status(F.col("vector"), dimensions) == "ok") for df in (questions, index))
     q_blocks = block_count(questions.select("q_id"), block_rows)
     d_blocks = block_count(index.select("doc_id"), block_rows)
     q_type, d_type = (f.schema[c].dataType.simpleString() for f, c in ((questions, "q_id"), (index, "doc_id")))

@@ -117,7 +117,7 @@ def _weights_sql(source: str, key: str, column: str, instruction: str) -> str:
     return f"""(
   SELECT {key}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS weight FROM (
     SELECT {key}, CAST('0x' || substr(md5(lower(word)), 1, 8) AS BIGINT) % {WIDTH} AS bucket, CAST(count(*) AS DOUBLE) AS n
-    FROM (SELECT {key}, unnest(regexp_extract_all(substr({instruction} || {column}, 1, 30768), '[A-Za-z0-9]+')) AS word
+    FROM (SELECT {key}, unnest(regexp_extract_all({instruction} || {column}, '[A-Za-z0-9]+')) AS word
           FROM {source}) GROUP BY 1, 2))"""
 
 

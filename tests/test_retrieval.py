@@ -67,3 +67,15 @@ def test_contexts(spark):
     assert found[2] == CONTEXT_HEADER + "card b" + CARD_RULE + "card a" and found[3] == ""
     near = {r["i"]: r["context"] for r in retrieve_contexts(questions, index, embedder, 2, 0.5, **options).collect()}
     assert near[2] == CONTEXT_HEADER + "card b" and near[4] == ""
+
+
+def test_unusable_vectors_take_no_part(spark):
+    from tablesteward.operators.retrieval import nearest, unusable_vectors
+
+    good = [(i, [1.0, float(i)]) for i in range(4)]
+    bad = [(10, None), (11, []), (12, [1.0]), (13, [float("nan"), 1.0]), (14, [float("inf"), 0.0])]
+    index = spark.createDataFrame(good + bad, "doc_id long, vector array<double>")
+    pairs = nearest(index.withColumnRenamed("doc_id", "q_id"), index, k=9).collect()
+    assert {r["q_id"] for r in pairs} == {r["doc_id"] for r in pairs} == {0, 1, 2, 3}
+    found = {r["doc_id"]: r["status"] for r in unusable_vectors(index, "doc_id", 2).collect()}
+    assert found == {10: "missing", 11: "missing", 12: "wrong_size", 13: "not_finite", 14: "not_finite"}
