@@ -52,9 +52,9 @@ def create_sessions(requests: DataFrame) -> DataFrame:
 
 
 def state_changes(events: DataFrame) -> DataFrame:
-    """One row per saved key of each delta: ``key, value, ts, event_id``."""
+    """One row per saved key of each delta: ``key, value, ts, event_id, arrival``."""
     stored = events.where(~F.col("partial"))
-    return stored.select(*SESSION, "ts", "event_id", F.explode("state_delta")).where(is_saved(F.col("key")))
+    return stored.select(*SESSION, "ts", "event_id", "arrival", F.explode("state_delta")).where(is_saved(F.col("key")))
 
 
 def latest_by_key(changes: DataFrame) -> DataFrame:
@@ -63,22 +63,26 @@ def latest_by_key(changes: DataFrame) -> DataFrame:
     ``max_by`` combines within each task first and is the same in any order, so
     results of batches can be folded again with it.
     """
-    at = F.struct("ts", "event_id")
+    at = F.struct("ts", "event_id", "arrival")
     return changes.groupBy(*SESSION, "key").agg(
-        F.max_by("value", at).alias("value"), F.max("ts").alias("ts"), F.max_by("event_id", at).alias("event_id")
+        F.max_by("value", at).alias("value"),
+        F.max("ts").alias("ts"),
+        F.max_by("event_id", at).alias("event_id"),
+        F.max_by("arrival", at).alias("arrival"),
     )
 
 
 def initial_changes(sessions: DataFrame) -> DataFrame:
     """State given at creation, as the earliest writes; kept unfiltered."""
     return sessions.select(
-        *SESSION, F.col("last_update_time").alias("ts"), F.lit("").alias("event_id"), F.explode("state")
+        *SESSION, F.col("last_update_time").alias("ts"), F.lit("").alias("event_id"), F.lit(0).alias("arrival"), F.explode("state")
     )
 
 
 def session_state(events: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """Current state in long form, deleted keys left out."""
-    changes = state_changes(events)
+    """Current state in long form, deleted keys left out; a re-sent event replaces the one before."""
+    narrow = events.select(*SESSION, "event_id", "ts", "arrival", "partial", "state_delta")
+    changes = state_changes(event_log(narrow))
     if sessions is not None:
         changes = changes.unionByName(initial_changes(sessions))
     return live_state(latest_by_key(changes))

@@ -24,9 +24,9 @@ def trace_rows(records: DataFrame, keep_partial: bool = False) -> DataFrame:
 
 
 def trace_rollup(trace: DataFrame) -> DataFrame:
-    """Blocks, errors and tokens per agent and kind."""
-    tokens_in = F.try_element_at("fields", F.lit("tokens_in")).cast("bigint")
-    tokens_out = F.try_element_at("fields", F.lit("tokens_out")).cast("bigint")
+    """Blocks, errors and tokens per agent and kind; token fields that are no number count as none."""
+    tokens_in = F.try_element_at("fields", F.lit("tokens_in")).try_cast("bigint")
+    tokens_out = F.try_element_at("fields", F.lit("tokens_out")).try_cast("bigint")
     failed = F.try_element_at("fields", F.lit("error")).isNotNull()
     return trace.groupBy("agent", "kind").agg(
         F.count(F.lit(1)).alias("blocks"),

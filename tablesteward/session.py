@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="tablesteward-")
     spark.conf.set(CHECKPOINT_SETTING, folder)

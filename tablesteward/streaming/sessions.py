@@ -25,7 +25,7 @@ EVENT_SCHEMA = (
     "app_name string, user_id string, session_id string, event_id string, ts timestamp_ntz, arrival int, "
     "author string, partial boolean, compaction boolean, texts array<string>, state_delta map<string,string>"
 )
-STATE_SCHEMA = "app_name string, user_id string, session_id string, key string, value string, ts timestamp_ntz, event_id string"
+STATE_SCHEMA = "app_name string, user_id string, session_id string, key string, value string, ts timestamp_ntz, event_id string, arrival int"
 MESSAGE_SCHEMA = (
     "app_name string, user_id string, session_id string, preview string, author string, event_id string, "
     "ts timestamp_ntz, message_count bigint"
@@ -55,24 +55,17 @@ class SessionStream:
         self,
         source: str,
         files_per_batch: int = 1000,
-        late_limit: str | None = None,
         schema: str = EVENT_SCHEMA,
         state_partitions: int | None = None,
     ) -> StreamingQuery:
         """Process all files now under ``source`` and stop.
 
-        By default no event is too late. ``late_limit`` (an interval) bounds the
-        remembered ids instead, and drops events later than that.
-        ``state_partitions`` (default: the session's shuffle partitions) is fixed
+        No event is too late. ``state_partitions`` (default: the session's shuffle partitions) is fixed
         by the first start; each has a store that is committed every batch.
         """
         events = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
         stored, identity = events.where(~F.col("partial")), [*SESSION, "event_id"]
-        if late_limit is None:
-            unique = stored.dropDuplicates(identity)
-        else:
-            timed = stored.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", late_limit)
-            unique = timed.dropDuplicatesWithinWatermark(identity).drop("event_time")
+        unique = stored.dropDuplicates(identity)
         # Each commit uploads the changes, not the files of the whole state.
         partitions = str(state_partitions or self.spark.conf.get(PARTITIONS))
         with (

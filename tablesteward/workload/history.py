@@ -60,11 +60,11 @@ def state_keys(spark, sf_dir):
 
 
 def recent_events(spark, sf_dir):
-    return sessions.recent_events(inputs.session_events(spark, sf_dir), 3).select(*SESSION, "event_id", "ts", "back")
+    return sessions.recent_events(sessions.event_log(inputs.session_events(spark, sf_dir)), 3).select(*SESSION, "event_id", "ts", "back")
 
 
 def events_since(spark, sf_dir):
-    return sessions.events_since(inputs.session_events(spark, sf_dir), SINCE).select(*SESSION, "event_id", "ts")
+    return sessions.events_since(sessions.event_log(inputs.session_events(spark, sf_dir)), SINCE).select(*SESSION, "event_id", "ts")
 
 
 def session_list(spark, sf_dir):
@@ -77,7 +77,7 @@ def session_preview(spark, sf_dir):
 
 def session_purge(spark, sf_dir):
     """Events left, and removed per session, after deleting sessions with a warning mark."""
-    events = inputs.session_events(spark, sf_dir)
+    events = sessions.event_log(inputs.session_events(spark, sf_dir))
     marked = F.get("texts", F.lit(0)).isin("error 13", "error 42", "error 77")
     deleted = sessions.delete_list(events.where(marked))
     left = sessions.purge(events, deleted).groupBy(*SESSION).agg(F.count(F.lit(1)).alias("events")).withColumn("purged", F.lit(False))
@@ -225,17 +225,17 @@ SELECT event_id, base, variant, encoded, regexp_replace(encoded, '^_Z_(.+)_Z_$',
   NOT starts_with(key, 'temp:') AS saved FROM enc""",
     "recent_events": f"""WITH {SESSION_EVENTS_SQL} SELECT * FROM (SELECT app_name, user_id, session_id, event_id, ts,
   CAST(row_number() OVER (PARTITION BY app_name, user_id, session_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS back
-  FROM session_events) WHERE back <= 3""",
+  FROM session_events WHERE NOT partial) WHERE back <= 3""",
     "events_since": f"""WITH {SESSION_EVENTS_SQL} SELECT app_name, user_id, session_id, event_id, ts FROM session_events
-WHERE ts > TIMESTAMP '2024-01-20 12:00:00'""",
+WHERE NOT partial AND ts > TIMESTAMP '2024-01-20 12:00:00'""",
     "session_list": f"""WITH {SESSION_EVENTS_SQL} SELECT app_name, user_id, session_id, max(ts) AS last_update_time
 FROM session_events WHERE NOT partial AND app_name = 'shop' GROUP BY 1, 2, 3""",
     "session_preview": f"WITH {SESSION_EVENTS_SQL}, {_RESENT}, {_PREVIEWS}",
     "stream_sessions": f"WITH {SESSION_EVENTS_SQL}, stored AS (SELECT * FROM session_events WHERE NOT partial), {_PREVIEWS}",
     "session_purge": f"""WITH {SESSION_EVENTS_SQL},
-gone AS (SELECT DISTINCT session_id FROM session_events WHERE texts[1] IN ('error 13', 'error 42', 'error 77'))
+gone AS (SELECT DISTINCT session_id FROM session_events WHERE NOT partial AND texts[1] IN ('error 13', 'error 42', 'error 77'))
 SELECT app_name, user_id, session_id, count(*) AS events, session_id IN (SELECT session_id FROM gone) AS purged
-FROM session_events GROUP BY 1, 2, 3""",
+FROM session_events WHERE NOT partial GROUP BY 1, 2, 3""",
     "truncate_marked": f"SELECT doc_id, {_cut('text', 200)} AS shortened FROM documents",
     "content_summary": f"""WITH parts AS (
   SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations),

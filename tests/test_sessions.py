@@ -170,12 +170,12 @@ def test_late_write_does_not_undo_a_delete(spark, tmp_path):
     assert as_state(stream.state()) == {("s", "k"): "new"}
 
 
-def test_bounded_stream(spark, history, tmp_path):
-    source, stream = str(tmp_path / "in"), SessionStream(spark, str(tmp_path / "out"))
-    rows = sorted(history, key=lambda r: r[4])
-    write_files(spark, rows + rows[-20:], source, 1)
-    stream.run(source, late_limit="30 days")
-    assert as_set(stream.previews()) == as_set(sessions.session_preview(frame(spark, history)))
+def test_resent_delta_replaces(spark):
+    """The later arrival of one event id wins, whatever the order of rows."""
+    first = {"k": "old", "gone": "x"}
+    rows = [event(1, state_delta=first), event(1, state_delta={"k": "new"}, arrival=1)]
+    for order in (rows, rows[::-1]):
+        assert as_state(sessions.session_state(frame(spark, order))) == {("s", "k"): "new"}
 
 
 def test_plans(spark, tmp_path):
