@@ -22,6 +22,9 @@ SET_SCHEMA = (
     f"eval_set_id string, name string, description string, eval_cases array<{_CASE}>, generation int, position int"
 )
 
+# Columns of a set or case that every row of the case repeats.
+CASE_FACTS = ("user_id", "set_name", "set_description", "case_timestamp")
+
 
 def _text(content: str):
     return F.array_join(F.transform(F.col(content)["parts"], lambda part: part["text"]), "")
@@ -30,18 +33,24 @@ def _text(content: str):
 def read_evalset(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per invocation of every case of the set files under ``path``.
 
+    A case without invocations is one row whose ``turn`` is null.
+
     A file is one JSON document, or with ``lines`` a case per line as written
     by ``write_evalset``, which many tasks can read.
     """
     sets = spark.read.schema(SET_SCHEMA).option("multiLine", not lines).json(path)
-    cases = sets.select("eval_set_id", "generation", "position", F.posexplode("eval_cases").alias("place", "case"))
+    cases = sets.select("eval_set_id", "name", "description", "generation", "position", F.posexplode("eval_cases").alias("place", "case"))
     turns = cases.select(
         "eval_set_id",
         F.col("case.eval_id").alias("eval_id"),
         F.coalesce("generation", F.lit(0)).alias("generation"),
         F.coalesce("position", "place").alias("position"),
         F.col("case.session_input.app_name").alias("app_name"),
-        F.posexplode("case.conversation").alias("turn", "invocation"),
+        F.col("case.session_input.user_id").alias("user_id"),
+        F.col("name").alias("set_name"),
+        F.col("description").alias("set_description"),
+        F.col("case.creation_timestamp").alias("case_timestamp"),
+        F.posexplode_outer("case.conversation").alias("turn", "invocation"),
     )
     return turns.select(
         "eval_set_id",
@@ -50,6 +59,10 @@ def read_evalset(spark: SparkSession, path: str, lines: bool = False) -> DataFra
         "position",
         "turn",
         "app_name",
+        "user_id",
+        "set_name",
+        "set_description",
+        "case_timestamp",
         F.col("invocation.invocation_id").alias("invocation_id"),
         _text("invocation.user_content").alias("question"),
         _text("invocation.final_response").alias("final_text"),
@@ -60,7 +73,11 @@ def read_evalset(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 
 def write_evalset(cases: DataFrame, path: str) -> None:
-    """Write the rows of ``read_evalset`` as a folder with a case per line."""
+    """Write the rows of ``read_evalset`` as a new folder with a case per line.
+
+    An existing folder is an error, so a set that is read, changed and written
+    is never lost half way.
+    """
 
     def content(text: str, role: str):
         return F.struct(F.array(F.struct(F.col(text).alias("text"))).alias("parts"), F.lit(role).alias("role"))
@@ -73,8 +90,9 @@ def write_evalset(cases: DataFrame, path: str) -> None:
         F.struct("tool_uses", "tool_responses").alias("intermediate_data"),
         "creation_timestamp",
     )
-    grouped = cases.groupBy("eval_set_id", "eval_id", "generation", "position", "app_name").agg(
-        F.sort_array(F.collect_list(invocation)).alias("turns")
+    of_case = ["eval_set_id", "eval_id", "generation", "position", "app_name", *CASE_FACTS]
+    grouped = cases.groupBy(*of_case).agg(
+        F.sort_array(F.collect_list(F.when(F.col("turn").isNotNull(), invocation))).alias("turns")
     )
     conversation = F.transform(
         "turns",
@@ -89,9 +107,11 @@ def write_evalset(cases: DataFrame, path: str) -> None:
     case = F.struct(
         "eval_id",
         conversation.alias("conversation"),
-        F.struct("app_name", F.lit("user").alias("user_id")).alias("session_input"),
+        F.struct("app_name", "user_id").alias("session_input"),
+        F.col("case_timestamp").alias("creation_timestamp"),
     )
     lines = grouped.orderBy("generation", "position").select(
-        "eval_set_id", F.col("eval_set_id").alias("name"), F.array(case).alias("eval_cases"), "generation", "position"
-    )
-    lines.write.mode("overwrite").json(path)
+        "eval_set_id", F.col("set_name").alias("name"), F.col("set_description").alias("description"),
+        F.array(case).alias("eval_cases"), "generation", "position",
+    )
+    lines.write.json(path)

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 COMMIT_SCHEMA = "version bigint"
 
 
+def is_missing(problem: AnalysisException) -> bool:
+    """Whether a read failed because nothing was ever written there."""
+    return problem.getCondition() == "PATH_NOT_FOUND"
+
+
 class SnapshotTable:
     """Versions under ``<folder>/version=N``; a version counts once committed.
 
@@ -25,7 +30,9 @@ class SnapshotTable:
         try:
             commits = self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.folder}/commits")
             return commits.agg(F.max("version")).first()[0]
-        except AnalysisException:
+        except AnalysisException as problem:
+            if not is_missing(problem):
+                raise
             return None
 
     def path(self, version: int) -> str:

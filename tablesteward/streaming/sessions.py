@@ -19,7 +19,7 @@ from tablesteward.operators.sessions import (
     state_changes,
 )
 from tablesteward.session import setting
-from tablesteward.sources.snapshots import SnapshotTable
+from tablesteward.sources.snapshots import SnapshotTable, is_missing
 
 EVENT_SCHEMA = (
     "app_name string, user_id string, session_id string, event_id string, ts timestamp_ntz, arrival int, "
@@ -109,7 +109,9 @@ class SessionStream:
         covered = -1 if covered is None else covered
         try:
             newer = self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.folder}/{name}")
-        except AnalysisException:
+        except AnalysisException as problem:
+            if not is_missing(problem):
+                raise
             return self.spark.createDataFrame([], schema)
         rows = newer.where(F.col("batch") > covered).drop("batch")
         return rows if covered < 0 else rows.unionByName(self.bases[name].read(covered))

@@ -71,9 +71,9 @@ def test_golden_ranking(spark):
 
 
 def test_evalset_file(spark, tmp_path):
-    text = "In May 2026, which 2 sites had the highest mean?"
+    text = "How many orders did each nation place last week?"
     case = {
-        "eval_id": "s1", "session_input": {"app_name": "app", "user_id": "user", "state": {}},
+        "eval_id": "s1", "session_input": {"app_name": "app", "user_id": "someone", "state": {}},
         "conversation": [
             {
                 "invocation_id": f"e-{n}", "creation_timestamp": 1.5,
@@ -85,15 +85,25 @@ def test_evalset_file(spark, tmp_path):
             } for n in range(2)
         ],
     }
-    (tmp_path / "set.json").write_text(json.dumps({"eval_set_id": "set", "eval_cases": [case, case | {"eval_id": "s2"}]}, indent=2))
+    (tmp_path / "set.json").write_text(json.dumps(
+        {
+            "eval_set_id": "set", "name": "A set", "description": "of two sites",
+            "eval_cases": [case, case | {"eval_id": "s2"}, case | {"eval_id": "s3", "conversation": [], "creation_timestamp": 2.5}],
+        }, indent=2,
+    ))
     rows = read_evalset(spark, str(tmp_path / "set.json"))
     found = rows.orderBy("position", "turn").collect()
-    assert [(r["eval_id"], r["position"], r["turn"]) for r in found] == [("s1", 0, 0), ("s1", 0, 1), ("s2", 1, 0), ("s2", 1, 1)]
+    assert [(r["eval_id"], r["position"], r["turn"]) for r in found] == [("s1", 0, 0), ("s1", 0, 1), ("s2", 1, 0), ("s2", 1, 1), ("s3", 2, None)]
     assert (found[0]["question"], found[0]["final_text"]) == (text, "A, B")
     assert json.loads(found[0]["tool_uses"][0]["args"]) == {"request": text}
     write_evalset(rows, str(tmp_path / "written"))
     again = read_evalset(spark, str(tmp_path / "written"), lines=True)
     assert again.orderBy("position", "turn").collect() == found
+    last = found[-1]
+    assert (last["user_id"], last["set_name"], last["set_description"], last["case_timestamp"]) == ("someone", "A set", "of two sites", 2.5)
+    changed = evaluation.upsert_cases(again, rows.where("eval_id = 's2'"))
+    write_evalset(changed, str(tmp_path / "changed"))
+    assert read_evalset(spark, str(tmp_path / "changed"), lines=True).select("eval_id").distinct().count() == 3
 
 
 def test_period_change_and_share(spark):
