@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -41,7 +42,8 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if chosen == "all" else chosen.split(",") if chosen else list(HEADLINE)
-    spark = local_session(cpus, "bench", **{"spark.ui.showConsoleProgress": "false"})
+    shared = tempfile.mkdtemp(prefix="bench-")
+    spark = local_session(cpus, "bench", **{"spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": shared})
     spark.sparkContext.setLogLevel("OFF")
     seconds = {}
     for name in names:

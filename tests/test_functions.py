@@ -100,26 +100,29 @@ def test_json_safe_values(spark):
         "flag boolean, n bigint, x double, d decimal(8,2), day date, at timestamp_ntz, z timestamp, gap interval day to second, raw binary, "
         "m map<int,double>, xs array<decimal(4,1)>, s struct<a:double,b:array<date>>, plain array<string>"
     )
-    moment = dt.datetime(2026, 4, 1, 2, 0, 0, 5)
+    moment = dt.datetime(1998, 12, 31, 23, 59, 59, 70)
     full = (
-        True, 3, 1.5, Decimal("2.50"), dt.date(2026, 5, 31), moment, dt.datetime(2026, 4, 1, 2, tzinfo=dt.timezone.utc),
-        dt.timedelta(minutes=2, microseconds=500_000), b"ab", {1: float("inf"), 2: 0.5}, [Decimal("1.5"), None],
-        (float("nan"), [dt.date(2026, 1, 2)]), ["k"],
+        False, -40, 6.125, Decimal("-71.05"), dt.date(1995, 2, 28), moment, dt.datetime(2001, 8, 9, 10, 11, tzinfo=dt.timezone.utc),
+        dt.timedelta(hours=3, seconds=7, microseconds=250_000), bytes(range(5)), {9: float("-inf"), 8: -2.75}, [None, Decimal("30.9")],
+        (float("nan"), [dt.date(1999, 9, 9), None]), ["", "two words"],
     )
     df = spark.createDataFrame([full, (None,) * 13], schema)
     first, empty = (r.asDict(recursive=True) for r in jsonsafe.json_safe(df).collect())
     assert first == {
-        "flag": True, "n": 3, "x": 1.5, "d": 2.5, "day": "2026-05-31", "at": "2026-04-01T02:00:00.000005", "z": "2026-04-01T02:00:00+00:00",
-        "gap": 120.5, "raw": "YWI=", "m": {"1": None, "2": 0.5}, "xs": [1.5, None], "s": {"a": None, "b": ["2026-01-02"]}, "plain": ["k"],
+        "flag": False, "n": -40, "x": 6.125, "d": -71.05, "day": "1995-02-28", "at": "1998-12-31T23:59:59.000070", "z": "2001-08-09T10:11:00+00:00",
+        "gap": 10807.25, "raw": "AAECAwQ=", "m": {"9": None, "8": -2.75}, "xs": [None, 30.9], "s": {"a": None, "b": ["1999-09-09", None]},
+        "plain": ["", "two words"],
     }
     assert set(empty.values()) == {None}
     listed = [json.loads(r["row"]) for r in jsonsafe.rows_as_json(df).collect()]
     assert listed == [list(first.values()), [None] * 13]
 
 
-@pytest.mark.parametrize("value, want", [(float("nan"), None), (float("inf"), None), (float("-inf"), None), (1.5, 1.5)])
-def test_json_safe_floats(evaluate, value, want):
-    assert evaluate([value], "double", jsonsafe.json_safe_value(F.col("x"), T.DoubleType())) == [want]
+def test_json_safe_floats(evaluate):
+    draw = random.Random(6)
+    values = [draw.uniform(-1, 1) * 10.0 ** draw.randrange(-300, 300) for _ in range(200)] + [math.nan, math.inf, -math.inf, -0.0]
+    safe = evaluate(values, "double", jsonsafe.json_safe_value(F.col("x"), T.DoubleType()))
+    assert safe == [v if math.isfinite(v) else None for v in values]
 
 
 def test_change_and_share(spark):
