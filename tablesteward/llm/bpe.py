@@ -55,8 +55,8 @@ APOSTROPHE_CHARS = 3
 NEVER = 1 << 30
 
 # Units and words whose encodings a worker remembers, and the longest of them.
-REMEMBERED_UNITS = 1 << 18
-REMEMBERED_WORDS = 1 << 19
+REMEMBERED_UNITS = 1 << 16
+REMEMBERED_WORDS = 1 << 17
 REMEMBERED_CHARS = 48
 
 # Characters read, and ids decoded, at once.
