@@ -154,6 +154,7 @@ def message_preview(parts: Column) -> Column:
 def content_summary(parts: Column, limit: int = CONTENT_CHARS) -> Column:
     """One line per part of ``array<struct<text,call,response,code>>``."""
 
+    # The labels of the parts.
     def line(part: Column) -> Column:
         return (
             F.when(part["text"] != "", F.concat(F.lit("text: '"), truncate_marked(part["text"], limit), F.lit("'")))

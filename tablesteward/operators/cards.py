@@ -90,6 +90,7 @@ def schema_cards(tables: DataFrame, columns: DataFrame, cells: DataFrame) -> Dat
         F.array_join(F.transform("header", lambda _: F.lit("---")), " | "),
         F.col("rows_text"),
     )
+    # The labels of the card and embed-text format, which stored hashes depend on.
     card = F.concat_ws(
         "\n",
         F.concat(F.lit("# Table: `"), "table_id", F.lit("`")),
