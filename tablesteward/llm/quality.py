@@ -1,7 +1,10 @@
 """Quality rules with cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, digit runs as one 0, words joined by one
-blank) and hashed. Every document of a host that has a line counts once for it.
+blank) and hashed. Every distinct text of a host that has a line counts once for
+it, and a line is above the limit when it is in more than a share of the host's
+distinct texts, and in more than a few of them. ``line_limit`` counts rows against
+a fixed number instead, which is the rule of the query's SQL.
 A line above the host's limit stays in the host's first document (smallest id)
 and is removed from the others; a document that loses more than a given share of
 its word characters that way is depleted and rejected, and so is one that fails
@@ -9,7 +12,7 @@ the rules on its own text.
 
 Defined results: a null text is an empty one (no words, fails the rules); a null
 host is a host of its own; lines without words never count; repeated rows count
-as documents of their own, and rows that share the smallest id all keep the
+as documents of their own under ``line_limit``, and rows that share the smallest id all keep the
 line; an empty table gives no rows; other columns are left alone.
 """
 
@@ -30,10 +33,12 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW_WORDS = 8
 
-# Production settings: documents of a host that may share a line, and the share
-# of its word characters that a document may lose.
-LINE_LIMIT = 200
+# Production settings: the share of a host's distinct texts that may have a line,
+# texts that always may, and the share of its word characters that a document may lose.
+LINE_SHARE, LEAST_TEXTS = 0.05, 5
 MAX_LOST = 0.5
+# The fixed number of the query and its SQL.
+LINE_LIMIT = 200
 
 NOT_WORD_CHARS = BLANKS + bytes(range(0x80, 0xC0))
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -138,19 +143,32 @@ def line_profile(docs: DataFrame, id_column: str, text_column: str, host_column:
     return numbered(map_columns(rows, run, schema), "line-profile")
 
 
-def lines_above(profile: DataFrame, line_limit: int) -> DataFrame:
+def lines_above(profile: DataFrame, line_limit: int | None) -> DataFrame:
     """Lines of more documents of a host than the limit, one row for each document that loses one."""
     host_key = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))
-    lines = profile.select("row_id", "id", host_key.alias("host_key"), F.inline("lines"))
-    above = (
-        lines.groupBy("host_key", "line_hash")
-        .agg(F.count("*").alias("line_docs"), F.min("id").alias("home_id"))
-        .where(F.col("line_docs") > line_limit)
-    )
+    keyed = profile.withColumn("host_key", host_key)
+    lines = keyed.select("row_id", "id", "row_key", "host_key", F.inline("lines"))
+    if line_limit is None:
+        texts = keyed.groupBy("host_key", "row_key").agg(F.lit(1).alias("held")).groupBy("host_key").agg(F.count("*").alias("texts"))
+        above = (
+            lines.groupBy("host_key", "line_hash", "row_key")
+            .agg(F.min("id").alias("least_id"))
+            .groupBy("host_key", "line_hash")
+            .agg(F.count("*").alias("line_docs"), F.min("least_id").alias("home_id"))
+            .where(F.col("line_docs") > LEAST_TEXTS)
+            .join(texts, "host_key")
+            .where(F.col("line_docs") > LINE_SHARE * F.col("texts"))
+        )
+    else:
+        above = (
+            lines.groupBy("host_key", "line_hash")
+            .agg(F.count("*").alias("line_docs"), F.min("id").alias("home_id"))
+            .where(F.col("line_docs") > line_limit)
+        )
     return lines.join(above, ["host_key", "line_hash"]).where(~F.col("id").eqNullSafe(F.col("home_id")))
 
 
-def judged(profile: DataFrame, line_limit: int, max_lost: float) -> DataFrame:
+def judged(profile: DataFrame, line_limit: int | None, max_lost: float) -> DataFrame:
     """The profile's rows with what they lose and their verdicts."""
     lost = (
         lines_above(profile, line_limit)
@@ -177,7 +195,7 @@ def quality_verdicts(
     id_column: str = "doc_id",
     text_column: str = "text",
     host_column: str = "source",
-    line_limit: int = LINE_LIMIT,
+    line_limit: int | None = None,
     max_lost: float = MAX_LOST,
 ) -> DataFrame:
     """One row per document: its counts, ``base_failed``, what it loses, ``depleted`` and ``kept``."""
@@ -208,7 +226,7 @@ def clean_documents(
     id_column: str = "doc_id",
     text_column: str = "text",
     host_column: str = "source",
-    line_limit: int = LINE_LIMIT,
+    line_limit: int | None = None,
     max_lost: float = MAX_LOST,
 ) -> DataFrame:
     """The documents that pass, without their lines above the limit; all columns of ``docs``.
@@ -229,7 +247,7 @@ def clean_documents(
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_verdicts(table(spark, sf_dir, "documents"))
+    return quality_verdicts(table(spark, sf_dir, "documents"), line_limit=LINE_LIMIT)
 
 
 QUERIES = {"op10_quality_rules": op10_quality_rules}

@@ -66,3 +66,15 @@ def test_empty_and_clashing(spark):
     assert quality.quality_verdicts(docs).count() == 0 and quality.clean_documents(docs).columns == docs.columns
     clash = spark.createDataFrame([(1, "a " * 5, "h", 3, 4)], "doc_id long, text string, source string, row_id int, host int")
     assert quality.clean_documents(clash).columns == clash.columns
+
+
+def test_limit_follows_the_host(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality.quality_verdicts(given).where("lost_lines > 0")
+    assert got.count() > 0
+    body = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, f"License\n{body} {chr(97 + i)}", "small", "x") for i in range(8)]
+    rows += [(100 + i, ("License\n" if i < 8 else "") + f"{body} {'b' * (i + 1)}", "large", "x") for i in range(200)]
+    rows += [(1000 + i, f"{body} c", "copies", "x") for i in range(40)]
+    got = quality.quality_verdicts(spark.createDataFrame(rows, KIND)).where("lost_lines > 0").collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 8))
