@@ -1,11 +1,11 @@
 """Secret scans with corpus-wide ownership frequency, in column expressions throughout.
 
 Base rules find assignments of passwords and tokens, access key ids and long hex
-strings; a generator proposes other long tokens of mixed characters. Every
-candidate value is hashed, and the hashes are counted over the whole corpus by
-distinct repositories and distinct owners. A value that several owners or many
-repositories hold is a copied example; one that a single owner keeps in a few
-repositories, and that looks random, is live. Live candidates are added as spans
+strings; a generator proposes other long tokens of mixed characters, of any length
+and with dots inside. Every candidate value is hashed, and the hashes are counted
+over the whole corpus by distinct repositories and distinct owners. A value that
+several owners hold, or that is in most repositories of its owner and in more than
+a few, is a copied example; one of a single owner that looks random is live. Live candidates are added as spans
 of kind ``assign``; base spans stay, whatever their verdict.
 
 A value that a third of all rows hold is counted by partial sums (repository,
@@ -33,12 +33,15 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]++", "hex": rf"[0-9a-f]{{{HEX_LENGTH},}}+"}
 
-# The generator: long unbroken tokens.
-GENERATOR = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,200}+(?![A-Za-z0-9+/_=.-])"
+# The generator: long unbroken tokens, single dots inside them included. The look
+# ahead only spares short words; the length is tested on the match.
+TOKEN_LENGTH = 20
+GENERATOR = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=.-]{{{TOKEN_LENGTH}}})[A-Za-z0-9+/_=-]++(?:\.[A-Za-z0-9+/_=-]++)*+"
 
-# Production settings: owners and repositories that may share a live credential,
-# and the distinct characters it needs.
-MOST_OWNERS, MOST_REPOSITORIES = 1, 5
+# Production settings: owners that may share a live credential, repositories that
+# always may, the share of its owner's repositories that may, and the distinct
+# characters it needs.
+MOST_OWNERS, MOST_REPOSITORIES, MOST_SHARE = 1, 5, 0.5
 LEAST_CHARACTERS = 12
 
 
@@ -92,11 +95,11 @@ def scanned(docs: DataFrame, id_column: str, text_column: str, owner_column: str
     hits = own.withColumn("hits", F.struct(*[h.alias(kind) for kind, h in base_hits(text).items()]))
     based = hits.withColumn("base", F.sort_array(F.concat(*[places(F.col("hits")[k], k, i) for i, k in enumerate(KINDS)])))
     others = F.filter(
-        told(matches(text, GENERATOR), "assign", whole, False),
+        told(F.filter(matches(text, GENERATOR), lambda h: F.length(h["hit"]) >= TOKEN_LENGTH), "assign", whole, False),
         lambda c: c["random"] & ~F.exists("base", lambda b: overlaps(b, c)),
     )
     values = F.concat(
-        told(F.col("hits")["assign"], "assign", assigned_value, True),
+        told(F.col("hits")["assign"], "assign", lambda h: F.rtrim(assigned_value(h), F.lit(".")), True),
         told(F.col("hits")["access"], "access", whole, True),
         told(F.col("hits")["hex"], "hex", whole, True),
         others,
@@ -104,16 +107,28 @@ def scanned(docs: DataFrame, id_column: str, text_column: str, owner_column: str
     return numbered(based.select("id", "owner", "repository", "base", values.alias("candidates")), "secret-candidates")
 
 
-def ownership(candidates: DataFrame) -> DataFrame:
-    """``value_hash, owners, repositories``: distinct ones over the corpus, from the inside out."""
-    return (
+def ownership(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``value_hash, owned``: distinct owners and repositories over the corpus, from the inside out.
+
+    Only values of more than a few repositories look up how many their owner has.
+    """
+    counts = (
         candidates.groupBy("value_hash", "owner", "repository")
         .agg(F.lit(1).alias("held"))
         .groupBy("value_hash", "owner")
         .agg(F.count("*").alias("repositories"))
         .groupBy("value_hash")
-        .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+        .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.min("owner").alias("owner"))
+    )
+    kept_by = rows.groupBy("owner", "repository").agg(F.lit(1).alias("held")).groupBy("owner").agg(F.count("*").alias("total"))
+    in_most = (
+        counts.where((F.col("owners") <= MOST_OWNERS) & (F.col("repositories") > MOST_REPOSITORIES))
+        .join(kept_by, "owner")
+        .where(F.col("repositories") > MOST_SHARE * F.col("total"))
+        .select("value_hash", F.lit(True).alias("in_most"))
     )
+    owned = (F.col("owners") <= MOST_OWNERS) & F.col("in_most").isNull()
+    return counts.join(in_most, "value_hash", "left").select("value_hash", owned.alias("owned"))
 
 
 def secrets(
@@ -126,10 +141,10 @@ def secrets(
     """``id, base, spans, n_live, n_copied`` for each row; a repository is a document unless a column names it."""
     rows = scanned(docs, id_column, text_column, owner_column, repository_column or id_column)
     candidates = rows.select("row_id", "owner", "repository", F.inline("candidates"))
-    owned = (F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES)
+    owned = F.col("owned")
     place = F.struct("start", "kind_no", "end", "kind")
     judged = (
-        candidates.join(ownership(candidates), "value_hash")
+        candidates.join(ownership(rows, candidates), "value_hash")
         .groupBy("row_id")
         .agg(
             F.collect_list(F.when(~F.col("from_base") & owned, place)).alias("added"),

@@ -99,6 +99,22 @@ def test_ownership(spark):
     assert not got[50].spans and got[50].n_copied == 1
 
 
+def test_long_and_dotted_tokens(spark):
+    key = "".join(random.Random(3).choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789", k=400))
+    jwt = f"{key[:30]}.{key[30:90]}.{key[90:130]}"
+    texts = [f"see {key} here", f"see {jwt} here", f"the key is {key[200:240]}.", f"{key[300:308]}.{key[308:312]}", "a." * 50000 + "..b"]
+    rows = [(i, text, f"o{i}") for i, text in enumerate(texts)]
+    got = {r.id: r.spans for r in secretscan.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    places = {i: [(s.start, s.end) for s in spans] for i, spans in got.items()}
+    assert places == {0: [(4, 404)], 1: [(4, 4 + len(jwt))], 2: [(11, 51)], 3: [], 4: []}
+
+
+def test_credential_in_many_documents_of_its_owner(spark):
+    rows = [(i, "see ghp_a8Fk29dLqZx81mQw7pB here" if i < 9 else f"see {i}", "o") for i in range(40)]
+    got = secretscan.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sum(r.n_live for r in got) == 9 and not any(r.n_copied for r in got)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert pii.personal_data(docs).count() == pii.redact_documents(docs).count() == secretscan.secrets(docs).count() == 0
