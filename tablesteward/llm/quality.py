@@ -5,8 +5,9 @@ blank) and hashed. Every distinct text of a host that has a line counts once for
 it, and a line is above the limit when it is in more than a share of the host's
 distinct texts, and in more than a few of them. ``line_limit`` counts rows against
 a fixed number instead, which is the rule of the query's SQL.
-A line above the host's limit stays in the host's first document (smallest id)
-and is removed from the others; a document that loses more than a given share of
+A line above the host's limit stays in the host's first document that passes the
+rules on its own text (smallest id; under ``line_limit``, of all documents) and is
+removed from the others; a document that loses more than a given share of
 its word characters that way is depleted and rejected, and so is one that fails
 the rules on its own text.
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,16 +144,21 @@ def line_profile(docs: DataFrame, id_column: str, text_column: str, host_column:
     return numbered(map_columns(rows, run, schema), "line-profile")
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def lines_above(profile: DataFrame, line_limit: int | None) -> DataFrame:
     """Lines of more documents of a host than the limit, one row for each document that loses one."""
     host_key = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))
     keyed = profile.withColumn("host_key", host_key)
-    lines = keyed.select("row_id", "id", "row_key", "host_key", F.inline("lines"))
+    home = F.when(~base_failed(), F.col("id")).alias("passing_id")
+    lines = keyed.select("row_id", "id", home, "row_key", "host_key", F.inline("lines"))
     if line_limit is None:
         texts = keyed.groupBy("host_key", "row_key").agg(F.lit(1).alias("held")).groupBy("host_key").agg(F.count("*").alias("texts"))
         above = (
             lines.groupBy("host_key", "line_hash", "row_key")
-            .agg(F.min("id").alias("least_id"))
+            .agg(F.min("passing_id").alias("least_id"))
             .groupBy("host_key", "line_hash")
             .agg(F.count("*").alias("line_docs"), F.min("least_id").alias("home_id"))
             .where(F.col("line_docs") > LEAST_TEXTS)
@@ -179,12 +185,11 @@ def judged(profile: DataFrame, line_limit: int | None, max_lost: float) -> DataF
             F.collect_list("line_hash").alias("lost_hashes"),
         )
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
         profile.drop("lines", "host")
         .join(lost, "row_id", "left")
         .na.fill(0, ["lost_chars", "lost_lines"])
-        .withColumn("base_failed", failed)
+        .withColumn("base_failed", base_failed())
         .withColumn("depleted", F.col("lost_chars") > max_lost * F.col("word_chars"))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
     )

@@ -78,3 +78,10 @@ def test_limit_follows_the_host(spark):
     rows += [(1000 + i, f"{body} c", "copies", "x") for i in range(40)]
     got = quality.quality_verdicts(spark.createDataFrame(rows, KIND)).where("lost_lines > 0").collect()
     assert sorted(r.doc_id for r in got) == list(range(1, 8))
+
+
+def test_home_passes_the_base_rules(spark):
+    body = " ".join(f"w{i}" for i in range(30))
+    rows = [(0, "License", "h", "x")] + [(i, f"License\n{body} {chr(97 + i)}", "h", "x") for i in range(1, 9)]
+    cleaned = quality.clean_documents(spark.createDataFrame(rows, KIND)).collect()
+    assert sorted(r.doc_id for r in cleaned if r.text.startswith("License")) == [1] and len(cleaned) == 8
