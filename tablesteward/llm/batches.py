@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 from collections.abc import Callable, Iterator
 
@@ -66,3 +67,44 @@ def numbered(df: DataFrame, purpose: str) -> DataFrame:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+# A vocabulary file is broadcast; larger files are refused.
+MOST_FILE_BYTES = 64 << 20
+
+
+class ShippedFile:
+    """A small file's bytes on every executor, known by their digest."""
+
+    def __init__(self, shared, digest: str):
+        self.shared, self.digest = shared, digest
+
+    @property
+    def value(self) -> bytes:
+        return self.shared.value
+
+
+def shipped_bytes(spark, path: str) -> ShippedFile:
+    with open(path, "rb") as file:
+        data = file.read(MOST_FILE_BYTES + 1)
+    if len(data) > MOST_FILE_BYTES:
+        raise ValueError(f"{path} is larger than {MOST_FILE_BYTES} bytes")
+    return ShippedFile(spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest())
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter of each byte in byte-level vocabularies: itself, or the next one from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+LETTER_BYTES = {letter: byte for byte, letter in byte_letters().items()}
+
+
+def token_bytes_of_letters(token: str) -> bytes:
+    """An entry of a byte-level vocabulary as bytes; added tokens hold other letters and are their text."""
+    try:
+        return bytes(LETTER_BYTES[letter] for letter in token)
+    except KeyError:
+        return token.encode()
