@@ -1 +1,333 @@
-QUERIES = {}
+"""Packing documents into windows of equal length by bounded-space online packing.
+
+A partition keeps ``OPEN_WINDOWS`` open windows. Whole windows are cut off long
+documents; what is left goes into the fullest open window that has room for it
+(best fit). Where none has, a new window is opened while there are fewer than
+that; else the fullest one is topped up with the beginning of the piece, if its
+gap is worth a cut, and emitted. Windows still open at the end of a partition
+are its leftovers. They are packed again in the same way, ``FAN_IN`` partitions
+at a time, until one partition is left; its last windows are poured into one
+another, and the tail becomes windows whose lengths are powers of two, which need
+no padding. Leftovers are bounded by the open windows of a partition, so each
+round reads a small part of the one before.
+
+Windows depend on the rows of a partition and their order only, and each round
+is written once, so that a lost executor repeats its own partitions alike.
+
+Ids come from the tokenizers library, which gets each distinct word of a slice
+once: words parted by blanks are independent in this vocabulary.
+
+Defined results: a null text is an empty one; every document ends with the end
+id, so each has a piece at least; rows equal in every column are documents of
+their own; a text of any length is read whole; an empty table gives no rows;
+columns other than id and text are not looked at.
+"""
+
+from __future__ import annotations
+
+import functools
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from tablesteward.llm.batches import byte_slices, shipped_bytes, table
+from tablesteward.session import materialize, spread
+
+# Production settings: tokens of a window, open windows of a partition, the
+# smallest gap that a piece is cut for, partitions packed again together.
+WINDOW = 2048
+OPEN_WINDOWS = 64
+LEAST_GAP = 16
+FAN_IN = 16
+END_ID = 1
+
+# Characters of distinct words that the library gets in one text.
+TEXT_CHARS = 1 << 16
+ID = np.dtype("<u4")
+ID_BYTES = ID.itemsize
+
+PIECE_COLUMNS = ("start", "length", "ids", "doc_tokens", "window", "offset")
+
+
+class Words:
+    """Ids of whole texts by the ids of their distinct words."""
+
+    def __init__(self, data: bytes):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_buffer(data)
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def encoded(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        """Ids of each text with the end id."""
+        parts = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+        coded = parts.flatten().dictionary_encode()
+        flat, starts = self.of_words(coded.dictionary.to_pylist())
+        words = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.list_value_length(parts).to_numpy())
+        out = []
+        for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            own = words[start:end]
+            counts = starts[own + 1] - starts[own]
+            total = np.cumsum(counts)
+            ids = np.empty(int(total[-1]) + 1 if len(own) else 1, dtype=ID)
+            # the place of each token in the flat list: its word's start and how far it is into the word
+            ids[:-1] = flat[np.repeat(starts[own] - total + counts, counts) + np.arange(len(ids) - 1)]
+            ids[-1] = end_id
+            out.append(ids)
+        return out
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and where each word's begin."""
+        flat, counts = [], []
+        group, chars = [], 0
+        for at, word in enumerate(words):
+            group.append(word)
+            chars += len(word) + 1
+            if chars >= TEXT_CHARS or at == len(words) - 1:
+                coded = self.library.encode(" ".join(group), add_special_tokens=False)
+                ends = np.cumsum([len(w) + 1 for w in group])
+                first = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+                flat.append(np.array(coded.ids, dtype=ID))
+                counts.append(np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(group)))
+                group, chars = [], 0
+        starts = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *counts]))]).astype(np.int64)
+        return np.concatenate([np.zeros(0, dtype=ID), *flat]), starts
+
+
+@functools.lru_cache(maxsize=2)
+def words_of(digest: str, data: bytes) -> Words:
+    return Words(data)
+
+
+class Piece(tuple):
+    """``(doc, start, ids, doc_tokens)``."""
+
+    def cut(self, length: int) -> tuple[Piece, Piece]:
+        doc, start, ids, doc_tokens = self
+        return Piece((doc, start, ids[:length], doc_tokens)), Piece((doc, start + length, ids[length:], doc_tokens))
+
+
+Item = list  # pieces that stay together until they are cut
+
+
+def tokens_of(item: Item) -> int:
+    return sum(len(piece[2]) for piece in item)
+
+
+def cut_item(item: Item, length: int) -> tuple[Item, Item]:
+    head = []
+    for at, piece in enumerate(item):
+        size = len(piece[2])
+        if size > length:
+            if not length:
+                return head, item[at:]
+            first, rest = piece.cut(length)
+            return [*head, first], [rest, *item[at + 1 :]]
+        head.append(piece)
+        length -= size
+    return head, []
+
+
+class Packer:
+    """Items in, one at a time; full windows out."""
+
+    def __init__(self, window: int, open_windows: int, least_gap: int):
+        self.window, self.open_windows, self.least_gap = window, open_windows, least_gap
+        self.rooms: list[tuple[int, int]] = []  # free tokens of each open window, smallest first
+        self.open: dict[int, Item] = {}
+        self.opened = 0
+
+    def add(self, item: Item) -> Iterator[Item]:
+        size = tokens_of(item)
+        while size >= self.window:
+            full, item = cut_item(item, self.window)
+            size -= self.window
+            yield full
+        while size:
+            at = bisect_left(self.rooms, (size, -1))
+            if at < len(self.rooms):
+                room, number = self.rooms.pop(at)
+                self.open[number] += item
+                if room == size:
+                    yield self.open.pop(number)
+                else:
+                    insort(self.rooms, (room - size, number))
+                return
+            if len(self.open) < self.open_windows:
+                insort(self.rooms, (self.window - size, self.opened))
+                self.open[self.opened] = list(item)
+                self.opened += 1
+                return
+            room, number = self.rooms.pop(0)
+            fullest = self.open.pop(number)
+            if room >= self.least_gap:
+                head, item = cut_item(item, room)
+                fullest += head
+                size -= room
+            yield fullest
+
+    def leftovers(self) -> Iterator[Item]:
+        yield from self.open.values()
+
+    def poured(self) -> Iterator[Item]:
+        """The open windows as full ones, and a tail of powers of two."""
+        item, size = [], 0
+        for own in self.open.values():
+            item, size = item + own, size + tokens_of(own)
+            if size >= self.window:
+                full, item = cut_item(item, self.window)
+                size -= self.window
+                yield full
+        while size:
+            part = 1 << (size.bit_length() - 1)
+            head, item = cut_item(item, part)
+            size -= part
+            yield head
+
+
+class Rows:
+    """Windows as rows of pieces, a batch at a time."""
+
+    def __init__(self, schema: pa.Schema, prefix: int, batch_bytes: int = 4 << 20):
+        self.schema, self.prefix, self.batch_bytes = schema, prefix, batch_bytes
+        self.windows = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.bytes = [[] for _ in self.schema], 0
+
+    def add(self, item: Item, partition: int, closed: bool) -> Iterator[pa.RecordBatch]:
+        offset, window = 0, self.prefix + self.windows
+        self.windows += 1
+        for doc, start, ids, doc_tokens in item:
+            row = (doc, start, len(ids), ids.tobytes(), doc_tokens, window, offset, partition, closed)
+            for column, value in zip(self.rows, row, strict=True):
+                column.append(value)
+            offset += len(ids)
+            self.bytes += len(ids) * ID_BYTES
+        if self.bytes >= self.batch_bytes:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.rows[0]:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, field.type) for column, field in zip(self.rows, self.schema, strict=True)], schema=self.schema
+            )
+        self.clear()
+
+
+def piece_schema(docs: DataFrame, id_column: str):
+    kind = docs.select(F.col(id_column).alias("doc")).schema
+    rest = "start long, length long, ids binary, doc_tokens long, window long, offset long, partition int, closed boolean"
+    return T.StructType([*kind.fields, *T.StructType.fromDDL(rest).fields])
+
+
+def first_round(docs: DataFrame, path: str, id_column: str, text_column: str, settings: tuple) -> DataFrame:
+    """Pieces of full windows (``closed``) and of each partition's leftovers."""
+    file = shipped_bytes(docs.sparkSession, path)
+    schema = piece_schema(docs, id_column)
+    arrow = to_arrow_schema(schema)
+    rows = docs.select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, packer = words_of(file.digest, file.value), Packer(*settings)
+        partition = TaskContext.get().partitionId()
+        out = Rows(arrow, partition << 32)
+        for batch in batches:
+            for part in byte_slices(batch):
+                for doc, ids in zip(part["doc"].to_pylist(), words.encoded(part["text"], END_ID), strict=True):
+                    for full in packer.add([Piece((doc, 0, ids, len(ids)))]):
+                        yield from out.add(full, partition, True)
+        for left in packer.leftovers():
+            yield from out.add(left, partition, False)
+        yield from out.flush()
+
+    return spread(rows).mapInArrow(run, schema)
+
+
+def next_round(leftovers: DataFrame, level: int, last: bool, settings: tuple) -> DataFrame:
+    """Leftover windows of ``FAN_IN`` partitions packed together; the last round leaves none open."""
+    schema = leftovers.schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, window, item, packer, out = None, None, [], None, None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if packer is None:
+                return
+            for full in packer.add(item):
+                yield from out.add(full, partition, True)
+            for left in packer.poured() if last else packer.leftovers():
+                yield from out.add(left, partition, last)
+            yield from out.flush()
+
+        for batch in batches:
+            columns = [batch[name].to_pylist() for name in ("partition", "window", "doc", "start", "ids", "doc_tokens")]
+            for own, of, doc, start, ids, doc_tokens in zip(*columns, strict=True):
+                if own != partition:
+                    yield from finish()
+                    partition, window, item, packer = own, None, [], Packer(*settings)
+                    out = Rows(arrow, level << 56 | own << 32)
+                if of != window and item:
+                    for full in packer.add(item):
+                        yield from out.add(full, partition, True)
+                    item = []
+                window = of
+                item.append(Piece((doc, start, np.frombuffer(ids, dtype=ID), doc_tokens)))
+        yield from finish()
+
+    together = leftovers.withColumn("partition", F.floor(F.col("partition") / FAN_IN).cast("int"))
+    return together.repartition("partition").sortWithinPartitions("partition", "window", "offset").mapInArrow(run, schema)
+
+
+def packed(
+    docs: DataFrame,
+    path: str,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    window: int = WINDOW,
+    open_windows: int = OPEN_WINDOWS,
+    least_gap: int = LEAST_GAP,
+) -> DataFrame:
+    """A row per piece: ``<id>, start, length, ids, doc_tokens, sequence_id, offset``.
+
+    ``ids`` are the piece's ids as little-endian unsigned 32-bit numbers; a
+    sequence's pieces in the order of ``offset`` are its ids.
+    """
+    settings = (window, open_windows, least_gap)
+    level, rows = 0, materialize(first_round(docs, path, id_column, text_column, settings), "packing-level0")
+    done = rows.where("closed")
+    partitions = (rows.agg(F.max("partition")).first()[0] or 0) + 1
+    while True:
+        level, partitions = level + 1, -(-partitions // FAN_IN)
+        rows = materialize(next_round(rows.where("not closed"), level, partitions == 1, settings), f"packing-level{level}")
+        done = done.union(rows.where("closed"))
+        if partitions == 1:
+            break
+    return done.select(F.col("doc").alias(id_column), *PIECE_COLUMNS).withColumnRenamed("window", "sequence_id")
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_packing(spark, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), vocabulary()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+QUERIES = {"op12_packing": op12_packing}
