@@ -50,8 +50,10 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: the second tokenizer's mark for a blank.
 BLANK_MARK = "▁"
 
-# Characters of distinct units that the libraries get in one text.
+# Characters of distinct units that the libraries get in one text, and texts they
+# get at once; their answers take some hundred bytes a token.
 TEXT_CHARS = 1 << 16
+TEXTS = 2
 # Bytes of documents whose units are numbered together.
 BLOCK_BYTES = 8 << 20
 
@@ -171,9 +173,9 @@ class Aligner:
         count = len(units)
         whole, counts = np.zeros(count, dtype=bool), [np.zeros(count, dtype=np.int64) for _ in range(2)]
         groups, links, link_units = [""] * count, [], []
-        for start in range(0, len(texts), 64):
-            part = texts[start : start + 64]
-            coded = zip(part, members[start : start + 64], self.first.spans(part), self.second.spans(part), strict=True)
+        for start in range(0, len(texts), TEXTS):
+            part = texts[start : start + TEXTS]
+            coded = zip(part, members[start : start + TEXTS], self.first.spans(part), self.second.spans(part), strict=True)
             for text, of, a, b in coded:
                 self.place(units, text, of, a, b, whole, counts, groups, links, link_units)
         return Aligned(
