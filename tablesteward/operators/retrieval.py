@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,50 +30,24 @@ def block_count(df: DataFrame, rows_per_block: int) -> int:
     return max(1, -(-df.count() // rows_per_block))
 
 
+def usual_width(index: DataFrame) -> int:
+    """The width that most index vectors have; of two as frequent the larger."""
+    widths = index.where(F.size("vector") > 0).groupBy(F.size("vector").alias("width")).count()
+    most = widths.orderBy(F.desc("count"), F.desc("width")).first()
+    return most["width"] if most else 0
+
+
 def unusable_vectors(df: DataFrame, key: str, dimensions: int) -> DataFrame:
     """``key, status`` of the rows whose vectors a search leaves out."""
     return df.select(key, vector_status(F.col("vector"), dimensions).alias("status")).where(F.col("status") != "ok")
 
 
-def nearest(
-    questions: DataFrame,
-    index: DataFrame,
-    k: int = TOP_K,
-    max_distance: float | None = None,
-    block_rows: int = BLOCK_ROWS,
-    exclude_self: bool = False,
-) -> DataFrame:
-    """The ``k`` nearest index vectors of each question, nearest first.
-
-    ``questions(q_id, vector)`` and ``index(doc_id, vector)`` hold unit vectors
-    and unique ids. Both are cut into hashed blocks of bounded size; each pair
-    of blocks is one matrix product in one task, which passes on only its best
-    ``k`` per question. No row pair is ever emitted beyond that and nothing goes
-    through the driver. Equal distances (to six digits) go to the smaller id.
-    Vectors that are missing, of another size than the first index vector, or
-    not finite take no part; ``unusable_vectors`` lists them.
-    """
-    sized = index.where(F.size("vector") > 0).select(F.size("vector")).first()
-    dimensions = sized[0] if sized else 0
-    questions, index = (df.where(vector_status(F.col("vector"), dimensions) == "ok") for df in (questions, index))
-    q_blocks = block_count(questions.select("q_id"), block_rows)
-    d_blocks = block_count(index.select("doc_id"), block_rows)
-    q_type, d_type = (f.schema[c].dataType.simpleString() for f, c in ((questions, "q_id"), (index, "doc_id")))
-
-    def blocked(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        return df.select(
-            key,
-            "vector",
-            F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other),
-        )
-
-    left = blocked(questions, "q_id", "q_block", q_blocks, "d_block", d_blocks)
-    right = blocked(index, "doc_id", "d_block", d_blocks, "q_block", q_blocks)
+def best_pairs(k: int, max_distance: float | None, exclude_self: bool) -> Callable:
+    """A cogroup function: the best ``k`` pairs of each question of a block with the rows of a block."""
     ceiling = float("inf") if max_distance is None else float(max_distance)
     digits = DISTANCE_DIGITS
 
-    def best_pairs(question_block, index_block):
+    def best(question_block, index_block):
         import numpy as np
         import pyarrow as pa
 
@@ -116,10 +92,49 @@ def nearest(
             {"q_id": q_ids.take(pa.array(rows)), "doc_id": d_ids.take(pa.array(cols)), "distance": pa.array(distances)}
         )
 
+    return best
+
+
+def nearest(
+    questions: DataFrame,
+    index: DataFrame,
+    k: int = TOP_K,
+    max_distance: float | None = None,
+    block_rows: int = BLOCK_ROWS,
+    exclude_self: bool = False,
+    dimensions: int | None = None,
+) -> DataFrame:
+    """The ``k`` nearest index vectors of each question, nearest first.
+
+    ``questions(q_id, vector)`` and ``index(doc_id, vector)`` hold unit vectors
+    and unique ids. Both are cut into hashed blocks of bounded size; each pair
+    of blocks is one matrix product in one task, which passes on only its best
+    ``k`` per question. No row pair is ever emitted beyond that and nothing goes
+    through the driver. Equal distances (to six digits) go to the smaller id.
+    Vectors that are missing, of another size than ``dimensions`` (default: the
+    index's usual width), or not finite take no part; ``unusable_vectors`` lists
+    them.
+    """
+    dimensions = usual_width(index) if dimensions is None else dimensions
+    questions, index = (df.where(vector_status(F.col("vector"), dimensions) == "ok") for df in (questions, index))
+    q_blocks = block_count(questions.select("q_id"), block_rows)
+    d_blocks = block_count(index.select("doc_id"), block_rows)
+    q_type, d_type = (f.schema[c].dataType.simpleString() for f, c in ((questions, "q_id"), (index, "doc_id")))
+
+    def blocked(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return df.select(
+            key,
+            "vector",
+            F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other),
+        )
+
+    left = blocked(questions, "q_id", "q_block", q_blocks, "d_block", d_blocks)
+    right = blocked(index, "doc_id", "d_block", d_blocks, "q_block", q_blocks)
     pairs = (
         left.groupBy("q_block", "d_block")
         .cogroup(right.groupBy("q_block", "d_block"))
-        .applyInArrow(best_pairs, PAIR_SCHEMA.format(q=q_type, d=d_type))
+        .applyInArrow(best_pairs(k, max_distance, exclude_self), PAIR_SCHEMA.format(q=q_type, d=d_type))
     )
     rank = F.row_number().over(W.partitionBy("q_id").orderBy("distance", "doc_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -144,18 +159,20 @@ def retrieve_contexts(
     max_distance: float | None = None,
     dimensions: int = DIMENSIONS,
     instruction: str = QUERY_INSTRUCTION,
+    search: Callable[..., DataFrame] = nearest,
 ) -> DataFrame:
     """Add ``context`` to ``questions(question, ...)``; ``''`` where nothing fits.
 
     Each distinct non-empty text is embedded and searched once, whatever number
-    of rows ask it. ``index`` has ``doc_id, embedding, card``.
+    of rows ask it. ``index`` has ``doc_id, embedding, card``. ``search`` is the
+    exact ``nearest`` or ``hyperplanes.searcher`` for a large index.
     """
     key: Column = F.sha2("question", 256)
     asked = questions.where(F.col("question") != "").select("question").distinct()
     embedded = embed_column(asked, "question", "vector", embedder, instruction, dimensions)
     # Embedding is the dear step, so its result is kept once for all that follows.
     vectors = materialize(embedded.select(key.alias("q_id"), "vector"), "question-vectors")
-    hits = nearest(vectors, index.select("doc_id", F.col("embedding").alias("vector")), k, max_distance)
+    hits = search(vectors, index.select("doc_id", F.col("embedding").alias("vector")), k, max_distance)
     # Kept, so that its size is known: a question most rows ask is then either
     # broadcast or split by the adaptive skew join.
     found = materialize(context_blocks(hits, index), "contexts")

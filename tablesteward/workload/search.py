@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesteward.functions import text, vectors
-from tablesteward.operators import retrieval
+from tablesteward.operators import hyperplanes, retrieval
 from tablesteward.operators.cards import collect_cards
-from tablesteward.session import materialize, spread
+from tablesteward.session import materialize, scratch_path, spread
 from tablesteward.workload.catalog import CARD_TEXTS
 from tablesteward.workload.inputs import table, table_refs, text_literal
 
@@ -70,6 +70,31 @@ def knn_cosine_threshold(spark, sf_dir):
     return _neighbours(spark, sf_dir, MAX_DISTANCE)
 
 
+def _approximate(spark, sf_dir):
+    """Stored unit vectors, their codes kept beside them, and every vector's neighbours found by these."""
+    stored = table(spark, sf_dir, "embeddings").select("vec_id", vectors.l2_normalize(F.col("embedding")).alias("vector"))
+    stored = materialize(stored, "unit-vectors")
+    index = stored.withColumnRenamed("vec_id", "doc_id")
+    codes = hyperplanes.CodeTable(spark, scratch_path(spark, "codes"), hyperplanes.Hyperplanes(64))
+    codes.refresh(index)
+    settings = hyperplanes.calibrated(index, codes.settings)
+    asked = stored.withColumnRenamed("vec_id", "q_id")
+    return hyperplanes.nearest_approximate(asked, index, codes.read(), settings, exclude_self=True)
+
+
+def knn_approximate(spark, sf_dir):
+    return _approximate(spark, sf_dir)
+
+
+def knn_recall(spark, sf_dir):
+    """How many exact neighbours there are, and whether nine tenths of them are found approximately."""
+    exact = _neighbours(spark, sf_dir).select("q_id", "doc_id")
+    found = _approximate(spark, sf_dir).select("q_id", "doc_id", F.lit(1).alias("met"))
+    return exact.join(found, ["q_id", "doc_id"], "left").agg(
+        F.count(F.lit(1)).alias("neighbours"), (F.count("met") >= 0.9 * F.count(F.lit(1))).alias("recalled")
+    )
+
+
 def context_block(spark, sf_dir):
     """Contexts of the neighbours; vectors of label 0 have no card."""
     card = F.when(F.col("label") == 0, F.lit("")).otherwise(
@@ -103,8 +128,8 @@ def retrieve_distinct(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        embed_input, embed_hash_tf, vector_dim_check, l2_normalize, knn_cosine, knn_cosine_threshold, context_block,
-        question_text, retrieve_distinct,
+        embed_input, embed_hash_tf, vector_dim_check, l2_normalize, knn_cosine, knn_cosine_threshold, knn_approximate, knn_recall,
+        context_block, question_text, retrieve_distinct,
     )
 }
 
@@ -150,6 +175,7 @@ FROM n, (SELECT unnest(range(1, 65)) AS i)""",
     "knn_cosine": f"""WITH {_KNN} SELECT q_id, doc_id, distance, CAST(place AS INTEGER) AS rank FROM ranked WHERE place <= 5""",
     "knn_cosine_threshold": f"""WITH {_KNN} SELECT q_id, doc_id, distance, CAST(place AS INTEGER) AS rank FROM ranked
 WHERE place <= 5 AND distance <= {MAX_DISTANCE}""",
+    "knn_recall": f"WITH {_KNN} SELECT count(*) AS neighbours, true AS recalled FROM ranked WHERE place <= 5",
     "context_block": f"""WITH {_KNN} SELECT q_id, {_HEADER} || string_agg('card ' || doc_id || chr(10) || 'label ' || label,
   {_RULE} ORDER BY place) AS context FROM ranked WHERE place <= 5 AND label <> 0 GROUP BY q_id""",
     "question_text": f"WITH {_ASKED} SELECT conv_id, turn, question FROM asked",
