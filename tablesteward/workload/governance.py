@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablesteward.functions import jsonsafe, sqltext
 from tablesteward.functions.text import format_bytes as bytes_text
-from tablesteward.operators import audit, profile, scancost
+from tablesteward.operators import audit, profile, references, scancost
 from tablesteward.plans.governed import Warehouse, governed_sql
 from tablesteward.session import materialize
 from tablesteward.workload import inputs
@@ -35,9 +35,17 @@ def sql_verdict(spark, sf_dir):
     return sqltext.with_verdict(inputs.query_log(spark, sf_dir), "sql").select("query_id", "verdict")
 
 
+def _column_sizes(spark, sf_dir):
+    return materialize(profile.column_logical_bytes(spark, table_refs(sf_dir)), "column-sizes")
+
+
 def _costs(spark, sf_dir):
-    sizes = materialize(profile.column_logical_bytes(spark, table_refs(sf_dir)), "column-sizes")
-    return scancost.query_costs(inputs.query_columns(spark, sf_dir), sizes)
+    return references.log_costs(inputs.query_log(spark, sf_dir), "query_id", "sql", _column_sizes(spark, sf_dir))
+
+
+def query_references(spark, sf_dir):
+    """Columns of the given tables that each accepted text of the log names."""
+    return references.log_columns(inputs.query_log(spark, sf_dir), "query_id", "sql", _column_sizes(spark, sf_dir))
 
 
 def sql_audit_report(spark, sf_dir):
@@ -135,30 +143,39 @@ def result_envelope(spark, sf_dir):
     )
 
 
-def _refused(sf_dir: str) -> list[tuple[str, str | None]]:
-    """Texts that have to be refused, each with its code by construction, and one that is fine."""
-    events = _name("events")
-    return [
-        ("SELECT `reflect`('java.lang.System', 'getProperty', 'user.home') AS leak", "escape_hatch"),
-        (r"SELECT r'\', java_method('java.lang.System', 'getProperty', 'user.home') , 'x'", "escape_hatch"),
-        (f"SELECT event_id FROM {events} WHERE event_id IN (SELECT `try_reflect`('a', 'b'))", "escape_hatch"),
-        (f"SELECT TRANSFORM(event_id) USING 'cat' AS (copy) FROM {events}", "escape_hatch"),
-        (f"SELECT event_id FROM parquet.`{sf_dir}/events.parquet`", "unknown_source"),
-        (f"WITH hidden AS (SELECT * FROM json.`{sf_dir}`) SELECT * FROM hidden", "unknown_source"),
-        (f"SELECT (SELECT max(c) FROM csv.`{sf_dir}`) AS most FROM {events}", "unknown_source"),
-        (f"WITH gone AS (SELECT 1 AS x) DELETE FROM {events}", "not_read_only"),
-        (f"SELECT event_id FROM {events}; DROP TABLE {events}", "multiple_statements"),
-        (f"SELECT count(*) AS n FROM {events} WHERE value > (SELECT avg(value) FROM {events})", None),
-    ]
+# Texts that have to be refused, each with its code, and two that are fine;
+# {u}, {k} and {t} stand for values of the event a text comes from.
+REFUSED = [
+    ("SELECT `reflect`('java.lang.System', 'getProperty', 'user.{t}') AS leak", "escape_hatch"),
+    (r"SELECT r'\', java_method('java.lang.System', 'getProperty', 'user.home') , 'x{k}'", "escape_hatch"),
+    ("SELECT event_id FROM events WHERE event_id IN (SELECT `try_reflect`('a', '{u}'))", "escape_hatch"),
+    ("SELECT TRANSFORM(event_id) USING 'cat {u}' AS (copy) FROM events", "escape_hatch"),
+    ("SELECT event_id FROM parquet.`/warehouse/{u}/events.parquet`", "unknown_source"),
+    ("WITH hidden AS (SELECT * FROM json.`/warehouse/{t}`) SELECT * FROM hidden", "unknown_source"),
+    ("SELECT (SELECT max(c) FROM csv.`/warehouse`) AS most FROM events WHERE user_id = {u}", "unknown_source"),
+    ("WITH gone AS (SELECT {k} AS x) DELETE FROM events", "not_read_only"),
+    ("SELECT event_id FROM events; DROP TABLE events_{u}", "multiple_statements"),
+    ("SELECT count(*) AS n FROM `warehouse.retail_mart.events` WHERE value > (SELECT avg(value) + {k} FROM events)", None),
+    ("WITH t AS (SELECT user_id FROM retail_mart.events) SELECT user_id FROM t WHERE user_id = {u}", None),
+    ("SELECT user_id FROM later WHERE user_id = {u} AND EXISTS (WITH later AS (SELECT 1 AS x) SELECT x FROM later)", "unknown_source"),
+]
+
+
+def refused_log(spark, sf_dir):
+    """``event_id, shape, sql``: one of these texts per event, with values of the event."""
+    shape = F.pmod("event_id", F.lit(len(REFUSED))).cast("int")
+    filled = F.get(F.array(*[F.lit(text) for text, _ in REFUSED]), shape)
+    k = F.get_json_object("props", "$.k")
+    for mark, value in (("{u}", F.col("user_id").cast("string")), ("{k}", k), ("{t}", F.col("event_type"))):
+        filled = F.replace(filled, F.lit(mark), value)
+    return table(spark, sf_dir, "events").select("event_id", shape.alias("shape"), filled.alias("sql"))
 
 
 def governed_refusals(spark, sf_dir):
-    """Events as a log of texts, most of them hostile, with the code of each."""
-    warehouse = Warehouse.open(spark, table_refs(sf_dir))
-    codes = [governed_sql(warehouse, text).error_code for text, _ in _refused(sf_dir)]
-    shape = F.pmod("event_id", F.lit(len(codes))).cast("int")
-    told = F.get(F.array(*[F.lit(code).cast("string") for code in codes]), shape)
-    return table(spark, sf_dir, "events").select("event_id", shape.alias("shape"), told.alias("code"))
+    """A log of texts, most of them hostile, audited text by text against the catalog."""
+    log = refused_log(spark, sf_dir)
+    codes = references.log_refusals(log, "event_id", "sql", _column_sizes(spark, sf_dir), sqltext.ESCAPE_HATCHES)
+    return codes.select("event_id", F.pmod("event_id", F.lit(len(REFUSED))).cast("int").alias("shape"), "code")
 
 
 def json_safe_scalars(spark, sf_dir):
@@ -207,7 +224,7 @@ def rows_as_json(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        sql_unfence, sql_mask, sql_sanitize, sql_verdict, sql_audit_report, cost_verdict, scan_cost_report, format_bytes,
+        sql_unfence, sql_mask, sql_sanitize, sql_verdict, sql_audit_report, query_references, cost_verdict, scan_cost_report, format_bytes,
         governed_topk, governed_cte, governed_union_all, governed_join, governed_rollup, result_envelope, governed_refusals,
         json_safe_scalars, json_safe_nested, rows_as_json,
     )
@@ -259,6 +276,7 @@ SELECT origin, id, {_PAGE_MASK} AS masked FROM bodies""",
 SELECT CASE WHEN verdict = 'ok' AND estimated_bytes > {COST_LIMIT} THEN 'over_budget' ELSE verdict END AS verdict,
   count(*) AS queries, count(DISTINCT sql) AS distinct_texts
 FROM query_log LEFT JOIN costs USING (query_id) GROUP BY 1""",
+    "query_references": f"WITH {QUERY_COLUMNS_SQL} SELECT DISTINCT query_id, table_id, column_name AS \"column\" FROM query_columns",
     "cost_verdict": f"""WITH {_COSTS} SELECT query_id, estimated_bytes,
   CASE WHEN estimated_bytes > {COST_LIMIT} THEN 'error' ELSE 'success' END AS status,
   CAST({COST_LIMIT} AS BIGINT) AS max_bytes_billed,
@@ -271,8 +289,8 @@ SELECT *, {_unit_sql('total_bytes')} AS total_text FROM t""",
     "format_bytes": f"""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT)
   * ([{', '.join(str(1024**p // 64 + 1) for p in range(5))}])[l_orderkey % 5 + 1] AS size FROM lineitem)
 SELECT *, {_unit_sql('size')} AS size_text FROM s""",
-    "governed_refusals": f"""SELECT event_id, CAST(event_id % {len(_refused(""))} AS INTEGER) AS shape,
-  CASE event_id % {len(_refused(""))} {" ".join(f"WHEN {i} THEN '{code}'" for i, (_, code) in enumerate(_refused("")) if code)} END AS code
+    "governed_refusals": f"""SELECT event_id, CAST(event_id % {len(REFUSED)} AS INTEGER) AS shape,
+  CASE event_id % {len(REFUSED)} {" ".join(f"WHEN {i} THEN '{code}'" for i, (_, code) in enumerate(REFUSED) if code)} END AS code
 FROM events""",
     "governed_topk": _plain_names(TOPK),
     "governed_cte": _plain_names(CTE),

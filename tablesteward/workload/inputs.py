@@ -74,21 +74,39 @@ QUERY_SHAPES = [
     ("/* {t}; */ (SELECT {u}) UNION ALL (SELECT `a;b` FROM events)",) * 2 + ("ok",),
     (" \n;", None, "empty"),
     ("EXPORT DATA OPTIONS(uri='''x;{k}''') AS SELECT {u}",) * 2 + ("not_read_only",),
+    (
+        "SELECT l.l_extendedprice * l.l_discount AS cut FROM lineitem AS l JOIN orders o ON l.l_orderkey = o.o_orderkey "
+        "WHERE o.o_custkey = {u}",
+    ) * 2 + ("ok",),
+    (
+        "WITH big AS (SELECT o_custkey, o_totalprice FROM `warehouse.retail_mart.orders` WHERE o_totalprice > {k}) "
+        "SELECT c.c_name FROM customer c JOIN big b ON b.o_custkey = c.c_custkey",
+    ) * 2 + ("ok",),
+    ("SELECT * FROM retail_mart.documents WHERE lang = '{t}'",) * 2 + ("ok",),
+    ("SELECT count(*) AS n FROM pages -- {u}",) * 2 + ("ok",),
+    ("SELECT n_name FROM nation WHERE n_nationkey <> {k} UNION ALL SELECT r_name FROM region ORDER BY n_name",) * 2 + ("ok",),
+    (
+        "SELECT p.html FROM pages p WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = p.page_id AND n_chars > {k})",
+    ) * 2 + ("ok",),
+    ("SELECT e.embedding, d.* FROM embeddings AS e, documents AS d WHERE e.vec_id = d.doc_id + {k}",) * 2 + ("ok",),
+    ("WITH events AS (SELECT ts FROM events WHERE event_type = '{t}') SELECT max(ts) AS value FROM events ORDER BY value",) * 2 + ("ok",),
 ]
 SHAPE_COUNT = len(QUERY_SHAPES)
 
-# Columns the statement of each shape reads; shapes not run read nothing.
+# Columns of the given tables that the statement of each accepted shape names, for the check engine.
+_EVENTS = [("events", "event_type"), ("events", "value"), ("events", "user_id")]
+_DOCUMENTS = [("documents", c) for c in ("doc_id", "text", "lang", "source", "n_chars")]
 SHAPE_COLUMNS = {
-    0: [("events", "event_type"), ("events", "value"), ("events", "user_id")],
-    1: [("events", "event_type"), ("events", "value"), ("events", "user_id"), ("events", "value")],
-    2: [("lineitem", "l_extendedprice"), ("lineitem", "l_shipdate"), ("lineitem", "l_suppkey")],
-    3: [("orders", "o_totalprice"), ("orders", "o_orderpriority")],
-    5: [("events", "user_id"), ("events", "props")],
-    6: [("documents", "text")],
-    9: [("customer", "c_mktsegment"), ("customer", "c_acctbal")],
-    11: [("pages", "html"), ("pages", "url")],
-    12: [("embeddings", "embedding"), ("embeddings", "label")],
-    13: [("nation", "n_name"), ("region", "r_name")],
+    **{shape: _EVENTS for shape in range(4)},
+    **{shape: [("events", "user_id")] for shape in (5, 6, 11, 12)},
+    9: [("events", "user_id"), ("events", "value")],
+    16: [("lineitem", c) for c in ("l_extendedprice", "l_discount", "l_orderkey")] + [("orders", "o_orderkey"), ("orders", "o_custkey")],
+    17: [("orders", "o_custkey"), ("orders", "o_totalprice"), ("customer", "c_name"), ("customer", "c_custkey")],
+    18: _DOCUMENTS,
+    20: [("nation", "n_name"), ("nation", "n_nationkey"), ("region", "r_name")],
+    21: [("pages", "html"), ("pages", "page_id"), ("documents", "doc_id"), ("documents", "n_chars")],
+    22: [("embeddings", "embedding"), ("embeddings", "vec_id"), *_DOCUMENTS],
+    23: [("events", "ts"), ("events", "event_type")],
 }
 
 
@@ -126,18 +144,6 @@ QUERY_LOG_SQL = f"""query_log AS (
   FROM events)"""
 
 
-def query_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, table_id, column`` for every text of the log."""
-    lists = [
-        F.array(*[F.struct(F.lit(f"{PROJECT}.{DATASET}.{t}").alias("table_id"), F.lit(c).alias("column")) for t, c in used])
-        for used in (SHAPE_COLUMNS.get(shape, []) for shape in range(SHAPE_COUNT))
-    ]
-    typed = [a.cast("array<struct<table_id:string,column:string>>") for a in lists]
-    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"))
-    shape = F.pmod("query_id", F.lit(SHAPE_COUNT)).cast("int")
-    return log.select("query_id", F.inline(F.element_at(F.array(*typed), shape + 1)))
-
-
 QUERY_COLUMNS_SQL = (
     "query_columns AS (SELECT event_id AS query_id, table_id, column_name FROM events JOIN (VALUES "
     + ", ".join(
