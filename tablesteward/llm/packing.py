@@ -14,8 +14,9 @@ round reads a small part of the one before.
 Windows depend on the rows of a partition and their order only, and each round
 is written once, so that a lost executor repeats its own partitions alike.
 
-Ids come from the tokenizers library, which gets each distinct word of a slice
-once: words parted by blanks are independent in this vocabulary.
+Ids come from the tokenizers library, which gets each distinct part of a text
+once: parts between blanks, and units within them, are independent in this
+vocabulary.
 
 Defined results: a null text is an empty one; every document ends with the end
 id, so each has a piece at least; rows equal in every column are documents of
@@ -26,6 +27,8 @@ columns other than id and text are not looked at.
 from __future__ import annotations
 
 import functools
+import re
+import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -49,8 +52,18 @@ LEAST_GAP = 16
 FAN_IN = 16
 END_ID = 1
 
-# Characters of distinct words that the library gets in one text.
+# How the vocabulary marks the end of a unit, how its special tokens
+# begin, and its units in lower-case ASCII.
+UNIT_END = "</w>"
+SPECIAL_START = "<|"
+ASCII_UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
+# Marks that end a word; an apostrophe may be part of a unit with letters.
+MARKS_TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")
+
+# Characters of distinct parts that the library gets in one text, and parts whose
+# ids a worker remembers.
 TEXT_CHARS = 1 << 16
+REMEMBERED = 1 << 19
 ID = np.dtype("<u4")
 ID_BYTES = ID.itemsize
 
@@ -58,7 +71,12 @@ PIECE_COLUMNS = ("start", "length", "ids", "doc_tokens", "window", "offset")
 
 
 class Words:
-    """Ids of whole texts by the ids of their distinct words."""
+    """Ids of whole texts by the ids of their distinct parts.
+
+    A text is cut at blanks. ASCII words are cut on into the vocabulary's own
+    units; of other words, which may be composed and folded first, only a tail
+    of marks is cut off. The ids of parts are remembered, a bounded number.
+    """
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
@@ -66,42 +84,108 @@ class Words:
         self.library = Tokenizer.from_buffer(data)
         self.library.no_truncation()
         self.library.no_padding()
+        size = self.library.get_vocab_size()
+        self.ends_unit = np.array([self.library.id_to_token(i).endswith(UNIT_END) for i in range(size)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.starts = np.zeros(0, dtype=ID), np.zeros(1, dtype=np.int64)
 
     def encoded(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
         """Ids of each text with the end id."""
-        parts = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
-        coded = parts.flatten().dictionary_encode()
+        words = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+        coded = words.flatten().dictionary_encode()
         flat, starts = self.of_words(coded.dictionary.to_pylist())
-        words = coded.indices.to_numpy(zero_copy_only=False)
-        ends = np.cumsum(pc.list_value_length(parts).to_numpy())
-        out = []
-        for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            own = words[start:end]
-            counts = starts[own + 1] - starts[own]
-            total = np.cumsum(counts)
-            ids = np.empty(int(total[-1]) + 1 if len(own) else 1, dtype=ID)
-            # the place of each token in the flat list: its word's start and how far it is into the word
-            ids[:-1] = flat[np.repeat(starts[own] - total + counts, counts) + np.arange(len(ids) - 1)]
-            ids[-1] = end_id
-            out.append(ids)
-        return out
+        tokens, counts = gathered(flat, starts, coded.indices.to_numpy(zero_copy_only=False))
+        word_ends = np.cumsum(pc.list_value_length(words).to_numpy())
+        ends = np.concatenate([[0], np.cumsum(counts)])[word_ends]
+        sizes = np.diff(ends, prepend=0)
+        nth = np.arange(len(ends))
+        out = np.empty(len(tokens) + len(ends), dtype=ID)
+        out[np.arange(len(tokens)) + np.repeat(nth, sizes)] = tokens
+        out[ends + nth] = end_id
+        return np.split(out, (ends + nth + 1)[:-1]) if len(ends) else []
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after the other, and where each word's begin."""
-        flat, counts = [], []
-        group, chars = [], 0
-        for at, word in enumerate(words):
-            group.append(word)
-            chars += len(word) + 1
-            if chars >= TEXT_CHARS or at == len(words) - 1:
-                coded = self.library.encode(" ".join(group), add_special_tokens=False)
-                ends = np.cumsum([len(w) + 1 for w in group])
-                first = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-                flat.append(np.array(coded.ids, dtype=ID))
-                counts.append(np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(group)))
-                group, chars = [], 0
-        starts = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *counts]))]).astype(np.int64)
-        return np.concatenate([np.zeros(0, dtype=ID), *flat]), starts
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        known, parts, counts, units, others = self.known, [], [], [], []
+        for word in words:
+            own, single = parts_of(word)
+            counts.append(len(own))
+            for part in own:
+                at = known.get(part)
+                if at is None:
+                    at = known[part] = len(known)
+                    (units if single else others).append((at, part))
+                parts.append(at)
+        self.learn(units, others)
+        flat, sizes = gathered(self.flat, self.starts, np.array(parts, dtype=np.int64))
+        part_ends = np.concatenate([[0], np.cumsum(sizes)])
+        starts = part_ends[np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])]
+        return flat, starts
+
+    def learn(self, units: list[tuple[int, str]], others: list[tuple[int, str]]) -> None:
+        """Ids of parts not met before: those of one unit end with its last token, others are told apart by offsets."""
+        places, flat, counts = [], [], []
+        for found, are_units in ((units, True), (others, False)):
+            for group in grouped(found):
+                coded = self.library.encode(" ".join(part for _, part in group), add_special_tokens=False)
+                ids = np.array(coded.ids, dtype=ID)
+                if are_units:
+                    ends = np.flatnonzero(self.ends_unit[ids]) + 1
+                    sizes = np.diff(ends, prepend=0)
+                else:
+                    borders = np.cumsum([len(part) + 1 for _, part in group])
+                    first = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+                    sizes = np.bincount(np.searchsorted(borders, first, side="right"), minlength=len(group))
+                if len(sizes) != len(group):
+                    raise ValueError("a unit of the text is not one of the vocabulary")
+                places += [at for at, _ in group]
+                flat.append(ids)
+                counts.append(sizes)
+        if places:
+            order = np.argsort(np.array(places))
+            ids, starts = np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            ids, sizes = gathered(ids, starts, order)
+            self.flat = np.concatenate([self.flat, ids])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+
+def parts_of(word: str) -> tuple[list[str], bool]:
+    """The parts of a word between blanks, and whether each is one unit of the vocabulary."""
+    if word.isascii() and SPECIAL_START not in word:
+        return ASCII_UNITS.findall(word.lower()), True
+    tail = MARKS_TAIL.search(word)
+    if tail and tail.start() and SPECIAL_START not in word and ends_in_letter(word[tail.start() - 1]):
+        return [word[: tail.start()], tail[0]], False
+    return [word], False
+
+
+def ends_in_letter(character: str) -> bool:
+    """Whether a character still is a letter, or ends in one, when it is composed and folded."""
+    return unicodedata.normalize("NFC", character).lower()[-1].isalpha()
+
+
+def grouped(parts: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    group, chars = [], 0
+    for at, part in parts:
+        group.append((at, part))
+        chars += len(part) + 1
+        if chars >= TEXT_CHARS:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[starts[i]:starts[i + 1]]`` for all i, one after the other, and their lengths."""
+    sizes = starts[at + 1] - starts[at]
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(at) else 0)], sizes
 
 
 @functools.lru_cache(maxsize=2)

@@ -10,7 +10,7 @@ from conftest import SMALL
 from tablesteward.llm import packing
 from tokenizers import Tokenizer
 
-PARTS = [*"abcIéÀΣİ漢😀 's.,!0\n\t\x1c\x85 ́", "  ", " the", " quick", "<|endoftext|>", "<|startoftext|>", " don't", "ﬁ", "Å"]
+PARTS = [*"abcIéÀΣİ漢😀 's.,!0\n\t\x1c\x85 ́", "  ", " the", " quick", "<|endoftext|>", "<|startoftext|>", " don't", "ﬁ", "Å", "क़", "ΐ!"]
 
 
 @pytest.fixture(scope="module")
