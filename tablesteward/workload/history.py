@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablesteward.functions import statekeys, text
 from tablesteward.operators import sessions, trace
-from tablesteward.session import scratch_path
+from tablesteward.session import materialize, scratch_path
 from tablesteward.streaming.sessions import SessionStream
 from tablesteward.workload import inputs
 from tablesteward.workload.inputs import SESSION_EVENTS_SQL, table
@@ -77,8 +77,10 @@ def session_preview(spark, sf_dir):
 
 def session_purge(spark, sf_dir):
     """Events left, and removed per session, after deleting sessions with a warning mark."""
-    events = sessions.event_log(inputs.session_events(spark, sf_dir))
-    marked = F.get("texts", F.lit(0)).isin("error 13", "error 42", "error 77")
+    # Stored once: the list, the events left and those removed all read it.
+    log = sessions.event_log(inputs.session_events(spark, sf_dir))
+    events = materialize(log.select(*SESSION, F.get("texts", F.lit(0)).alias("said")), "event-log")
+    marked = F.col("said").isin("error 13", "error 42", "error 77")
     deleted = sessions.delete_list(events.where(marked))
     left = sessions.purge(events, deleted).groupBy(*SESSION).agg(F.count(F.lit(1)).alias("events")).withColumn("purged", F.lit(False))
     gone = sessions.purge_counts(events, deleted).withColumnRenamed("purged_events", "events").withColumn("purged", F.lit(True))
@@ -86,11 +88,11 @@ def session_purge(spark, sf_dir):
 
 
 def stream_sessions(spark, sf_dir):
-    """Previews kept by the stream over shuffled files with every event of one author sent twice."""
-    events = inputs.session_events(spark, sf_dir)
+    """Previews kept by the stream over shuffled files: one author's events twice, errors again with other contents."""
+    events = inputs.restated_events(spark, sf_dir)
     source = scratch_path(spark, "event-files")
     again = events.where("author = 'user'")
-    events.unionByName(again).repartition(6, F.xxhash64("event_id", F.size("texts")) % 6, "user_id").write.parquet(source)
+    events.unionByName(again).repartition(6, F.xxhash64("event_id", F.size("texts")) % 6, "user_id", "arrival").write.parquet(source)
     stream = SessionStream(spark, scratch_path(spark, "session-stream"), compact_every=2)
     stream.run(source, files_per_batch=2, state_partitions=spark.sparkContext.defaultParallelism)
     return stream.previews()
@@ -99,12 +101,28 @@ def stream_sessions(spark, sf_dir):
 def stream_state(spark, sf_dir):
     """State kept by the stream over the same events, several batches."""
     source = scratch_path(spark, "event-files")
-    inputs.session_events(spark, sf_dir).repartition(4, "event_id").write.parquet(source)
+    inputs.restated_events(spark, sf_dir).repartition(4, "event_id", "arrival").write.parquet(source)
     stream = SessionStream(spark, scratch_path(spark, "session-stream"), compact_every=3)
     stream.run(source, files_per_batch=1, state_partitions=spark.sparkContext.defaultParallelism)
     return stream.state()
 
 
+# How far back the bounded stream looks.
+DELAY = "10 days"
+
+
+def stream_bounded(spark, sf_dir):
+    """Events of a bounded stream and whether they came too late: those of users first, then all others."""
+    events = inputs.session_events(spark, sf_dir)
+    stream = SessionStream(spark, scratch_path(spark, "session-stream"), delay=DELAY)
+    source = scratch_path(spark, "event-files")
+    for part in (F.col("author") == "user", F.col("author") != "user"):
+        events.where(part).write.mode("append").parquet(source)
+        stream.run(source)
+    stored = [rows.select(*SESSION, "event_id", F.lit(late).alias("late")) for rows, late in ((stream.log(), False), (stream.late(), True))]
+    return stored[0].unionByName(stored[1])
+
+
 def truncate_marked(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.truncate_marked(F.col("text"), 200).alias("shortened"))
 
@@ -152,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_log, session_create, session_state, state_keys, recent_events, events_since, session_list, session_preview,
-        session_purge, stream_sessions, stream_state, truncate_marked, content_summary, kv_render, trace_rollup,
+        session_purge, stream_sessions, stream_state, stream_bounded, truncate_marked, content_summary, kv_render, trace_rollup,
         call_gap_audit, paced_release,
     )
 }
@@ -214,7 +232,12 @@ SELECT app_name, user_id, session_id, event_id, arrival, author, array_to_string
   FROM session_events WHERE app_name = 'shop' GROUP BY 1, 2, 3),
 all_changes AS (SELECT * FROM changes UNION ALL
   SELECT *, unnest([{{'key': 'cart', 'value': 'new'}}, {{'key': 'temp:note', 'value': 'hello'}}]) FROM begun), {_STATE}""",
-    "stream_state": f"WITH {SESSION_EVENTS_SQL}, {_CHANGES}, all_changes AS (SELECT * FROM changes), {_STATE}",
+    "stream_state": f"WITH {SESSION_EVENTS_SQL}, {_CHANGES}, all_changes AS (SELECT * FROM changes), {_STATE}".replace(
+        "{'key': 'last_error', 'value': mark}", "{'key': 'last_error', 'value': 'again ' || mark}"
+    ),
+    "stream_bounded": f"""WITH {SESSION_EVENTS_SQL}, stored AS (SELECT * FROM session_events WHERE NOT partial),
+border AS (SELECT max(ts) - INTERVAL {DELAY} AS reached FROM stored WHERE author = 'user')
+SELECT app_name, user_id, session_id, event_id, author <> 'user' AND ts < reached AS late FROM stored, border""",
     "state_keys": f"""WITH {SESSION_EVENTS_SQL}, bases AS (SELECT event_id, unnest(CASE kind WHEN 'click' THEN ['last_click']
     WHEN 'view' THEN ['__view__', 'cart'] WHEN 'purchase' THEN ['cart'] WHEN 'error' THEN ['temp:error', 'last_error']
     WHEN 'chat' THEN ['topic'] ELSE ['last_click'] END) AS base FROM session_events),
@@ -231,7 +254,7 @@ WHERE NOT partial AND ts > TIMESTAMP '2024-01-20 12:00:00'""",
     "session_list": f"""WITH {SESSION_EVENTS_SQL} SELECT app_name, user_id, session_id, max(ts) AS last_update_time
 FROM session_events WHERE NOT partial AND app_name = 'shop' GROUP BY 1, 2, 3""",
     "session_preview": f"WITH {SESSION_EVENTS_SQL}, {_RESENT}, {_PREVIEWS}",
-    "stream_sessions": f"WITH {SESSION_EVENTS_SQL}, stored AS (SELECT * FROM session_events WHERE NOT partial), {_PREVIEWS}",
+    "stream_sessions": f"WITH {SESSION_EVENTS_SQL}, {_RESENT}, {_PREVIEWS}",
     "session_purge": f"""WITH {SESSION_EVENTS_SQL},
 gone AS (SELECT DISTINCT session_id FROM session_events WHERE NOT partial AND texts[1] IN ('error 13', 'error 42', 'error 77'))
 SELECT app_name, user_id, session_id, count(*) AS events, session_id IN (SELECT session_id FROM gone) AS purged

@@ -225,6 +225,14 @@ def resent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(again)
 
 
+def restated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All session events, errors sent again with another text and another state."""
+    again = resent_events(spark, sf_dir).where("arrival = 1")
+    told = F.concat(F.lit("again "), F.element_at("state_delta", "last_error"))
+    changed = again.withColumn("state_delta", F.create_map(F.lit("last_error"), told))
+    return session_events(spark, sf_dir).unionByName(changed)
+
+
 SESSION_EVENTS_SQL = """shop AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, 'u' || user_id AS who FROM events),
 session_events AS (

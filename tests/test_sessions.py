@@ -151,6 +151,62 @@ def test_stream_equals_batch(spark, history, tmp_path):
     assert stream.log().count() == sessions.event_log(df).count()
 
 
+def test_changed_copies_replace(spark, history, tmp_path):
+    """Every fifth event again with other contents, some before the copy they replace; unchanged copies in between."""
+    rows = history[:]
+    later = [[*r[:4], r[4], 1 + i % 2, *r[6:9], ["changed", r[3]], {"k0": f"new {r[3]}"}] for i, r in enumerate(rows[::5])]
+    order = rows + later + rows[::7]
+    random.Random(9).shuffle(order)
+    source, stream = str(tmp_path / "in"), SessionStream(spark, str(tmp_path / "out"), compact_every=3)
+    write_files(spark, order[:500], source, 3)
+    stream.run(source, files_per_batch=1)
+    write_files(spark, order[500:], source, 3)
+    stream.run(source, files_per_batch=1)
+    df = frame(spark, rows + later)
+    assert as_state(stream.state()) == as_state(sessions.session_state(df))
+    assert as_set(stream.previews()) == as_set(sessions.session_preview(df))
+    names = ["session_id", "event_id", "arrival"]
+    assert as_set(stream.log().select(*names)) == as_set(sessions.event_log(df).select(*names))
+    assert stream._read("restated", "app_name string, user_id string, session_id string").count() > 0
+
+
+def test_bounded_stream(spark, tmp_path):
+    """Ids older than the delay are forgotten, later ones still replace; late events are all kept apart."""
+    stream = SessionStream(spark, str(tmp_path / "out"), compact_every=2, delay="30 minutes")
+    source = str(tmp_path / "in")
+    batches = [
+        [event(n, minute=n, state_delta={"k": f"{n}"}) for n in range(20)],
+        [event(n, minute=n, state_delta={"k": f"{n}"}) for n in range(40, 60)] + [event(5, minute=5, arrival=1, texts=["again"])],
+        [event(3, minute=3, arrival=2, texts=["too late"]), event(59, minute=59, arrival=1, texts=["changed"], state_delta={"k": "won"})],
+        [event(59, minute=59, arrival=1, texts=["changed"], state_delta={"k": "won"}), event(70, minute=70, partial=True)],
+        [event(100, minute=100, state_delta={})],
+    ]
+    sizes = []
+    for batch_id, rows in enumerate(batches):
+        write_files(spark, rows, source, 1)
+        stream.run(source)
+        sizes.append(stream.seen(batch_id).count())
+    assert sizes == [20, 20 + 0 + 0 + 0 + 0, 20, 20, 1]
+    late = [(r["event_id"], r["batch"]) for r in stream.late().collect()]
+    assert late == [(event(3)[3], 2)]
+    stored = [rows for part in batches for rows in part if not (rows[5] == 2)]
+    df = frame(spark, stored)
+    assert as_state(stream.state()) == as_state(sessions.session_state(df)) == {("s", "k"): "won"}
+    assert as_set(stream.previews()) == as_set(sessions.session_preview(df))
+    assert stream.log().count() + stream.late().count() == len(stored) - 4 + 1
+
+
+def test_replayed_bounded_batch(spark, tmp_path):
+    stream = SessionStream(spark, str(tmp_path / "out"), delay="1 hour")
+    first = frame(spark, [event(1, minute=0), event(2, minute=200)])
+    second = frame(spark, [event(3, minute=1), event(2, minute=200, arrival=1, texts=["b"])])
+    for batch_id, batch in ((0, first), (0, first), (1, second), (1, second)):
+        stream.apply_bounded(batch, batch_id)
+    assert [r["event_id"] for r in stream.late().collect()] == [event(3)[3]]
+    assert {(r["event_id"], r["arrival"]) for r in stream.log().collect()} == {(event(1)[3], 0), (event(2)[3], 1)}
+    assert {r["event_id"] for r in stream.seen(1).collect()} == {event(2)[3]}
+
+
 def test_replayed_batches_change_nothing(spark, history, tmp_path):
     df = frame(spark, history).where("NOT partial")
     first, second = df.where("event_id < 'e00300'"), df.where("event_id >= 'e00300'")
