@@ -16,7 +16,10 @@ independent (a blank followed by a non-blank starts a new unit), so whole units
 are emitted as soon as the next one starts; a unit longer than the lookahead is
 emitted while it is still being read. What is held back is bounded by the
 lookahead and the longest token, whatever the length of a text or of a unit.
-Encodings of short units are remembered in a table of bounded size.
+Encodings of short words and units are remembered in two generations of bounded
+size: a full table becomes the old one, and what is still used moves on. The
+new units of a slice of texts are merged together, all of one length at a time,
+before the slice is read.
 
 **Decoder.** A byte-to-text state machine: tokens are turned into bytes, complete
 characters are emitted, an unfinished one (three bytes at most) is the state.
@@ -39,12 +42,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesteward.llm.batches import byte_slices, sha256_hex, table
+from tablesteward.llm.batches import ShippedFile, byte_letters, byte_slices, sha256_hex, shipped_bytes, table
 
 # The units of byte-level BPE, and the runs among them that can be of any length.
 UNITS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -54,28 +56,25 @@ APOSTROPHE_CHARS = 3
 # Above every merge's place in the list.
 NEVER = 1 << 30
 
-# Units and words whose encodings a worker remembers, and the longest of them.
-REMEMBERED_UNITS = 1 << 16
-REMEMBERED_WORDS = 1 << 17
+# Units and words of a generation whose encodings a worker remembers, and the longest of them.
+REMEMBERED_UNITS = 1 << 17
+REMEMBERED_WORDS = 1 << 18
 REMEMBERED_CHARS = 48
 
+# Units up to this many bytes are merged many at a time.
+SHORT_BYTES = 40
+
 # Characters read, and ids decoded, at once.
 PIECE = 1 << 16
 
-
-def byte_letters() -> dict[int, str]:
-    """The printable letter of each byte in vocabulary files: itself, or the next one from U+0100 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+# Ids are packed as 32-bit numbers.
+ID = np.dtype("<i4")
 
 
 class MergeList:
     """The vocabulary and merges of a byte-level BPE file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            told = json.load(file)
+    def __init__(self, told: dict):
         model = told["model"]
         letter_bytes = {letter: byte for byte, letter in byte_letters().items()}
 
@@ -96,6 +95,10 @@ class MergeList:
                 raise ValueError(f"merge {rank} comes before the merges of its parts")
         self.made_at = made_at
         self.longest = max(map(len, self.token_bytes.values()))
+        keys = np.array([a << 32 | b for a, b, _ in self.merges], dtype=np.int64)
+        self.key_order = np.argsort(keys)
+        self.sorted_keys = keys[self.key_order]
+        self.made = np.array([made for _, _, made in self.merges], dtype=ID)
         self.lookahead = self.sufficient_lookahead()
 
     def sufficient_lookahead(self) -> int:
@@ -124,7 +127,58 @@ class MergeList:
     def merged(self, data: bytes) -> list[int]:
         """The tokens of a byte string."""
         ids = [self.byte_ids[b] for b in data]
-        return self.merged_short(ids) if len(ids) <= 40 else self.merged_long(ids)
+        return self.merged_short(ids) if len(ids) <= SHORT_BYTES else self.merged_long(ids)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair in the list, or ``NEVER``."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.sorted_keys, keys), len(self.sorted_keys) - 1)
+        return np.where(self.sorted_keys[at] == keys, self.key_order[at], NEVER)
+
+    def merged_many(self, units: list[bytes]) -> list[bytes]:
+        """The packed tokens of many short byte strings, those of one length together."""
+        out: list[bytes] = [b""] * len(units)
+        lengths = np.array([len(unit) for unit in units], dtype=np.int64)
+        byte_ids = np.array(self.byte_ids, dtype=ID)
+        for length in np.unique(lengths):
+            of = np.flatnonzero(lengths == length)
+            letters = np.frombuffer(b"".join([units[i] for i in of]), dtype=np.uint8).reshape(len(of), length)
+            tokens, counts = self.merged_rows(byte_ids[letters])
+            for i, row, count in zip(of.tolist(), tokens, counts.tolist(), strict=True):
+                out[i] = row[:count].tobytes()
+        return out
+
+    def merged_rows(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of tokens merged one pair a step, each row its earliest rule and leftmost place; and what is left of each."""
+        rows, width = tokens.shape
+        counts = np.full(rows, width)
+        if width < 2 or not len(self.merges):
+            return tokens, counts
+        ranks = self.rank_of(tokens[:, :-1], tokens[:, 1:])
+        live, places = np.arange(rows), np.arange(width)
+        work = tokens
+        while True:
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(live)), at]
+            on = best < NEVER
+            if not on.all():
+                done = ~on
+                tokens[live[done]] = work[done]
+                live, work, ranks, at, best = live[on], work[on], ranks[on], at[on], best[on]
+                if not len(live):
+                    return tokens, counts
+            counts[live] -= 1
+            own = np.arange(len(live))
+            # what is right of the pair moves one place to the left
+            work = np.take_along_axis(work, np.minimum(places + (places > at[:, None]), width - 1), axis=1)
+            ranks = np.take_along_axis(ranks, np.minimum(places[:-1] + (places[:-1] >= at[:, None]), width - 2), axis=1)
+            work[own, at] = self.made[best]
+            last = counts[live] - 1
+            ranks[own, last] = NEVER
+            right = at < last
+            ranks[own[right], at[right]] = self.rank_of(work[own[right], at[right]], work[own[right], at[right] + 1])
+            left = at > 0
+            ranks[own[left], at[left] - 1] = self.rank_of(work[own[left], at[left] - 1], work[own[left], at[left]])
 
     def merged_short(self, ids: list[int]) -> list[int]:
         rank, merges = self.ranks.get, self.merges
@@ -174,7 +228,41 @@ class MergeList:
 
 @functools.lru_cache(maxsize=4)
 def merge_list(path: str) -> MergeList:
-    return MergeList(path)
+    with open(path, encoding="utf-8") as file:
+        return MergeList(json.load(file))
+
+
+@functools.lru_cache(maxsize=2)
+def loaded(digest: str, data: bytes) -> MergeList:
+    return MergeList(json.loads(data))
+
+
+class Remembered:
+    """A table of bounded size: the young generation, and the one before it."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, text: str) -> bytes | None:
+        found = self.young.get(text)
+        if found is None and (found := self.old.get(text)) is not None:
+            self.put(text, found)
+        return found
+
+    def put(self, text: str, ids: bytes) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[text] = ids
+
+    def missing(self, texts: Iterable[str]) -> list[str]:
+        young, old = self.young, self.old
+        return [text for text in texts if text not in young and text not in old]
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype=ID).tobytes()
 
 
 class Transducer:
@@ -185,23 +273,36 @@ class Transducer:
         self.units = regex.compile(UNITS)
         self.symbols = regex.compile(SYMBOL_RUN)
         self.added = regex.compile("|".join(map(regex.escape, sorted(merges.added, key=len, reverse=True)))) if merges.added else None
-        self.held_back = max(map(len, merges.added), default=1) - 1
         # a unit is only cut where it is longer than both of these
         self.window = 4 * (merges.lookahead + merges.longest)
-        self.known_units: dict[str, tuple[int, ...]] = {}
-        self.known_words: dict[str, tuple[int, ...]] = {}
-
-    def unit(self, text: str) -> tuple[int, ...]:
+        self.known_units, self.known_words = Remembered(REMEMBERED_UNITS), Remembered(REMEMBERED_WORDS)
+
+    def learn(self, texts: Iterable[str]) -> None:
+        """Remember the words of some texts, their new units merged together."""
+        words: set[str] = set()
+        for text in texts:
+            words.update(text.split(" "))
+        fresh = self.known_words.missing(" " + w for w in words if 0 < len(w) < REMEMBERED_CHARS and not w[0].isspace())
+        split = self.units.findall
+        units_of = [split(word) for word in fresh]
+        units = self.known_units.missing({unit for units in units_of for unit in units})
+        data = [unit.encode() for unit in units]
+        short = [i for i, d in enumerate(data) if len(d) <= SHORT_BYTES]
+        found = dict(zip([units[i] for i in short], self.merges.merged_many([data[i] for i in short]), strict=True))
+        for unit, ids in found.items():
+            self.known_units.put(unit, ids)
+        for word, units in zip(fresh, units_of, strict=True):
+            self.known_words.put(word, b"".join([found.get(unit) or self.unit(unit) for unit in units]))
+
+    def unit(self, text: str) -> bytes:
         found = self.known_units.get(text)
         if found is None:
             data = text.encode()
             if len(data) > self.window:
-                return tuple(self.long_unit(data))
-            found = tuple(self.merges.merged(data))
+                return packed(list(self.long_unit(data)))
+            found = packed(self.merges.merged(data))
             if len(text) <= REMEMBERED_CHARS:
-                if len(self.known_units) >= REMEMBERED_UNITS:
-                    self.known_units.clear()
-                self.known_units[text] = found
+                self.known_units.put(text, found)
         return found
 
     def long_unit(self, data: bytes) -> Iterator[int]:
@@ -213,41 +314,41 @@ class Transducer:
             start += covered
         yield from self.merges.merged(data[start:])
 
-    def split(self, text: str) -> list[int]:
+    def split(self, text: str) -> bytes:
         """The ids of whole units."""
-        return [token for unit in self.units.findall(text) for token in self.unit(unit)]
+        return b"".join([self.unit(unit) for unit in self.units.findall(text)])
 
-    def word(self, text: str) -> tuple[int, ...]:
+    def word(self, text: str) -> bytes:
         found = self.known_words.get(text)
         if found is None:
-            found = tuple(self.split(text))
+            found = self.split(text)
             if len(text) <= REMEMBERED_CHARS:
-                if len(self.known_words) >= REMEMBERED_WORDS:
-                    self.known_words.clear()
-                self.known_words[text] = found
+                self.known_words.put(text, found)
         return found
 
-    def words(self, text: str) -> list[int]:
+    def words(self, text: str) -> bytes:
         """The ids of a text of whole units, by words where single blanks part them."""
         first, *rest = text.split(" ")
-        out: list[int] = []
-        known, at, count = self.known_words, 0, len(rest)
         if not rest:
             return self.split(first)
-        pending = first
-        while at < count:
-            word = rest[at]
+        out: list[bytes] = []
+        known, pending = self.known_words, first
+        for word in rest:
             if word and not word[0].isspace():
-                out += known.get(pending) or self.word(pending)
+                out.append(known.young.get(pending) or self.word(pending))
                 pending = " " + word
             else:  # a run of blanks goes with the words on both sides
                 pending += " " + word
-            at += 1
-        out += known.get(pending) or self.word(pending)
-        return out
+        out.append(self.word(pending))
+        return b"".join(out)
 
-    def plain(self, pieces: Iterable[str]) -> Iterator[list[int]]:
+    def plain(self, pieces: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of text without added tokens."""
+        for ids in self.emitted(pieces):
+            yield np.frombuffer(ids, dtype=ID)
+
+    def emitted(self, pieces: Iterable[str]) -> Iterator[bytes]:
+        """The same, packed."""
         held = ""
         run, run_bytes, run_last = None, b"", ""  # a unit that is being emitted before its end
         for piece in pieces:
@@ -259,13 +360,13 @@ class Transducer:
                 if len(grown) == len(piece):
                     while len(run_bytes) > self.window:
                         tokens, covered = self.merges.stable(run_bytes[: self.window])
-                        yield tokens
+                        yield packed(tokens)
                         run_bytes = run_bytes[covered:]
                     continue
                 piece = piece[len(grown) :]
                 if run is self.blanks:  # a run leaves its last blank to the next unit
                     run_bytes, piece = run_bytes[: -len(run_last.encode())], run_last + piece
-                yield self.merges.merged(run_bytes) if len(run_bytes) <= self.window else list(self.long_unit(run_bytes))
+                yield packed(self.merges.merged(run_bytes) if len(run_bytes) <= self.window else list(self.long_unit(run_bytes)))
                 run, run_bytes = None, b""
             held += piece
             cut = self.boundary(held)
@@ -275,12 +376,12 @@ class Transducer:
             if len(held) > self.window:
                 units = list(self.units.finditer(held))
                 whole = [unit for unit in units[:-1] if unit.end() <= len(held) - APOSTROPHE_CHARS]
-                yield [token for unit in whole for token in self.unit(unit[0])]
+                yield b"".join([self.unit(unit[0]) for unit in whole])
                 held = held[whole[-1].end() :] if whole else held
                 if len(whole) == len(units) - 1 and len(held) > self.window:
                     run, run_bytes, run_last, held = self.run_of(held[-1]), held.encode(), held[-1], ""
         if run is not None:
-            yield list(self.long_unit(run_bytes)) if len(run_bytes) > self.window else self.merges.merged(run_bytes)
+            yield packed(list(self.long_unit(run_bytes)) if len(run_bytes) > self.window else self.merges.merged(run_bytes))
         elif held:
             yield self.words(held)
 
@@ -304,26 +405,26 @@ class Transducer:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text, read piece by piece."""
+        return np.frombuffer(self.encoded(text), dtype=ID).tolist()
+
+    def encoded(self, text: str) -> bytes:
+        """The same, packed."""
         if self.added is None or not (marks := list(self.added.finditer(text))):
             return self.run(text)
         out, start = [], 0
         for mark in marks:
-            out += self.run(text[start : mark.start()])
-            out.append(self.merges.added[mark[0]])
+            out += [self.run(text[start : mark.start()]), packed([self.merges.added[mark[0]]])]
             start = mark.end()
-        return out + self.run(text[start:])
+        return b"".join([*out, self.run(text[start:])])
 
-    def run(self, text: str) -> list[int]:
-        if len(text) <= PIECE:
-            return self.words(text) if text else []
-        pieces = (text[at : at + PIECE] for at in range(0, len(text), PIECE))
-        return [token for tokens in self.plain(pieces) for token in tokens]
+    def run(self, text: str) -> bytes:
+        return b"".join(self.emitted(text[at : at + PIECE] for at in range(0, len(text), PIECE)))
 
 
 @functools.lru_cache(maxsize=2)
-def transducer(path: str) -> Transducer:
+def transducer(digest: str, data: bytes) -> Transducer:
     """One for all tasks of a worker, so that what it remembers is kept."""
-    return Transducer(merge_list(path))
+    return Transducer(loaded(digest, data))
 
 
 class TextMachine:
@@ -344,14 +445,6 @@ class TextMachine:
         return "".join(pieces) + self.feed([], True)
 
 
-def shipped(spark, path: str) -> str:
-    """The vocabulary file's name on every executor; a small file of fixed size."""
-    name = path.rsplit("/", 1)[-1]
-    if not any(known.rsplit("/", 1)[-1] == name for known in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(path)
-    return name
-
-
 def added_column(df: DataFrame, name: str, kind: T.DataType, start, make) -> DataFrame:
     """``df`` with a column made of another by a machine that each task starts once."""
     schema = T.StructType([f for f in df.schema.fields if f.name != name]).add(name, kind)
@@ -368,20 +461,21 @@ def added_column(df: DataFrame, name: str, kind: T.DataType, start, make) -> Dat
 
 def encode(df: DataFrame, path: str, text_column: str = "text", ids_column: str = "token_ids") -> DataFrame:
     """``df`` with the ids of each text."""
-    name = shipped(df.sparkSession, path)
+    file = shipped_bytes(df.sparkSession, path)
 
     def make(machine: Transducer, part: pa.RecordBatch) -> pa.Array:
         texts = part[text_column].to_pylist()
-        found = [np.array(machine.encode(text) if text else [], dtype=np.int32) for text in texts]
-        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-        return pa.ListArray.from_arrays(ends, np.concatenate(found))
+        machine.learn(text for text in texts if text)
+        found = [machine.encoded(text) if text else b"" for text in texts]
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // ID.itemsize
+        return pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(b"".join(found), dtype=ID))
 
-    return added_column(df, ids_column, T.ArrayType(T.IntegerType()), lambda: transducer(SparkFiles.get(name)), make)
+    return added_column(df, ids_column, T.ArrayType(T.IntegerType()), lambda: transducer(file.digest, file.value), make)
 
 
 def decode(df: DataFrame, path: str, ids_column: str = "token_ids", text_column: str = "decoded_text") -> DataFrame:
     """``df`` with the text of each list of ids; null ids are no ids."""
-    name = shipped(df.sparkSession, path)
+    file: ShippedFile = shipped_bytes(df.sparkSession, path)
 
     def make(machine: TextMachine, part: pa.RecordBatch) -> pa.Array:
         ids = part[ids_column]
@@ -392,7 +486,7 @@ def decode(df: DataFrame, path: str, ids_column: str = "token_ids", text_column:
             start += count
         return pa.array(out, pa.string())
 
-    return added_column(df, text_column, T.StringType(), lambda: TextMachine(merge_list(SparkFiles.get(name))), make)
+    return added_column(df, text_column, T.StringType(), lambda: TextMachine(loaded(file.digest, file.value)), make)
 
 
 def vocabulary() -> str:
