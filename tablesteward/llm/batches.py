@@ -56,6 +56,19 @@ def map_columns(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schem
     return df.mapInArrow(run, schema)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case, for columns of our own beside it."""
+    taken, out = {name.lower() for name in df.columns}, []
+    for name in names:
+        made, nth = f"__{name}", 0
+        while made.lower() in taken:
+            nth += 1
+            made = f"__{name}_{nth}"
+        taken.add(made.lower())
+        out.append(made)
+    return out
+
+
 def numbered(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder with a ``row_id`` that stays the same from then on.
 

@@ -3,8 +3,8 @@
 Lines are normalised (A-Z lower-cased, digit runs as one 0, words joined by one
 blank) and hashed. Every distinct text of a host that has a line counts once for
 it, and a line is above the limit when it is in more than a share of the host's
-distinct texts, and in more than a few of them. ``line_limit`` counts rows against
-a fixed number instead, which is the rule of the query's SQL.
+distinct texts, and in more than a few of them. A caller may give ``line_limit``, a
+fixed number that rows are counted against, instead.
 A line above the host's limit stays in the host's first document that passes the
 rules on its own text (smallest id; under ``line_limit``, of all documents) and is
 removed from the others; a document that loses more than a given share of
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesteward.llm.batches import BLANKS, as_bytes, map_columns, numbered, table
+from tablesteward.llm.batches import BLANKS, as_bytes, fresh_names, map_columns, numbered, table
 
 # Fixed values of the rules.
 SYMBOLS = b"#*$%&|<>"
@@ -34,12 +34,10 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW_WORDS = 8
 
-# Production settings: the share of a host's distinct texts that may have a line,
-# texts that always may, and the share of its word characters that a document may lose.
-LINE_SHARE, LEAST_TEXTS = 0.05, 5
+# Production settings: the percentage of a host's distinct texts that may have a
+# line, texts that always may, and the share of its word characters that a document may lose.
+LINE_PERCENT, LEAST_TEXTS = 5, 5
 MAX_LOST = 0.5
-# The fixed number of the query and its SQL.
-LINE_LIMIT = 200
 
 NOT_WORD_CHARS = BLANKS + bytes(range(0x80, 0xC0))
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -163,7 +161,7 @@ def lines_above(profile: DataFrame, line_limit: int | None) -> DataFrame:
             .agg(F.count("*").alias("line_docs"), F.min("least_id").alias("home_id"))
             .where(F.col("line_docs") > LEAST_TEXTS)
             .join(texts, "host_key")
-            .where(F.col("line_docs") > LINE_SHARE * F.col("texts"))
+            .where(100 * F.col("line_docs") > LINE_PERCENT * F.col("texts"))
         )
     else:
         above = (
@@ -240,19 +238,20 @@ def clean_documents(
     join only where those are too many for Spark to broadcast.
     """
     verdicts = judged(line_profile(docs, id_column, text_column, host_column), line_limit, max_lost)
+    id_name, key, passes, hashes = fresh_names(docs, "id", "key", "kept", "hashes")
     changed = (
         verdicts.where(~F.col("kept") | (F.col("lost_lines") > 0))
-        .groupBy(F.col("id").alias("__id"), F.col("row_key").alias("__key"))
-        .agg(F.min("kept").alias("__kept"), F.first("lost_hashes").alias("__hashes"))
+        .groupBy(F.col("id").alias(id_name), F.col("row_key").alias(key))
+        .agg(F.min("kept").alias(passes), F.first("lost_hashes").alias(hashes))
     )
-    same_row = F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (row_key(text_column, host_column) == F.col("__key"))
-    kept = docs.join(changed, same_row, "left").where(F.coalesce("__kept", F.lit(True)))
-    touched = kept.select(*[F.col(f"`{name}`") for name in docs.columns], "__hashes")
-    return without_lines(touched, text_column, "__hashes")
+    same_row = F.col(id_column).cast("long").eqNullSafe(F.col(id_name)) & (row_key(text_column, host_column) == F.col(key))
+    kept = docs.join(changed, same_row, "left").where(F.coalesce(passes, F.lit(True)))
+    touched = kept.select(*[F.col(f"`{name}`") for name in docs.columns], hashes)
+    return without_lines(touched, text_column, hashes)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_verdicts(table(spark, sf_dir, "documents"), line_limit=LINE_LIMIT)
+    return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op10_quality_rules": op10_quality_rules}
@@ -261,23 +260,17 @@ _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 ORACLE = {
     "op10_quality_rules": rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS row_id, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t,
-         {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce('=' || source, '') AS host, coalesce('=' || text, '') AS body,
+         coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), hosts AS (SELECT host, count(DISTINCT body) AS texts FROM d GROUP BY host
 ), lines AS (
-  SELECT row_id, doc_id, host, line, length(array_to_string({_WORDS.format("line")}, '')) AS chars,
+  SELECT row_id, doc_id, host, body, line, length(array_to_string({_WORDS.format("line")}, '')) AS chars,
          regexp_replace(translate(array_to_string({_WORDS.format("line")}, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
            'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS norm
-  FROM (SELECT row_id, doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d)
+  FROM (SELECT row_id, doc_id, host, body, unnest(string_split(t, chr(10))) AS line FROM d)
 ), worded AS (SELECT * FROM lines WHERE chars > 0
 ), dup AS (
   SELECT row_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY row_id
-), own AS (
-  SELECT row_id, doc_id, host, norm, sum(chars) AS chars, count(*) AS times FROM worded GROUP BY ALL
-), above AS (
-  SELECT host, norm, min(doc_id) AS home FROM own GROUP BY host, norm HAVING count(*) > {LINE_LIMIT}
-), lost AS (
-  SELECT row_id, sum(chars) AS lost_chars, sum(times) AS lost_lines FROM own JOIN above USING (host, norm)
-  WHERE doc_id IS DISTINCT FROM home GROUP BY row_id
 ), windows AS (
   SELECT row_id, i, list_slice(w, i, i + {WINDOW_WORDS - 1}) AS win
   FROM (SELECT row_id, w, unnest(range(1, len(w) - {WINDOW_WORDS - 2})) AS i FROM d)
@@ -286,15 +279,26 @@ WITH d AS (
 ), rep AS (
   SELECT row_id, count(DISTINCT spot) AS n_repeat_words
   FROM (SELECT row_id, unnest(range(i, i + {WINDOW_WORDS})) AS spot FROM twice) GROUP BY row_id
+), failed AS (
+  SELECT row_id, len(w) < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEAT_PERCENT} * len(w) AS base_failed
+  FROM d LEFT JOIN rep USING (row_id)
+), own AS (
+  SELECT row_id, doc_id, host, body, norm, sum(chars) AS chars, count(*) AS times FROM worded GROUP BY ALL
+), held AS (
+  SELECT host, norm, min(CASE WHEN NOT base_failed THEN doc_id END) AS home, count(DISTINCT body) AS line_docs
+  FROM own JOIN failed USING (row_id) GROUP BY host, norm HAVING count(DISTINCT body) > {LEAST_TEXTS}
+), above AS (
+  SELECT host, norm, home FROM held JOIN hosts USING (host) WHERE 100 * line_docs > {LINE_PERCENT} * texts
+), lost AS (
+  SELECT row_id, sum(chars) AS lost_chars, sum(times) AS lost_lines FROM own JOIN above USING (host, norm)
+  WHERE doc_id IS DISTINCT FROM home GROUP BY row_id
 ), counted AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, base_failed,
          coalesce(lost_chars, 0)::BIGINT AS lost_chars, coalesce(lost_lines, 0)::BIGINT AS lost_lines
-  FROM d LEFT JOIN dup USING (row_id) LEFT JOIN lost USING (row_id) LEFT JOIN rep USING (row_id)
-), judged AS (
-  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-         lost_chars > {MAX_LOST} * word_chars AS depleted FROM counted
+  FROM d JOIN failed USING (row_id) LEFT JOIN dup USING (row_id) LEFT JOIN lost USING (row_id) LEFT JOIN rep USING (row_id)
+), judged AS (SELECT *, lost_chars > {MAX_LOST} * word_chars AS depleted FROM counted
 )
 SELECT *, NOT base_failed AND NOT depleted AS kept FROM judged
 """

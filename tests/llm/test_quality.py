@@ -66,6 +66,12 @@ def test_empty_and_clashing(spark):
     assert quality.quality_verdicts(docs).count() == 0 and quality.clean_documents(docs).columns == docs.columns
     clash = spark.createDataFrame([(1, "a " * 5, "h", 3, 4)], "doc_id long, text string, source string, row_id int, host int")
     assert quality.clean_documents(clash).columns == clash.columns
+    body = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, f"License\n{body} {chr(97 + i)}", "h", "mine", i) for i in range(8)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, source string, __kept string, __Hashes int")
+    cleaned = quality.clean_documents(clash)
+    assert cleaned.columns == clash.columns and {r["__kept"] for r in cleaned.collect()} == {"mine"}
+    assert sum(r.text.startswith("License") for r in cleaned.collect()) == 1
 
 
 def test_limit_follows_the_host(spark):
@@ -80,6 +86,19 @@ def test_limit_follows_the_host(spark):
     assert sorted(r.doc_id for r in got) == list(range(1, 8))
 
 
+def test_query_removes_lines(spark):
+    """The registered query's method decides on a given table; its SQL is compared in test_registry."""
+    got = quality.op10_quality_rules(spark, "/root/testdata/sf0.01")
+    assert got.where("lost_lines > 0").count() > 0
+
+
+def test_long_text(spark):
+    text = "\n".join(f"line {chr(97 + i % 26)} of a very long text {i}" for i in range(33_000))
+    docs = spark.createDataFrame([(1, text, "h"), (2, "word " * 250_000, "h")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.quality_verdicts(docs).collect()}
+    assert len(text) > 1_000_000 and got[1].n_words == 264_000 and got[2].base_failed and got[1].word_chars == len(text.translate({32: None, 10: None}))
+
+
 def test_home_passes_the_base_rules(spark):
     body = " ".join(f"w{i}" for i in range(30))
     rows = [(0, "License", "h", "x")] + [(i, f"License\n{body} {chr(97 + i)}", "h", "x") for i in range(1, 9)]
