@@ -20,11 +20,14 @@ span; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesteward.llm.batches import numbered, sha256_hex, table
-from tablesteward.llm.spans import kind_counts, listed, matches, overlaps, places
+from tablesteward.llm.spans import kind_counts, listed, matches, places, touches
 
 KINDS = ("assign", "access", "hex")
 
@@ -96,7 +99,7 @@ def scanned(docs: DataFrame, id_column: str, text_column: str, owner_column: str
     based = hits.withColumn("base", F.sort_array(F.concat(*[places(F.col("hits")[k], k, i) for i, k in enumerate(KINDS)])))
     others = F.filter(
         told(F.filter(matches(text, GENERATOR), lambda h: F.length(h["hit"]) >= TOKEN_LENGTH), "assign", whole, False),
-        lambda c: c["random"] & ~F.exists("base", lambda b: overlaps(b, c)),
+        lambda c: c["random"] & ~reduce(or_, [touches(F.col("hits")[kind], c) for kind in KINDS]),
     )
     values = F.concat(
         told(F.col("hits")["assign"], "assign", lambda h: F.rtrim(assigned_value(h), F.lit(".")), True),

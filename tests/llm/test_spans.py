@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from tablesteward.llm import pii, secretscan
@@ -79,6 +80,63 @@ def test_added_phone_numbers_and_redaction(spark):
     assert texts[0] == "call [phone] now" and texts[5000].endswith("now, mail é [email]") and texts[1000] == dict(rows)[1000]
 
 
+OTHER_FORMS = {
+    "email": "please contact jo.doe [at] mail [dot] com soon",
+    "ip": "the server 2001:db8:1:0:0:8a2e:370:7334 is up",
+    "card": "my visa card 4012.8888.8888.1881 was charged",
+    "phone": "call (547) 555-3286 now",
+}
+
+
+@pytest.mark.parametrize("rows", [0, 10_000])
+def test_added_span_of_each_kind(spark, rows):
+    """Forms that no base rule finds, alone and among many documents; replayed by plain Python."""
+    made = [(i, text) for i, text in enumerate(OTHER_FORMS.values())]
+    rng = random.Random(3)
+    filler = ["mail joe@mail.org", "call +1 547 555 3286", "pay 4111 1111 1111 1111", "at 10.0.0.1 now", "id 4111111111111112x", "order 1234567", "v1.2.3.400"]
+    made += [(100 + i, f"{rng.choice(filler)} {rng.randrange(1000)}") for i in range(rows)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r.id: [s.kind for s in r.spans] for r in pii.personal_data(docs.where(f"doc_id < {100 + rows}")).collect()}
+    assert [got[i] for i in range(4)] == [[kind] for kind in OTHER_FORMS]
+    found = pii.with_candidates(docs, "text", ["key", "base", "found"])
+    scorer = pii.fitted(found, "key", "found")
+
+    def grown(node, values):
+        while not isinstance(node, float):
+            feature, threshold, left, right = node
+            node = left if values[feature] <= threshold else right
+        return node
+
+    for r in found.where("doc_id < 120").select("doc_id", "found", "base").collect():
+        want = [(s.start, s.kind_no, s.end, s.kind) for s in r.base]
+        for c in r.found:
+            margin = sum(w * grown(t, c.features) for t, w in zip(scorer.trees, scorer.weights, strict=True))
+            if c.label is None and c.free and 1 / (1 + 2.718281828459045 ** (-2 * margin)) >= scorer.thresholds.get(c.kind, 2.0):
+                want.append((c.start, c.kind_no, c.end, c.kind))
+        assert [k for *_, k in sorted(want)] == got[r.doc_id]
+
+
+def test_many_matches_in_one_text(spark):
+    """Places, overlaps and redaction stay exact, and cost what the text costs, beyond a chunk of matches."""
+    unit = "+1 547 555 3286, a@b.co é "
+    for count in (600, 16_000):
+        text = unit * count
+        docs = spark.createDataFrame([(1, text, "o")], "doc_id long, text string, source string")
+        begun = time.monotonic()
+        (row,) = pii.personal_data(docs).collect()
+        places = [(s.start, s.end) for s in row.base]
+        assert places == [(i * len(unit) + at, i * len(unit) + end) for i in range(count) for at, end in ((0, 15), (17, 23))]
+        (told,) = pii.redact_documents(docs).collect()
+        assert told.text == "[phone], [email] é " * count
+        assert secretscan.secrets(docs).count() == 1
+    assert time.monotonic() - begun < 120
+
+
+def test_columns_of_the_caller_stay(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co", "mine", 7, True)], "doc_id long, text string, __base string, __KEY int, __candidates boolean")
+    assert pii.redact_documents(docs).collect() == [(1, "mail [email]", "mine", 7, True)]
+
+
 def test_secrets(spark, edges):
     parts = ["token", "Secret", "api_key", "APIKEY", "passwd", " ", "=", ":", "'", '"', "abc", "AKIA", "0123456789ABCDEF", "deadbeef", "\x01", "é", "K", "Zx81mQ"]
     rows = made(random.Random(9), parts) + edges
