@@ -17,8 +17,8 @@ from tablesteward.functions.sqltext import ESCAPE_HATCHES, with_verdict
 from tablesteward.plans.planwalk import leaves_engine, parsed, physical_leaves, refusal
 from tablesteward.operators.scancost import MAX_BYTES, rejection_text
 from tablesteward.session import materialize
-from tablesteward.sources.footers import footer_inventory
-from tablesteward.sources.tables import TableRef, data_files, register
+from tablesteward.sources.footers import FooterStore, footer_inventory
+from tablesteward.sources.tables import TableRef, data_files, qualified, register
 
 # Fixed value: seconds a query may run.
 TIMEOUT_SECONDS = 120.0
@@ -55,9 +55,17 @@ class Warehouse:
         short = {f"{ref.dataset}.{ref.table}".lower() for ref in self.refs if ref.path is None}
         return short | {ref.table_id.lower() for ref in self.refs}
 
-    def with_stored_inventory(self) -> Warehouse:
-        """Read all footers once now, instead of those of each query's tables."""
-        return replace(self, inventory=materialize(footer_inventory(data_files(self.spark, list(self.refs))), "footers"))
+    def with_stored_inventory(self, folder: str | None = None) -> Warehouse:
+        """Read all footers once now, instead of those of each query's tables.
+
+        With a ``folder`` they are kept there from one time to the next, and only
+        files that are new or have changed are read.
+        """
+        if folder is None:
+            return replace(self, inventory=materialize(footer_inventory(data_files(self.spark, list(self.refs))), "footers"))
+        store = FooterStore(self.spark, folder)
+        store.refresh(list(self.refs))
+        return replace(self, inventory=store.read())
 
     def footers(self, used: list[TableRef]) -> DataFrame:
         if self.inventory is not None:
@@ -172,22 +180,16 @@ def _json(text: str):
     return json.loads(text)
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    """A path with its file system, as scans name it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place).toString().rstrip("/")
-
-
 def _root_paths(leaf) -> list[str]:
     roots = leaf.relation().location().rootPaths().mkString("\n")
     return [path for path in roots.split("\n") if path]
 
 
 def _table_of(spark: SparkSession, paths: list[str], refs: tuple[TableRef, ...]) -> TableRef | None:
-    found = [_qualified(spark, path) for path in paths]
+    found = [qualified(spark, path) for path in paths]
     for ref in refs:
         # A partitioned catalog table is scanned by its pruned partition folders.
-        if ref.files is not None and all(f"{path}/".startswith(_qualified(spark, ref.files) + "/") for path in found):
+        if ref.files is not None and all(f"{path}/".startswith(qualified(spark, ref.files) + "/") for path in found):
             return ref
     return None
 

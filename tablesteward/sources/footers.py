@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablesteward.session import materialize
+from tablesteward.sources.snapshots import SnapshotTable
+from tablesteward.sources.tables import TableRef, data_files
+
 FOOTER_SCHEMA = (
     "table_id string, path string, leaf string, leaf_index int, rows bigint, compressed_bytes bigint, plain_bytes bigint"
 )
@@ -61,3 +67,51 @@ def column_bytes(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy("table_id", "column").agg(
         F.sum("compressed_bytes").alias("compressed_bytes"), F.sum("plain_bytes").alias("plain_bytes")
     )
+
+
+# What tells a file from the one that was read before.
+FILE = ["table_id", "path", "file_bytes", "modified"]
+
+
+@dataclass(frozen=True)
+class Refresh:
+    """What a refresh did: the version that is current, and how many files were read, kept and dropped."""
+
+    version: int
+    read: int
+    kept: int
+    dropped: int
+
+
+class FooterStore:
+    """The footer inventory of a warehouse, kept between runs as committed versions.
+
+    A file is read again only if its path is new or its length or time of
+    modification differs; entries of files that are gone are dropped. Nothing is
+    written when nothing has changed.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.store = spark, SnapshotTable(spark, folder)
+
+    def read(self) -> DataFrame | None:
+        """The current inventory, as ``footer_inventory`` gives it, with the length and time of each file."""
+        return self.store.read()
+
+    def refresh(self, refs: list[TableRef]) -> Refresh:
+        """Bring the inventory up to date with the files of these tables."""
+        listed = materialize(data_files(self.spark, refs), "listed-files")
+        before, version = self.read(), self.store.current()
+        if before is None:
+            return Refresh(self.store.write(self._footers(listed)), listed.count(), 0, 0)
+        known = materialize(before.select(*FILE).distinct(), "known-files")
+        fresh = materialize(listed.join(known, FILE, "left_anti"), "fresh-files")
+        read, kept = fresh.count(), listed.join(known, FILE, "left_semi").count()
+        dropped = known.count() - kept
+        if read or dropped:
+            same = before.join(listed.select(*FILE), FILE, "left_semi")
+            version = self.store.write(same.unionByName(self._footers(fresh)))
+        return Refresh(version, read, kept, dropped)
+
+    def _footers(self, files: DataFrame) -> DataFrame:
+        return footer_inventory(files).join(files.select(*FILE), ["table_id", "path"])

@@ -109,19 +109,25 @@ def register(spark: SparkSession, refs: list[TableRef]) -> None:
     each_table(lambda ref: ref.read(spark).createOrReplaceTempView(f"`{ref.table_id}`"), with_schemas(spark, refs))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, as listings and scans name it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place).toString().rstrip("/")
+
+
 def data_files(spark: SparkSession, refs: list[TableRef]) -> DataFrame:
-    """``table_id, path, file_bytes`` of every data file, listed by Spark."""
+    """``table_id, path, file_bytes, modified`` of every data file, listed by Spark."""
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load([ref.files for ref in refs])
-        .select("path", F.col("length").alias("file_bytes"))
+        .select("path", F.col("length").alias("file_bytes"), F.col("modificationTime").alias("modified"))
         .where("file_bytes > 0")
     )
     # Two tables may share a folder, so a file can have more than one owner.
-    inside = [F.concat("path", F.lit("/")).contains(ref.files.rstrip("/") + "/") for ref in refs]
+    inside = [F.concat("path", F.lit("/")).startswith(qualified(spark, ref.files) + "/") for ref in refs]
     owners = F.array_compact(F.array(*[F.when(hit, F.lit(ref.table_id)) for hit, ref in zip(inside, refs)]))
-    return listing.select(F.explode(owners).alias("table_id"), "path", "file_bytes")
+    return listing.select(F.explode(owners).alias("table_id"), "path", "file_bytes", "modified")
 
 
 def partition_summaries(spark: SparkSession, refs: list[TableRef]) -> dict[str, tuple[str | None, list[str]]]:

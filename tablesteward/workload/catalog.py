@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesteward.operators import cardindex, cards, profile
-from tablesteward.session import scratch_path
-from tablesteward.sources.footers import column_bytes, footer_inventory, table_rows
+from tablesteward.session import materialize, scratch_path
+from tablesteward.sources.footers import FooterStore, column_bytes, footer_inventory, table_rows
 from tablesteward.sources.snapshots import SnapshotTable
 from tablesteward.sources.tables import TableRef, data_files, partition_summaries
 from tablesteward.workload import inputs
@@ -35,6 +35,25 @@ def footer_sizes(spark, sf_dir):
     )
 
 
+def footer_refresh(spark, sf_dir):
+    """Events kept as a file per type; the inventory at first, unchanged, and after one type is written anew."""
+    path = scratch_path(spark, "events-by-type")
+    table(spark, sf_dir, "events").repartition("event_type").write.partitionBy("event_type").parquet(path)
+    ref, store = TableRef(PROJECT, DATASET, "events_by_type", path), FooterStore(spark, scratch_path(spark, "footer-store"))
+    steps = []
+    for step in range(3):
+        if step == 2:
+            clicks = materialize(table(spark, sf_dir, "events").where("event_type = 'click' AND value > 100").drop("event_type"), "clicks")
+            clicks.coalesce(1).write.mode("overwrite").parquet(f"{path}/event_type=click")
+        done = store.refresh([ref])
+        counted = table_rows(store.read()).select(
+            F.lit(step).alias("step"), F.lit(done.read).alias("files_read"), F.lit(done.kept).alias("files_kept"),
+            F.lit(done.dropped).alias("files_dropped"), "num_rows",
+        )
+        steps.append(materialize(counted, "footer-step"))
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
+
+
 def partitioned_events(spark, sf_dir):
     """Events written by day, then described from what is on disk."""
     path = scratch_path(spark, "events-by-day")
@@ -107,7 +126,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         catalog_tables, column_logical_bytes, sample_cells, format_cell, distinctive_values, schema_cards, embed_text,
-        content_hash, index_diff, index_upsert, index_prune,
+        content_hash, index_diff, index_upsert, index_prune, footer_refresh,
     )
 } | {"footer_inventory": footer_sizes, "partition_summary": partitioned_events}
 
@@ -249,6 +268,10 @@ ORACLE = {
         for n, fields in FIELDS.items()
         for i, (c, k) in enumerate(fields, start=1)
     ),
+    "footer_refresh": """WITH t AS (SELECT CAST(count(DISTINCT event_type) AS INTEGER) AS n, count(*) AS num_rows,
+  count(*) FILTER (event_type <> 'click' OR value > 100) AS later_rows FROM events)
+SELECT 0 AS step, n AS files_read, 0 AS files_kept, 0 AS files_dropped, num_rows FROM t
+UNION ALL SELECT 1, 0, n, 0, num_rows FROM t UNION ALL SELECT 2, 1, n - 1, 1, later_rows FROM t""",
     "footer_inventory": " UNION ALL ".join(
         f"SELECT '{_id(n)}' AS table_id, '{c}' AS column_name, count(*) AS num_rows, true AS stored FROM {n}"
         for n, fields in FIELDS.items()

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tablesteward.functions import statekeys, text
-from tablesteward.operators import sessions, trace
+from tablesteward.operators import sessions, timejoins, trace
 from tablesteward.session import materialize, scratch_path
 from tablesteward.streaming.sessions import SessionStream
 from tablesteward.workload import inputs
@@ -166,12 +166,33 @@ def paced_release(spark, sf_dir):
     return trace.paced_release(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", SPACING)
 
 
+def state_at_event(spark, sf_dir):
+    """Each purchase with what its user viewed last until then."""
+    events = table(spark, sf_dir, "events")
+    views = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen_at"), F.col("event_id").alias("seen_id"))
+    bought = events.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    found = timejoins.asof_join(bought, views, ["user_id"], "ts", "seen_at", "seen_id")
+    return found.select("user_id", "event_id", F.col("matched.seen_id").alias("seen_id"), F.col("matched.seen_at").alias("seen_at"))
+
+
+def events_after_error(spark, sf_dir):
+    """How many clicks each user made within a day after an error, or within thirty days after every tenth one."""
+    events = table(spark, sf_dir, "events")
+    days = F.when(F.col("event_id") % 10 == 0, F.expr("INTERVAL '30' DAY")).otherwise(F.expr("INTERVAL '1' DAY"))
+    errors = events.where("event_type = 'error'").select("user_id", "event_id", "ts", (F.col("ts") + days).alias("until"))
+    clicks = events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("clicked"))
+    pairs = timejoins.interval_join(errors, clicks, ["user_id"], "ts", "until", "clicked", width_seconds=86_400)
+    return pairs.groupBy(F.col("span.event_id").alias("event_id")).agg(
+        F.count(F.lit(1)).alias("clicks"), F.min("point.click_id").alias("first_click")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         event_log, session_create, session_state, state_keys, recent_events, events_since, session_list, session_preview,
         session_purge, stream_sessions, stream_state, stream_bounded, truncate_marked, content_summary, kv_render, trace_rollup,
-        call_gap_audit, paced_release,
+        call_gap_audit, paced_release, state_at_event, events_after_error,
     )
 }
 
@@ -259,6 +280,13 @@ FROM session_events WHERE NOT partial AND app_name = 'shop' GROUP BY 1, 2, 3""",
 gone AS (SELECT DISTINCT session_id FROM session_events WHERE NOT partial AND texts[1] IN ('error 13', 'error 42', 'error 77'))
 SELECT app_name, user_id, session_id, count(*) AS events, session_id IN (SELECT session_id FROM gone) AS purged
 FROM session_events WHERE NOT partial GROUP BY 1, 2, 3""",
+    "state_at_event": """WITH v AS (
+  SELECT user_id, ts AS seen_at, max(event_id) AS seen_id FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+p AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase')
+SELECT p.user_id, event_id, seen_id, seen_at FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.seen_at""",
+    "events_after_error": """SELECT e.event_id, count(*) AS clicks, min(c.event_id) AS first_click FROM events e JOIN events c
+  ON e.user_id = c.user_id AND c.ts BETWEEN e.ts AND e.ts + CASE WHEN e.event_id % 10 = 0 THEN INTERVAL 30 DAY ELSE INTERVAL 1 DAY END
+WHERE e.event_type = 'error' AND c.event_type = 'click' GROUP BY 1""",
     "truncate_marked": f"SELECT doc_id, {_cut('text', 200)} AS shortened FROM documents",
     "content_summary": f"""WITH parts AS (
   SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations),

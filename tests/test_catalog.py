@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablesteward.functions.vectors import hashed_term_embedder
 from tablesteward.operators import cardindex, cards, profile
 from tablesteward.plans.reindex import reindex
-from tablesteward.sources.footers import column_bytes, footer_inventory, table_rows
+from tablesteward.sources.footers import FooterStore, Refresh, column_bytes, footer_inventory, table_rows
 from tablesteward.sources.snapshots import SnapshotTable
 from tablesteward.sources.tables import TableRef, catalog_tables, data_files, partition_summaries, resolve_datasets
 
@@ -98,6 +98,33 @@ def test_footers(spark, refs):
     assert ("p.d_one.air_daily", "at") in columns and ("p.d_one.by_day", "day") not in columns
 
 
+def test_footer_store(spark, tmp_path):
+    """Only files that are new or changed are read; two tables may share files, and one may vanish."""
+    path = str(tmp_path / "t.parquet")
+    spark.range(90).repartition(9).write.parquet(path)
+    refs = [TableRef("p", "d", "t", path), TableRef("p", "d", "also_t", path)]
+    store = FooterStore(spark, str(tmp_path / "footers"))
+    assert store.refresh(refs) == Refresh(0, 18, 0, 0) and store.refresh(refs) == Refresh(0, 0, 18, 0)
+    spark.range(5).coalesce(1).write.mode("append").parquet(path)
+    assert store.refresh(refs) == Refresh(1, 2, 18, 0)
+    gone = min(tmp_path.glob("t.parquet/part-*"))
+    gone.unlink()
+    assert store.refresh(refs[:1]) == Refresh(2, 0, 9, 11)
+    fresh = footer_inventory(data_files(spark, refs[:1]))
+    columns = fresh.columns
+    assert sorted(store.read().select(*columns).collect()) == sorted(fresh.collect())
+    assert store.read().agg({"rows": "sum"}).first()[0] == table_rows(fresh).first()["num_rows"] < 95
+
+
+def test_files_belong_to_one_folder(spark, tmp_path):
+    """A folder whose path ends like another's."""
+    for place in ("wh/a.parquet", "backup/wh/a.parquet"):
+        spark.range(30).repartition(3).write.parquet(str(tmp_path / place))
+    refs = [TableRef("p", "d", place, str(tmp_path / place)) for place in ("wh/a.parquet", "backup/wh/a.parquet")]
+    counts = {r["table_id"]: r["count"] for r in data_files(spark, refs).groupBy("table_id").count().collect()}
+    assert counts == {"p.d.wh/a.parquet": 3, "p.d.backup/wh/a.parquet": 3}
+
+
 def test_session_catalog(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS stock")
     frame = spark.range(20).select("id", F.col("id").alias("shop"), F.expr("DATE'2026-01-01' AS day"))
