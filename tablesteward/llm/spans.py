@@ -18,7 +18,7 @@ CONTEXT = 24
 CHUNK = 512
 PAGE = 1024
 # Steps of a search in an array of any length.
-HALVES = tuple(1 << n for n in range(30, -1, -1))
+HALVES = "array(" + ", ".join(str(1 << n) for n in range(30, -1, -1)) + ")"
 HIT_TYPE = "start:bigint,end:bigint,hit:string,before:string,after:string"
 
 
@@ -138,8 +138,7 @@ def touches(hits: Column, span: Column) -> Column:
         at = below + half
         return F.when((at <= F.size(hits)) & (F.get(hits, at - 1)["start"] < span["end"]), at).otherwise(below)
 
-    halves = F.array(*[F.lit(h) for h in HALVES])
-    below = F.aggregate(F.filter(halves, lambda h: h <= F.size(hits)), F.lit(0), step)
+    below = F.aggregate(F.filter(F.expr(HALVES), lambda h: h <= F.size(hits)), F.lit(0), step)
     return F.coalesce(F.get(hits, below - 1)["end"] > span["start"], F.lit(False))
 
 
