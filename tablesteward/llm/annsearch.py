@@ -17,9 +17,9 @@ cell, at most ``MOST_CENTROIDS`` squared. Equal vectors are searched once: a
 vector keeps its ``k + 1`` smallest ids, which are all that any answer can hold,
 and equal queries share one answer.
 
-Defined results: vectors that are null, empty, zero, of another width than the
-first one by id, or hold null or non-finite components take no part; fewer than k candidates are all
-returned; ties go to the smaller id; rows equal in id and vector count once; an
+Defined results: vectors that are null, empty, zero, of another width than most
+(of two as frequent the larger), or hold null or non-finite components take no
+part; fewer than k candidates are all returned; ties go to the smaller id; rows equal in id and vector count once; an
 empty table gives no rows.
 """
 
@@ -45,8 +45,11 @@ SAMPLE = 20_000
 FEWEST_CENTROIDS, MOST_CENTROIDS = 8, 1024
 FIT_ROUNDS = 8
 EXPECTED_SHARE = 0.97
+SCORE_BINS = 1024
 BLOCK_ROWS = 4096
 QUERY_BLOCK = 512
+# Distinct queries that one task looks up cells for.
+QUERIES_PER_TASK = 128
 
 
 def usable(vector: Column) -> Column:
@@ -118,6 +121,23 @@ class MultiIndex:
         first, second = (nearest_centroid(h, book) for h, book in zip(self.halves(points), self.books, strict=True))
         return first, second
 
+    def border(self, scores: np.ndarray, deviation: float, wanted: int) -> float:
+        """The score that ``wanted`` rows are expected to exceed.
+
+        Cells are counted by score once, in ``SCORE_BINS`` bins; the search reads the bins.
+        """
+        least, most = float(scores.min()), float(scores.max())
+        step = max(most - least, 1e-12) / SCORE_BINS
+        bins = np.minimum(((scores - least) / step).astype(np.int64), SCORE_BINS - 1)
+        rows = np.bincount(bins.ravel(), self.sizes.ravel(), SCORE_BINS)
+        middles = least + (np.arange(SCORE_BINS) + 0.5) * step
+        low, high = least - 9 * deviation, most + 9 * deviation
+        for _ in range(32):
+            middle = (low + high) / 2
+            above = (rows * normal_tail((middle - middles) / max(deviation, 1e-12))).sum()
+            low, high = (middle, high) if above > wanted else (low, middle)
+        return (low + high) / 2
+
     def probes(self, query: np.ndarray, k: int) -> np.ndarray:
         """The cells to search, as a matrix of truth over centroid pairs."""
         ahead = [query[: self.cut] @ self.books[0].T, query[self.cut :] @ self.books[1].T]
@@ -125,13 +145,9 @@ class MultiIndex:
         deviation = math.sqrt(
             self.spread[0] * (query[: self.cut] ** 2).sum() + self.spread[1] * (query[self.cut :] ** 2).sum()
         )
-        low, high = scores.min() - 9 * deviation, scores.max() + 9 * deviation
         wanted = min(k + 1, int(self.sizes.sum()))
-        expected = None
-        for _ in range(24):  # the score that k rows are expected to exceed
-            border = (low + high) / 2
-            expected = self.sizes * normal_tail((border - scores) / max(deviation, 1e-12))
-            low, high = (border, high) if expected.sum() > wanted else (low, border)
+        border = self.border(scores, deviation, wanted)
+        expected = self.sizes * normal_tail((border - scores) / max(deviation, 1e-12))
         total = expected.sum()
         orders = [np.argsort(-a, kind="stable") for a in ahead]
         sorted_ahead = [a[o] for a, o in zip(ahead, orders, strict=True)]
@@ -252,10 +268,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vec
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), is_query.alias("asks"))
     rows = rows.where(usable(F.col("vector")) & F.col("id").isNotNull())
-    width = rows.agg(F.min_by(F.size("vector"), "id")).first()[0]
-    rows = materialize(rows.where(F.size("vector") == F.lit(width or 0)), "ann-rows")
-    kind = rows.schema["vector"].dataType.simpleString()
-    if width is None:
+    usual = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    width = usual["width"] if usual else 0
+    rows = materialize(rows.where(F.size("vector") == F.lit(width)), "ann-rows")
+    if not width:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     distinct = materialize(distinct_vectors(rows.select("id", "vector"), k + 1), "ann-vectors")
     index = fit_index(distinct)
@@ -267,7 +283,9 @@ def nearest(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vec
     blocks = {first: max(1, -(-int(n) // BLOCK_ROWS)) for first, n in enumerate(index.sizes.sum(axis=1))}
     block_count = F.element_at(F.array(*[F.lit(blocks[f]) for f in range(len(blocks))]), F.col("first") + 1)
     asked = rows.where("asks").select("id", F.xxhash64("vector").alias("query_key"), "vector")
-    questions = asked.groupBy("vector").agg(F.first("query_key").alias("vector_key"))
+    questions = materialize(asked.groupBy("vector").agg(F.first("query_key").alias("vector_key")), "ann-questions")
+    # A given number of partitions is kept as it is: looking up cells is dear, and its rows are few.
+    tasks = max(1, -(-questions.count() // QUERIES_PER_TASK))
     empty = F.lit(None)
     index_side = cells.select(
         F.struct("first", F.pmod("vector_key", block_count).alias("part")).alias("spot"), F.lit(0).alias("side"),
@@ -275,7 +293,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vec
     )
     part = F.explode(F.sequence(F.lit(0).cast("long"), (block_count - 1).cast("long"))).alias("part")
     query_side = (
-        probed(questions.repartition("vector_key"), shared, k)
+        probed(questions.repartition(tasks, "vector_key"), shared, k)
         .select("*", part)
         .select(
             F.struct("first", "part").alias("spot"), F.lit(1).alias("side"), empty.cast("array<long>").alias("ids"), "vector",

@@ -44,7 +44,7 @@ def test_unusable_vectors_and_few_rows(spark):
     rng = random.Random(6)
     good = [(i, [rng.random() for _ in range(4)], 1) for i in range(0, 60, 10)]
     bad = [(100, None, 1), (120, [], 1), (140, [0.0] * 4, 1), (160, [1.0, None, 1.0, 1.0], 1), (180, [float("nan")] * 4, 1),
-           (200, [float("inf"), 0.0, 0.0, 0.0], 1), (220, [1.0, 2.0], 1), (None, [1.0] * 4, 1)]
+           (200, [float("inf"), 0.0, 0.0, 0.0], 1), (220, [1.0, 2.0], 1), (-20, [1.0, 2.0], 1), (None, [1.0] * 4, 1)]
     frame = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>, id int")
     got = annsearch.nearest(frame, F.col("vec_id") % 20 == 0).collect()
     assert {r.query_id for r in got} == {0, 20, 40} and len(got) == 15
