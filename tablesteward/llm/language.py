@@ -149,9 +149,9 @@ def inferred(text: bytes, model: np.ndarray) -> tuple[int, float]:
 
 
 def predicted(docs: DataFrame, names: list[str], model: np.ndarray, text_column: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` in place of the text."""
+    """``docs`` with ``lang_pred`` and ``score`` in place of the text; columns that had these names give way."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [f for f in docs.schema.fields if f.name != text_column]
+    others = [f for f in docs.schema.fields if f.name not in (text_column, "lang_pred", "score")]
     schema = T.StructType([*others, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batch) -> dict:

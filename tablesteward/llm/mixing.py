@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesteward.llm.batches import as_bytes, map_columns, table
+from tablesteward.llm.batches import as_bytes, fresh_names, map_columns, table
 from tablesteward.operators.segments import SEGMENT, ordered_segments, within_segment
 from tablesteward.session import materialize
 
@@ -183,8 +183,8 @@ def mixed(
     sources = materialize(source_targets(rows, weights, most_copies), "mixing-targets")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(F.col("wanted"))
-    buckets = 1
-    while buckets * BUCKET_ROWS < rows.count():
+    buckets, count = 1, rows.count()
+    while buckets * BUCKET_ROWS < count:
         buckets *= 2
     placed = (
         rows.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
@@ -219,24 +219,25 @@ def repeated_documents(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     Rows equal in id and text share their copies.
     """
+    own_id, key, copies, rows_of, copy = fresh_names(docs, "id", "key", "copies", "rows", "copy")
     taken = mixed(docs, id_column, text_column, **settings).groupBy("id", "text_key").agg(
-        F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows")
+        F.sum("copies").cast("int").alias(copies), F.count("*").alias(rows_of)
     )
-    taken = materialize(taken.where("__copies > 0"), "mixing-copies")
+    taken = taken.where(F.col(copies) > 0).withColumnsRenamed({"id": own_id, "text_key": key})
+    taken = materialize(taken, "mixing-copies")
     names = [F.col(f"`{name}`") for name in docs.columns]
 
     def found(rows: Column) -> DataFrame:
-        wanted = taken.where(rows).select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), "__copies")
-        of_row = F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_column) == F.col("__key"))
-        return docs.join(wanted, of_row)
+        of_row = F.col(id_column).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_column) == F.col(key))
+        return docs.join(taken.where(rows).drop(rows_of), of_row)
 
     def copied(rows: DataFrame) -> DataFrame:
-        return rows.select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+        return rows.select(*names, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
 
-    single = copied(found(F.col("__rows") == 1))
-    if taken.where("__rows > 1").isEmpty():
+    single = copied(found(F.col(rows_of) == 1))
+    if taken.where(F.col(rows_of) > 1).isEmpty():
         return single
-    return single.union(copied(found(F.col("__rows") > 1).dropDuplicates([id_column, "__key"])))
+    return single.union(copied(found(F.col(rows_of) > 1).dropDuplicates([id_column, key])))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesteward.llm.batches import map_columns, table
+from tablesteward.llm.batches import fresh_names, map_columns, table
 from tablesteward.session import materialize
 
 SHARDS = 8
@@ -157,14 +157,19 @@ def sharded(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def write_shards(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", shards: int = SHARDS) -> None:
-    """``docs`` as one folder of Parquet files per shard; files hold neighbouring slots."""
+    """``docs`` as one folder of Parquet files per shard; files hold neighbouring slots.
+
+    Columns of ``docs`` called ``shard`` or ``slot`` give way to the places.
+    """
     places = materialize(sharded(docs, id_column, text_column, shards), "shard-places")
-    spots = places.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
+    docs = docs.drop("shard", "slot")
+    id_name, hash_name = fresh_names(docs, "id", "hash")
+    spots = places.groupBy(F.col("id").alias(id_name), F.col("text_hash").alias(hash_name)).agg(
         F.min("shard").alias("shard"), F.min("slot").alias("slot")
     )
     own_hash: Column = F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
-    placed = docs.join(spots, F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (own_hash == F.col("__hash")))
-    placed.repartitionByRange("shard", "slot").drop("__id", "__hash").write.partitionBy("shard").parquet(path)
+    placed = docs.join(spots, F.col(id_column).cast("long").eqNullSafe(F.col(id_name)) & (own_hash == F.col(hash_name)))
+    placed.repartitionByRange("shard", "slot").drop(id_name, hash_name).write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesteward.llm.batches import as_bytes, map_columns, table
+from tablesteward.llm.batches import as_bytes, fresh_names, map_columns, table
 from tablesteward.llm.components import connected_components
 from tablesteward.session import materialize
 
@@ -219,9 +219,11 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "text_key", "times"))
     chosen = materialize(rows.groupBy("class").agg(first.alias("it")).select("it.id", "it.text_key", "it.times"), "simhash-kept")
 
+    own_id, key = fresh_names(docs, "id", "key")
+
     def found(times: Column) -> DataFrame:
-        kept = chosen.where(times).select(F.col("id").alias("__id"), F.col("text_key").alias("__key"))
-        same = F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_column) == F.col("__key"))
+        kept = chosen.where(times).select(F.col("id").alias(own_id), F.col("text_key").alias(key))
+        same = F.col(id_column).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_column) == F.col(key))
         return docs.join(kept, same, "left_semi")
 
     repeated = F.col("times") > 1
