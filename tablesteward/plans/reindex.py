@@ -12,6 +12,7 @@ from tablesteward.operators.cardindex import prune, pruned_count, stale_cards, u
 from tablesteward.operators.cards import collect_cards
 from tablesteward.operators.profile import SAMPLE_ROWS
 from tablesteward.session import materialize
+from tablesteward.sources.partitions import PartitionedTable
 from tablesteward.sources.snapshots import SnapshotTable
 from tablesteward.sources.tables import TableRef
 
@@ -28,7 +29,7 @@ class ReindexReport:
 def reindex(
     spark: SparkSession,
     refs: list[TableRef],
-    store: SnapshotTable,
+    store: SnapshotTable | PartitionedTable,
     embedder: Embedder,
     model: str,
     dimensions: int = DIMENSIONS,
@@ -39,7 +40,8 @@ def reindex(
 ) -> ReindexReport:
     """Bring the stored index up to date with the tables.
 
-    Only changed cards are embedded. A dry run returns the cards and writes
+    Only changed cards are embedded, and of a partitioned store only their
+    partitions are written. A dry run returns the cards and writes
     nothing; no tables means nothing to do. Pruning compares with all tables of
     this run, so it is off unless asked for.
     """
@@ -66,5 +68,9 @@ def reindex(
         removed = pruned_count(index, cards).first()[0]
         updated = prune(updated, cards)
     if written or removed or index is None:
-        store.write(updated)
+        if isinstance(store, PartitionedTable):
+            gone = index.select("doc_id").join(cards.select("doc_id"), "doc_id", "left_anti") if removed else None
+            store.change(fresh, gone)
+        else:
+            store.write(updated)
     return ReindexReport(len(refs), len(refs) - written, written, removed, cards)

@@ -18,6 +18,7 @@ from tablesteward.operators.sessions import (
     live_state,
     message_facts,
     preview_columns,
+    recent_events,
     state_changes,
 )
 from tablesteward.session import setting
@@ -73,11 +74,18 @@ class SessionStream:
     latest event of earlier batches, and events older than that go to the table
     of late events as they are. An event sent again with another time within
     the delay still replaces the one before.
+
+    With ``keep_recent`` the newest events of each session, at most that many, are
+    kept as well: each batch adds its own newest ones, snapshots cut them again.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, compact_every: int = 16, delay: str | None = None):
-        self.spark, self.folder, self.compact_every, self.delay = spark, folder.rstrip("/"), compact_every, delay
-        self.bases = {name: SnapshotTable(spark, f"{self.folder}/{name}_base") for name in ("state", "messages")}
+    def __init__(
+        self, spark: SparkSession, folder: str, compact_every: int = 16, delay: str | None = None, keep_recent: int | None = None
+    ):
+        self.spark, self.folder, self.compact_every = spark, folder.rstrip("/"), compact_every
+        self.delay, self.keep_recent = delay, keep_recent
+        names = ("state", "messages", "recent") if keep_recent else ("state", "messages")
+        self.bases = {name: SnapshotTable(spark, f"{self.folder}/{name}_base") for name in names}
 
     def start(
         self,
@@ -147,7 +155,9 @@ class SessionStream:
             "state": latest_by_key(state_changes(events)),
             "messages": fold_messages(message_facts(events), F.lit(1)),
         }
-        everything = {"state": self.latest_state, "messages": self.messages}
+        everything = {"state": self.latest_state, "messages": self.messages, "recent": self.recent}
+        if self.keep_recent:
+            folds["recent"] = recent_events(events.select(*EVENT_COLUMNS), self.keep_recent).drop("back")
 
         def keep(name: str) -> None:
             folds[name].write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
@@ -251,6 +261,13 @@ class SessionStream:
         facts = self._parts("messages", MESSAGE_SCHEMA)
         return fold_messages(facts, F.col("message_count"))
 
+    def recent(self, limit: int | None = None) -> DataFrame:
+        """The newest events of each session, at most ``limit`` (default: all that are kept)."""
+        if not self.keep_recent:
+            raise ValueError("the stream keeps no recent events")
+        most = min(limit or self.keep_recent, self.keep_recent)
+        return recent_events(self._parts("recent", EVENT_SCHEMA), most).drop("back")
+
     def previews(self) -> DataFrame:
         return preview_columns(self.messages())
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablesteward.operators import cardindex, cards, profile
 from tablesteward.session import materialize, scratch_path
 from tablesteward.sources.footers import FooterStore, column_bytes, footer_inventory, table_rows
+from tablesteward.sources.partitions import PartitionedTable
 from tablesteward.sources.snapshots import SnapshotTable
 from tablesteward.sources.tables import TableRef, data_files, partition_summaries
 from tablesteward.workload import inputs
@@ -35,6 +36,16 @@ def footer_sizes(spark, sf_dir):
     )
 
 
+def index_change(spark, sf_dir):
+    """The older index kept in partitions, brought up to date with the live cards in one change."""
+    live, older = inputs.index_inputs(spark, sf_dir)
+    kept = PartitionedTable(spark, scratch_path(spark, "partitioned-index"), ["doc_id"])
+    kept.write(older)
+    gone = kept.read().select("doc_id").join(live.select("doc_id"), "doc_id", "left_anti")
+    kept.change(cardindex.stale_cards(live, kept.read(), MODEL, WIDTH), gone)
+    return kept.read()
+
+
 def footer_refresh(spark, sf_dir):
     """Events kept as a file per type; the inventory at first, unchanged, and after one type is written anew."""
     path = scratch_path(spark, "events-by-type")
@@ -126,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         catalog_tables, column_logical_bytes, sample_cells, format_cell, distinctive_values, schema_cards, embed_text,
-        content_hash, index_diff, index_upsert, index_prune, footer_refresh,
+        content_hash, index_diff, index_upsert, index_prune, index_change, footer_refresh,
     )
 } | {"footer_inventory": footer_sizes, "partition_summary": partitioned_events}
 
@@ -268,6 +279,7 @@ ORACLE = {
         for n, fields in FIELDS.items()
         for i, (c, k) in enumerate(fields, start=1)
     ),
+    "index_change": f"WITH {INDEX_SQL} SELECT doc_id, content_hash, embedding_model, embedding_dimensions FROM cards",
     "footer_refresh": """WITH t AS (SELECT CAST(count(DISTINCT event_type) AS INTEGER) AS n, count(*) AS num_rows,
   count(*) FILTER (event_type <> 'click' OR value > 100) AS later_rows FROM events)
 SELECT 0 AS step, n AS files_read, 0 AS files_kept, 0 AS files_dropped, num_rows FROM t

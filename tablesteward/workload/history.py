@@ -107,6 +107,15 @@ def stream_state(spark, sf_dir):
     return stream.state()
 
 
+def stream_recent(spark, sf_dir):
+    """The three newest events of each session, kept by the stream."""
+    source = scratch_path(spark, "event-files")
+    inputs.restated_events(spark, sf_dir).repartition(4, "event_id", "arrival").write.parquet(source)
+    stream = SessionStream(spark, scratch_path(spark, "session-stream"), compact_every=2, keep_recent=3)
+    stream.run(source, files_per_batch=1, state_partitions=spark.sparkContext.defaultParallelism)
+    return stream.recent().select(*SESSION, "event_id", "ts", "arrival")
+
+
 # How far back the bounded stream looks.
 DELAY = "10 days"
 
@@ -191,7 +200,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_log, session_create, session_state, state_keys, recent_events, events_since, session_list, session_preview,
-        session_purge, stream_sessions, stream_state, stream_bounded, truncate_marked, content_summary, kv_render, trace_rollup,
+        session_purge, stream_sessions, stream_state, stream_recent, stream_bounded, truncate_marked, content_summary, kv_render, trace_rollup,
         call_gap_audit, paced_release, state_at_event, events_after_error,
     )
 }
@@ -256,6 +265,8 @@ all_changes AS (SELECT * FROM changes UNION ALL
     "stream_state": f"WITH {SESSION_EVENTS_SQL}, {_CHANGES}, all_changes AS (SELECT * FROM changes), {_STATE}".replace(
         "{'key': 'last_error', 'value': mark}", "{'key': 'last_error', 'value': 'again ' || mark}"
     ),
+    "stream_recent": f"""WITH {SESSION_EVENTS_SQL}, {_RESENT} SELECT * FROM (SELECT app_name, user_id, session_id, event_id, ts, arrival
+  FROM stored QUALIFY row_number() OVER (PARTITION BY app_name, user_id, session_id ORDER BY ts DESC, event_id DESC) <= 3)""",
     "stream_bounded": f"""WITH {SESSION_EVENTS_SQL}, stored AS (SELECT * FROM session_events WHERE NOT partial),
 border AS (SELECT max(ts) - INTERVAL {DELAY} AS reached FROM stored WHERE author = 'user')
 SELECT app_name, user_id, session_id, event_id, author <> 'user' AND ts < reached AS late FROM stored, border""",

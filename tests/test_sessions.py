@@ -157,7 +157,7 @@ def test_changed_copies_replace(spark, history, tmp_path):
     later = [[*r[:4], r[4], 1 + i % 2, *r[6:9], ["changed", r[3]], {"k0": f"new {r[3]}"}] for i, r in enumerate(rows[::5])]
     order = rows + later + rows[::7]
     random.Random(9).shuffle(order)
-    source, stream = str(tmp_path / "in"), SessionStream(spark, str(tmp_path / "out"), compact_every=3)
+    source, stream = str(tmp_path / "in"), SessionStream(spark, str(tmp_path / "out"), compact_every=3, keep_recent=7)
     write_files(spark, order[:500], source, 3)
     stream.run(source, files_per_batch=1)
     write_files(spark, order[500:], source, 3)
@@ -166,6 +166,9 @@ def test_changed_copies_replace(spark, history, tmp_path):
     assert as_state(stream.state()) == as_state(sessions.session_state(df))
     assert as_set(stream.previews()) == as_set(sessions.session_preview(df))
     names = ["session_id", "event_id", "arrival"]
+    newest = sessions.recent_events(sessions.event_log(df), 7)  # the hot session has a third of all events
+    assert as_set(stream.recent().select(*names)) == as_set(newest.select(*names))
+    assert as_set(stream.recent(2).select(*names)) == as_set(newest.where("back <= 2").select(*names))
     assert as_set(stream.log().select(*names)) == as_set(sessions.event_log(df).select(*names))
     assert stream._read("restated", "app_name string, user_id string, session_id string").count() > 0
 
