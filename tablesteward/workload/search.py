@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesteward.functions import text, vectors
-from tablesteward.operators import hyperplanes, retrieval
+from tablesteward.operators import embedding, hyperplanes, retrieval
 from tablesteward.operators.cards import collect_cards
 from tablesteward.session import materialize, scratch_path, spread
 from tablesteward.workload.catalog import CARD_TEXTS
@@ -37,6 +37,27 @@ def embed_hash_tf(spark, sf_dir):
     return weights.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
+def unsteady_embedder(dimensions):
+    """The hashed-term embedder as a service that refuses every request with a text of some lengths in it."""
+    steady = vectors.hashed_term_embedder(dimensions)
+
+    def embed(texts):
+        if any(len(text) % 10 == 3 for text in texts):
+            raise ConnectionError("refused")
+        return steady(texts)
+
+    embed.input_chars = None
+    return embed
+
+
+def embed_requests(spark, sf_dir):
+    """Documents embedded by requests: which failed, and how many weights the others have."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = embedding.embed_with_requests(docs, "text", "vector", unsteady_embedder(256), vectors.DOCUMENT_INSTRUCTION, 256, tries=1)
+    weights = F.size(F.filter("vector", lambda x: x != 0)).cast("bigint")
+    return made.select("doc_id", F.col("embed_error").alias("error"), F.coalesce(F.when(F.col("vector").isNotNull(), weights), F.lit(0)).alias("weights"))
+
+
 def vector_dim_check(spark, sf_dir):
     """Vectors cut or emptied by their label, checked for 64 values."""
     cut = F.when(F.col("label") == 9, F.lit(None)).otherwise(F.slice("embedding", F.lit(1), F.lit(60) + F.col("label")))
@@ -128,7 +149,7 @@ def retrieve_distinct(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        embed_input, embed_hash_tf, vector_dim_check, l2_normalize, knn_cosine, knn_cosine_threshold, knn_approximate, knn_recall,
+        embed_input, embed_hash_tf, embed_requests, vector_dim_check, l2_normalize, knn_cosine, knn_cosine_threshold, knn_approximate, knn_recall,
         context_block, question_text, retrieve_distinct,
     )
 }
@@ -166,6 +187,12 @@ ORACLE = {
 FROM (SELECT doc_id, {_DOCUMENT} || text AS full_text, substr({_DOCUMENT} || text, 1, 30768) AS input FROM documents)""",
     "embed_hash_tf": f"""SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, round(weight, 6) AS weight
 FROM {_weights_sql("documents", "doc_id", "text", _DOCUMENT)}""",
+    "embed_requests": f"""WITH asked AS (SELECT doc_id, {_DOCUMENT} || text AS input FROM documents),
+buckets AS (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(lower(word)), 1, 8) AS BIGINT) % 256 AS bucket
+  FROM (SELECT doc_id, unnest(regexp_extract_all(input, '[A-Za-z0-9]+')) AS word FROM asked))
+SELECT doc_id, CASE WHEN length(input) % 10 = 3 THEN 'ConnectionError: refused' END AS error,
+  CASE WHEN length(input) % 10 = 3 THEN 0 ELSE coalesce(n, 0) END AS weights
+FROM asked LEFT JOIN (SELECT doc_id, count(*) AS n FROM buckets GROUP BY 1) USING (doc_id)""",
     "vector_dim_check": """SELECT vec_id, CASE WHEN label = 9 THEN 'missing' WHEN label >= 4 THEN 'ok' ELSE 'wrong_size' END AS status
 FROM embeddings""",
     "l2_normalize": """WITH s AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * label) AS v FROM embeddings),
