@@ -170,7 +170,8 @@ def content_summary(parts: Column, limit: int = CONTENT_CHARS) -> Column:
 def kv_render(entries: Column, limit: int = ARGUMENT_CHARS) -> Column:
     """``key: value`` lines of a ``map<string,string>``, long text as a block.
 
-    Values that are not text are given as one-line JSON by the caller.
+    Values that are not text are given as JSON by the caller, laid out by
+    ``jsontext.json_value_text``.
     """
 
     def line(entry: Column) -> Column:

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tablesteward.functions import statekeys, text
+from tablesteward.functions import jsontext, statekeys, text
 from tablesteward.operators import sessions, timejoins, trace
 from tablesteward.session import materialize, scratch_path
 from tablesteward.streaming.sessions import SessionStream
@@ -159,6 +159,19 @@ def kv_render(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.kv_render(entries).alias("rendered"))
 
 
+def kv_json(spark, sf_dir):
+    """Customers as call arguments: a long value over many lines, short ones on one, an empty list among them."""
+    place = F.struct(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.array().cast("array<int>").alias("none"))
+    marks = F.array(F.col("c_custkey") % 7, F.col("c_nationkey").cast("bigint"))
+    detail = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), place.alias("place"), marks.alias("marks"))
+    entries = F.create_map(
+        F.lit("detail"), jsontext.json_value_text(F.to_json(detail)),
+        F.lit("marks"), jsontext.json_value_text(F.to_json(marks)),
+        F.lit("name"), F.col("c_name"),
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", text.kv_render(entries).alias("rendered"))
+
+
 def trace_rollup(spark, sf_dir):
     return trace.trace_rollup(trace.trace_rows(inputs.trace_records(spark, sf_dir)))
 
@@ -200,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_log, session_create, session_state, state_keys, recent_events, events_since, session_list, session_preview,
-        session_purge, stream_sessions, stream_state, stream_recent, stream_bounded, truncate_marked, content_summary, kv_render, trace_rollup,
+        session_purge, stream_sessions, stream_state, stream_recent, stream_bounded, truncate_marked, content_summary, kv_render, kv_json, trace_rollup,
         call_gap_audit, paced_release, state_at_event, events_after_error,
     )
 }
@@ -311,6 +324,9 @@ FROM shown GROUP BY 1, 2""",
 SELECT page_id, 'url: ' || url || chr(10) || CASE WHEN contains(html, chr(10))
   THEN 'html:' || chr(10) || '  ' || replace(html, chr(10), chr(10) || '  ') ELSE 'html: ' || html END || chr(10) || 'id: ' || page_id AS rendered
 FROM t""",
+    "kv_json": r"""SELECT c_custkey, replace('detail:|  {|    "id": ' || c_custkey || ',|    "name": "' || c_name || '",|    "place": {|      "nation": '
+  || c_nationkey || ',|      "segment": "' || c_mktsegment || '",|      "none": []|    },|    "marks": [|      ' || c_custkey % 7 || ',|      '
+  || c_nationkey || '|    ]|  }|marks: [' || c_custkey % 7 || ', ' || c_nationkey || ']|name: ' || c_name, '|', chr(10)) AS rendered FROM customer""",
     "trace_rollup": f"""WITH t AS (SELECT *, {_K} AS k, 'agent_' || (user_id % 7) AS agent, {_KIND} AS kind FROM events)
 SELECT agent, kind, count(*) AS blocks, count(*) FILTER (event_type = 'error') AS errors,
   CAST(coalesce(sum(k) FILTER (event_type = 'view'), 0) AS BIGINT) AS tokens_in,
