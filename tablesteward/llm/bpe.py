@@ -57,10 +57,14 @@ APOSTROPHE_CHARS = 3
 NEVER = 1 << 30
 
 # Units and words of a generation whose encodings a worker remembers, and the longest of them.
-REMEMBERED_UNITS = 1 << 17
-REMEMBERED_WORDS = 1 << 18
+REMEMBERED_UNITS = 1 << 16
+REMEMBERED_WORDS = 1 << 17
 REMEMBERED_CHARS = 48
 
+# Bytes of texts whose new units are merged together; a worker's memory is a small
+# multiple of this and of the tables above.
+LEARN_BYTES = 3 << 20
+
 # Units up to this many bytes are merged many at a time.
 SHORT_BYTES = 40
 
@@ -283,6 +287,7 @@ class Transducer:
         for text in texts:
             words.update(text.split(" "))
         fresh = self.known_words.missing(" " + w for w in words if 0 < len(w) < REMEMBERED_CHARS and not w[0].isspace())
+        del words
         split = self.units.findall
         units_of = [split(word) for word in fresh]
         units = self.known_units.missing({unit for units in units_of for unit in units})
@@ -446,13 +451,13 @@ class TextMachine:
 
 
 def added_column(df: DataFrame, name: str, kind: T.DataType, start, make) -> DataFrame:
-    """``df`` with a column made of another by a machine that each task starts once."""
+    """``df`` with a column made of another by a machine that each task starts once, a few megabytes at a time."""
     schema = T.StructType([f for f in df.schema.fields if f.name != name]).add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = start()
         for batch in batches:
-            for part in byte_slices(batch):
+            for part in byte_slices(batch, LEARN_BYTES):
                 columns = [part[f.name] for f in schema.fields[:-1]]
                 yield pa.RecordBatch.from_arrays([*columns, make(machine, part)], names=schema.names)
 
