@@ -1,6 +1,7 @@
 """Tables and columns that SQL texts name, found for a whole log in one pass.
 
-Each distinct text is cut into tokens, and windows over their positions say which
+Texts are cut into tokens and told apart by these with all literals alike, so a log
+of a few statements with many values has few distinct texts. Windows over their positions say which
 query block a token belongs to, in which of its clauses it stands, and how far
 the block's scope reaches. A name after FROM or JOIN is a table unless a WITH name
 that ends before it says otherwise; every other name is looked up among the
@@ -30,7 +31,7 @@ STRING = (
 )
 NAME = r"(?:`[^`]*+`|[A-Za-z_][A-Za-z0-9_$]*+)"
 TOKEN = f"(?s){COMMENT}|{STRING}|{NAME}(?:\\s*+\\.\\s*+{NAME})*+(?:\\s*+\\.\\s*+\\*)?|[0-9][A-Za-z0-9_.]*+|\\S"
-LITERAL = "''"
+LITERAL, NUMBER = "''", "0"
 
 CLAUSES = (
     "with", "select", "from", "join", "on", "using", "where", "group", "having", "qualify", "window", "order", "limit",
@@ -48,7 +49,16 @@ LEAVING_CALLS = ("reflect", "java_method", "try_reflect")
 def tokens(text: Column) -> Column:
     """The tokens of a text in order; comments are left out, literals are all alike."""
     found = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^(?:--|#|/\*)"))
-    return F.transform(found, lambda t: F.when(t.rlike(r"^[rR]?['\"]"), F.lit(LITERAL)).otherwise(F.lower(t)))
+    return F.transform(
+        found, lambda t: F.when(t.rlike(r"^[rR]?['\"]"), F.lit(LITERAL)).when(t.rlike("^[0-9]"), F.lit(NUMBER)).otherwise(F.lower(t))
+    )
+
+
+def accepted(log: DataFrame, text: str, *names: str) -> DataFrame:
+    """``names, words, text_key`` of the accepted texts of a log, as they would be run."""
+    told = with_verdict(log.select(*names, text), text).where("verdict = 'ok'")
+    worded = told.select(*names, tokens(F.col("cleaned")).alias("words"))
+    return worded.withColumn("text_key", F.sha2(F.array_join("words", "\x00"), 256))
 
 
 def path_of(word: Column) -> Column:
@@ -61,12 +71,12 @@ def is_name(word: Column) -> Column:
 
 
 def marked_tokens(texts: DataFrame) -> DataFrame:
-    """The names and stars of ``texts(text_key, text)`` with where they stand.
+    """The names and stars of ``texts(text_key, words)`` with where they stand.
 
     All windows are within one text, so they share the partitioning of the
     distinct texts and shuffle nothing.
     """
-    rows = texts.select("text_key", F.posexplode(tokens(F.col("text"))).alias("pos", "word"))
+    rows = texts.select("text_key", F.posexplode("words").alias("pos", "word"))
     order = W.partitionBy("text_key").orderBy("pos")
     word = F.col("word")
     opens, closes = word == "(", word == ")"
@@ -138,9 +148,8 @@ def table_names(columns: DataFrame) -> DataFrame:
 
 
 def distinct_texts(log: DataFrame, text: str) -> DataFrame:
-    """``text_key, text`` of every accepted text once, as it would be run."""
-    told = with_verdict(log.select(text), text).where("verdict = 'ok'")
-    return told.groupBy(F.sha2("cleaned", 256).alias("text_key")).agg(F.first("cleaned").alias("text"))
+    """``text_key, words`` of every accepted text once."""
+    return accepted(log, text).groupBy("text_key").agg(F.first("words").alias("words"))
 
 
 def text_references(texts: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -195,9 +204,9 @@ def text_references(texts: DataFrame, columns: DataFrame) -> tuple[DataFrame, Da
 
 def log_columns(log: DataFrame, key: str, text: str, columns: DataFrame) -> DataFrame:
     """``<key>, table_id, column`` for the accepted texts of a log."""
-    told = with_verdict(log.select(key, text), text).where("verdict = 'ok'")
     read, _ = text_references(distinct_texts(log, text), columns)
-    return told.select(key, F.sha2("cleaned", 256).alias("text_key")).join(read, "text_key").drop("text_key")
+    read = materialize(read, "text-columns")
+    return accepted(log, text, key).drop("words").join(read, "text_key").drop("text_key")
 
 
 def log_costs(log: DataFrame, key: str, text: str, column_bytes: DataFrame, size: str = "logical_bytes") -> DataFrame:
@@ -208,8 +217,7 @@ def log_costs(log: DataFrame, key: str, text: str, column_bytes: DataFrame, size
     read, _ = text_references(distinct_texts(log, text), column_bytes)
     priced = query_costs(read.withColumnRenamed("text_key", "query_id"), column_bytes, size).withColumnRenamed("query_id", "text_key")
     priced = materialize(priced, "text-prices")
-    told = with_verdict(log.select(key, text), text).where("verdict = 'ok'")
-    return told.select(key, F.sha2("cleaned", 256).alias("text_key")).join(priced, "text_key").drop("text_key")
+    return accepted(log, text, key).drop("words").join(priced, "text_key").drop("text_key")
 
 
 def log_refusals(log: DataFrame, key: str, text: str, columns: DataFrame, escape: str) -> DataFrame:
@@ -220,7 +228,9 @@ def log_refusals(log: DataFrame, key: str, text: str, columns: DataFrame, escape
     """
     checked = with_verdict(log.select(key, text), text)
     by_words = F.when(F.col("verdict") != "ok", F.col("verdict")).when(F.col("masked").rlike(escape), F.lit("escape_hatch"))
-    checked = checked.select(key, by_words.alias("by_words"), F.sha2("cleaned", 256).alias("text_key"))
+    words = F.when(F.col("verdict") == "ok", tokens(F.col("cleaned")))
+    checked = checked.select(key, by_words.alias("by_words"), words.alias("words"))
+    checked = checked.select(key, "by_words", F.sha2(F.array_join("words", "\x00"), 256).alias("text_key"))
     _, codes = text_references(distinct_texts(log, text), columns)
     codes = materialize(codes, "text-codes")
     return checked.join(codes, "text_key", "left").select(key, F.coalesce("by_words", "code").alias("code"))
