@@ -15,9 +15,11 @@ Thresholds are calibrated per kind: the lowest score at which held-back corpus
 rows and taught rows reach the wanted precision, or that of all kinds together
 where a kind alone reaches it nowhere.
 
-The trees are fitted on at most about ``SAMPLE`` labelled candidates of the corpus,
-picked by hash; everything else covers all texts. Fitted trees become nested conditions, so
-scoring runs where the candidates are, without a join or a shuffle of texts.
+All labelled candidates of the corpus count: three quarters, told apart by hash, fit the
+trees, the others the thresholds. Equal ones are one row with their number as its weight,
+so what is fitted grows with the forms that occur, not with the texts. Fitted trees become
+nested conditions, so scoring runs where the candidates are, without a join or a shuffle of
+texts.
 
 Defined results: a null text is an empty one (no spans); base spans stay and
 added ones never overlap them; repeated rows are judged alike; an empty table
@@ -26,6 +28,7 @@ gives no rows; other columns are left alone.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -109,8 +112,10 @@ TAUGHT = (
 )
 
 # Production settings.
-SAMPLE = 20_000
 ROUNDS, DEPTH = 12, 4
+HELD_BACK = 0.25
+# Spark looks for splits in all rows up to the larger of these and the square of the bins.
+BINS_OF_FEATURE, SPLIT_ROWS = 32, 10_000
 PRECISION = 0.98
 BINS = 50
 SEED = 5
@@ -268,28 +273,34 @@ def taught_rows(spark) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join(_taught_values)} AS taught(kind, features, label)")
 
 
-def fitted(found: DataFrame, key: str, candidates_column: str) -> Scorer:
-    """Trees and thresholds out of the labelled candidates of a frame, and the taught ones."""
-    spark = found.sparkSession
+def examples(found: DataFrame, key: str, candidates_column: str) -> DataFrame:
+    """``kind, features, label, held_back, taught, n``: every labelled candidate of a frame, equal ones counted, and the taught rows."""
     every = found.select(F.col(key).alias("key"), F.inline(candidates_column))
     labelled = every.where(F.col("label").isNotNull()).select("key", "kind", "start", "end", "features", "label")
-    share = min(1.0, SAMPLE / max(1, labelled.count()))
     draw = F.pmod(F.xxhash64("key", "kind", "start", "end", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.withColumn("draw", draw).where(F.col("draw") < share)
-    corpus = drawn.select("kind", "features", "label", (F.col("draw") >= 0.75 * share).alias("held_back"), F.lit(False).alias("taught"))
-    taught = taught_rows(spark).select("kind", "features", "label", F.lit(False).alias("held_back"), F.lit(True).alias("taught"))
-    sample = materialize(corpus.unionByName(taught), "pii-sample")
-    counts = sample.agg(F.count_if("taught").alias("taught"), F.count_if(~F.col("taught")).alias("corpus")).first()
-    weight = F.when(F.col("taught"), F.lit(max(1.0, counts["corpus"] / counts["taught"]))).otherwise(F.lit(1.0))
-    sample = sample.withColumn("weight", weight)
-    learned = sample.where(~F.col("held_back")).select(
+    told = labelled.select("kind", "features", "label", (draw >= 1 - HELD_BACK).alias("held_back"))
+    corpus = told.groupBy("kind", "features", "label", "held_back").agg(F.count(F.lit(1)).alias("n"))
+    taught = taught_rows(found.sparkSession).select("kind", "features", "label", F.lit(False).alias("held_back"))
+    return corpus.withColumn("taught", F.lit(False)).unionByName(taught.withColumns({"taught": F.lit(True), "n": F.lit(1).cast("long")}))
+
+
+def fitted(found: DataFrame, key: str, candidates_column: str) -> Scorer:
+    """Trees and thresholds out of all labelled candidates of a frame, and the taught ones."""
+    known = materialize(examples(found, key, candidates_column), "pii-examples")
+    sums = known.agg(
+        F.count("*").alias("rows"), F.count_if("taught").alias("taught"), F.sum(F.when(~F.col("taught"), F.col("n"))).alias("corpus")
+    ).first()
+    weight = F.when(F.col("taught"), F.lit(max(1.0, (sums["corpus"] or 0) / sums["taught"]))).otherwise(F.col("n").cast("double"))
+    known = known.withColumn("weight", weight)
+    learned = known.where(~F.col("held_back")).select(
         array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), "weight"
     )
-    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=SEED, weightCol="weight").fit(learned)
+    bins = BINS_OF_FEATURE if sums["rows"] <= SPLIT_ROWS else max(BINS_OF_FEATURE, math.isqrt(sums["rows"]) + 1)
+    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=SEED, weightCol="weight", maxBins=bins).fit(learned)
     trees = [tree_of(tree._call_java("rootNode")) for tree in model.trees]
     scorer = Scorer(trees, list(model.treeWeights), {})
-    bins = (
-        sample.where(F.col("held_back") | F.col("taught"))
+    binned = (
+        known.where(F.col("held_back") | F.col("taught"))
         .select("kind", "label", "weight", F.least(F.floor(scorer.score(F.col("features")) * BINS), F.lit(BINS - 1)).alias("bin"))
         .groupBy("kind", "bin")
         .agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("all"))
@@ -305,9 +316,9 @@ def fitted(found: DataFrame, key: str, candidates_column: str) -> Scorer:
                 limit = at / BINS
         return limit
 
-    pooled = lowest(bins)
+    pooled = lowest(binned)
     for kind in KINDS:
-        limit = lowest([r for r in bins if r["kind"] == kind])
+        limit = lowest([r for r in binned if r["kind"] == kind])
         limit = pooled if limit is None else limit
         if limit is not None:
             scorer.thresholds[kind] = limit

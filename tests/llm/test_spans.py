@@ -176,3 +176,21 @@ def test_credential_in_many_documents_of_its_owner(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert pii.personal_data(docs).count() == pii.redact_documents(docs).count() == secretscan.secrets(docs).count() == 0
+
+
+def test_all_labelled_candidates_are_learnt(spark, monkeypatch):
+    """Three quarters fit the trees, and the taught rows weigh as much as all candidates of the corpus."""
+    weights = []
+
+    class Told(pii.GBTClassifier):
+        def fit(self, rows):
+            weights.append(rows.agg({"weight": "sum"}).first()[0])
+            return super().fit(rows)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Told)
+    docs = spark.range(24_000).selectExpr("concat('mail a', id, '@b', id % 7, '.com now') AS text")
+    found = pii.with_candidates(docs, "text", ["key", "base", "found"]).drop("text").localCheckpoint()
+    labelled = found.selectExpr("inline(found)").where("label IS NOT NULL").count()
+    scorer = pii.fitted(found, "key", "found")
+    assert labelled >= 24_000 and 1.7 * labelled < weights[0] < 1.8 * labelled
+    assert set(scorer.thresholds) == set(pii.KINDS)
