@@ -177,7 +177,7 @@ def nearest_approximate(
     short = materialize(questions.join(full, "q_id", "left_anti"), "short-questions")
     if short.isEmpty():
         return met
-    exact = nearest(short, index, k, None, block_rows, exclude_self)
+    exact = nearest(short, index, k, exclude_self=exclude_self)
     return met.join(full, "q_id", "left_semi").unionByName(exact)
 
 

@@ -18,16 +18,27 @@ CONTEXT_HEADER = (
     "# TABLES FOR THIS QUESTION\n\n"
     "The tables below are the closest to the question. Use only these, by their full names.\n\n"
 )
-# Vectors per block: two blocks of 1,536 doubles are 100 MB, a fair task.
-BLOCK_ROWS = 4096
+# Numbers per block: two blocks of doubles are 100 MB, a fair task. Small tables are cut
+# into as many blocks as keep a cluster busy, none of fewer rows than the least.
+BLOCK_NUMBERS = 4096 * 1536
+BLOCK_ROWS, SIDE_BLOCKS = 4096, 8
+# Rows of a matrix product.
+QUESTION_ROWS, INDEX_ROWS = 512, 4096
 DISTANCE_DIGITS = 6
 
 PAIR_SCHEMA = "q_id {q}, doc_id {d}, distance double"
 
 
-def block_count(df: DataFrame, rows_per_block: int) -> int:
-    """How many blocks hold ``df``; only its ids are counted."""
-    return max(1, -(-df.count() // rows_per_block))
+def block_count(rows: int, wanted: int, dimensions: int, rows_per_block: int | None = None) -> int:
+    """How many blocks hold so many rows: ``wanted`` if they are neither too small nor too large then.
+
+    Every block meets all blocks of the other side, so each further one sends
+    that side once more.
+    """
+    if rows_per_block is None:
+        most = max(1, BLOCK_NUMBERS // max(1, dimensions))
+        rows_per_block = min(most, max(BLOCK_ROWS, -(-rows // wanted)))
+    return max(1, -(-rows // rows_per_block))
 
 
 def usual_width(index: DataFrame) -> int:
@@ -43,9 +54,14 @@ def unusable_vectors(df: DataFrame, key: str, dimensions: int) -> DataFrame:
 
 
 def best_pairs(k: int, max_distance: float | None, exclude_self: bool) -> Callable:
-    """A cogroup function: the best ``k`` pairs of each question of a block with the rows of a block."""
+    """A cogroup function: the best ``k`` pairs of each question of a block with the rows of a block.
+
+    The index block is read some rows at a time; a question takes from the later
+    ones only what is nearer than the ``k`` it holds.
+    """
     ceiling = float("inf") if max_distance is None else float(max_distance)
-    digits = DISTANCE_DIGITS
+    digits, question_rows, index_rows = DISTANCE_DIGITS, QUESTION_ROWS, INDEX_ROWS
+    step = 10.0**-digits
 
     def best(question_block, index_block):
         import numpy as np
@@ -53,7 +69,7 @@ def best_pairs(k: int, max_distance: float | None, exclude_self: bool) -> Callab
 
         def matrix(table):
             vectors = table.column("vector").combine_chunks()
-            return vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(vectors), -1)
+            return vectors.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False).reshape(len(vectors), -1)
 
         empty = pa.table(
             {
@@ -66,28 +82,44 @@ def best_pairs(k: int, max_distance: float | None, exclude_self: bool) -> Callab
             return empty
         # Ascending ids make a stable sort break ties the right way.
         index_block = index_block.sort_by("doc_id")
-        candidates = matrix(index_block).T
-        take = min(k, index_block.num_rows)
+        asked, candidates = matrix(question_block), matrix(index_block)
         q_ids, d_ids = question_block.column("q_id"), index_block.column("doc_id")
         d_values = d_ids.to_numpy() if exclude_self else None
         q_values = q_ids.to_numpy() if exclude_self else None
-        parts = []
-        for start in range(0, question_block.num_rows, 512):
-            stop = min(start + 512, question_block.num_rows)
-            distance = np.round(1.0 - matrix(question_block.slice(start, stop - start)) @ candidates, digits) + 0.0
-            if exclude_self:
-                distance[q_values[start:stop, None] == d_values[None, :]] = np.inf
-            if take < distance.shape[1]:
-                limit = np.partition(distance, take - 1, axis=1)[:, take - 1 : take]
-            else:
-                limit = np.full((stop - start, 1), np.inf)
-            row, col = np.nonzero((distance <= limit) & (distance <= ceiling) & np.isfinite(distance))
-            order = np.lexsort((col, distance[row, col], row))
-            row, col = row[order], col[order]
-            rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-            row, col = row[rank < k], col[rank < k]
-            parts.append((row + start, col, distance[row, col]))
-        rows, cols, distances = (np.concatenate(column) for column in zip(*parts))
+
+        def nearest_of(start, stop):
+            """Row, index row and distance of the best pairs of some questions, nearest first."""
+            held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            # The least product that may still be one of the best, before rounding.
+            least = np.full(stop - start, 1.0 - ceiling - 0.6 * step)
+            for first in range(0, len(candidates), index_rows):
+                products = asked[start:stop] @ candidates[first : first + index_rows].T
+                bound = least[:, None]
+                if first == 0 and k < products.shape[1]:
+                    if exclude_self:
+                        products[q_values[start:stop, None] == d_values[None, :index_rows]] = -np.inf
+                    bound = np.maximum(bound, np.partition(products, -k, axis=1)[:, -k, None] - step)
+                picked = np.flatnonzero(products >= bound)
+                row, col = np.divmod(picked, products.shape[1])
+                found = np.round(1.0 - products.ravel()[picked], digits) + 0.0
+                col += first
+                kept = np.isfinite(found) & (found <= ceiling)
+                if exclude_self:
+                    kept &= q_values[start + row] != d_values[col]
+                if not kept.any():
+                    continue
+                row, col, found = (np.concatenate((old, new[kept])) for old, new in zip(held, (row, col, found), strict=True))
+                order = np.lexsort((col, found, row))
+                row, col, found = row[order], col[order], found[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+                held = row[rank < k], col[rank < k], found[rank < k]
+                last = rank == k - 1
+                # Later rows have larger ids, so a question that holds k takes no equal distance.
+                least[row[last]] = 1.0 - found[last] + 0.4 * step
+            return held[0] + start, held[1], held[2]
+
+        parts = [nearest_of(start, min(start + question_rows, len(asked))) for start in range(0, len(asked), question_rows)]
+        rows, cols, distances = (np.concatenate(column) for column in zip(*parts, strict=True))
         return pa.table(
             {"q_id": q_ids.take(pa.array(rows)), "doc_id": d_ids.take(pa.array(cols)), "distance": pa.array(distances)}
         )
@@ -100,15 +132,15 @@ def nearest(
     index: DataFrame,
     k: int = TOP_K,
     max_distance: float | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     exclude_self: bool = False,
     dimensions: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest index vectors of each question, nearest first.
 
     ``questions(q_id, vector)`` and ``index(doc_id, vector)`` hold unit vectors
-    and unique ids. Both are cut into hashed blocks of bounded size; each pair
-    of blocks is one matrix product in one task, which passes on only its best
+    and unique ids. Both are cut into hashed blocks of bounded size (default: by
+    the width of the vectors); each pair of blocks is one matrix product in one task, which passes on only its best
     ``k`` per question. No row pair is ever emitted beyond that and nothing goes
     through the driver. Equal distances (to six digits) go to the smaller id.
     Vectors that are missing, of another size than ``dimensions`` (default: the
@@ -117,8 +149,8 @@ def nearest(
     """
     dimensions = usual_width(index) if dimensions is None else dimensions
     questions, index = (df.where(vector_status(F.col("vector"), dimensions) == "ok") for df in (questions, index))
-    q_blocks = block_count(questions.select("q_id"), block_rows)
-    d_blocks = block_count(index.select("doc_id"), block_rows)
+    q_blocks = block_count(questions.select("q_id").count(), SIDE_BLOCKS, dimensions, block_rows)
+    d_blocks = block_count(index.select("doc_id").count(), max(SIDE_BLOCKS, SIDE_BLOCKS**2 // q_blocks), dimensions, block_rows)
     q_type, d_type = (f.schema[c].dataType.simpleString() for f, c in ((questions, "q_id"), (index, "doc_id")))
 
     def blocked(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:

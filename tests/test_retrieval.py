@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablesteward.functions.vectors import hashed_term_embedder
+from tablesteward.operators import retrieval
 from tablesteward.operators.retrieval import CARD_RULE, CONTEXT_HEADER, nearest, retrieve_contexts
 
 
@@ -42,6 +43,32 @@ def test_nearest_equals_brute_force(spark, vectors, block_rows, ceiling):
     assert got == brute(questions, index, 5, np.inf if ceiling is None else ceiling)
 
 
+def test_blocks_are_sized_by_their_bytes():
+    """Vectors are sent to a number of blocks that stays the same while blocks of that many fit a task."""
+    counts = [retrieval.block_count(rows, retrieval.SIDE_BLOCKS, 64) for rows in (1, 4096, 100_000, 700_000)]
+    assert counts == [1, 1, 8, 8]
+    assert retrieval.block_count(700_000, retrieval.SIDE_BLOCKS, 1536) == -(-700_000 // 4096)
+    assert retrieval.block_count(100, 8, 64, rows_per_block=37) == 3
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_index_blocks_are_read_in_parts(spark, vectors, monkeypatch, exclude_self):
+    """Ties between the parts, and a question's own row in any of them."""
+    monkeypatch.setattr(retrieval, "INDEX_ROWS", 7)
+    monkeypatch.setattr(retrieval, "QUESTION_ROWS", 16)
+    _, index = vectors
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(index)], "doc_id bigint, vector array<double>")
+    rows = nearest(d.withColumnRenamed("doc_id", "q_id"), d, 5, 0.3, exclude_self=exclude_self).collect()
+    pairs = brute(index, index, 6, 0.3)
+    if exclude_self:
+        others = sorted((q, place, i, distance) for q, i, place, distance in pairs if q != i)
+        place = {q: [o for o in others if o[0] == q][:5] for q in range(len(index))}
+        pairs = {(q, i, n, distance) for q, held in place.items() for n, (_, _, i, distance) in enumerate(held, start=1)}
+    else:
+        pairs = {p for p in pairs if p[2] <= 5}
+    assert {(r["q_id"], r["doc_id"], r["rank"], r["distance"]) for r in rows} == pairs
+
+
 def test_no_row_pairs_in_the_plan(spark, vectors):
     questions, index = vectors
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(questions)], "q_id bigint, vector array<double>")
