@@ -14,13 +14,16 @@ query selects and nobody reads counts, as does a name that only looks like one.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablesteward.functions.sqltext import with_verdict
 from tablesteward.operators.scancost import query_costs
-from tablesteward.session import materialize
+from tablesteward.session import materialize, spread
 
 # What a text is made of, first match first.
 COMMENT = r"--[^\n]*+|#[^\n]*+|/\*.*?(?:\*/|\z)"
@@ -48,10 +51,16 @@ LEAVING_CALLS = ("reflect", "java_method", "try_reflect")
 
 def tokens(text: Column) -> Column:
     """The tokens of a text in order; comments are left out, literals are all alike."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^(?:--|#|/\*)"))
-    return F.transform(
-        found, lambda t: F.when(t.rlike(r"^[rR]?['\"]"), F.lit(LITERAL)).when(t.rlike("^[0-9]"), F.lit(NUMBER)).otherwise(F.lower(t))
-    )
+
+    def begins(token: Column, *marks: str) -> Column:
+        return reduce(or_, [token.startswith(mark) for mark in marks])
+
+    def alike(token: Column) -> Column:
+        literal = begins(token, "'", '"', "r'", 'r"', "R'", 'R"')
+        return F.when(literal, F.lit(LITERAL)).when(F.substring(token, 1, 1).between("0", "9"), F.lit(NUMBER)).otherwise(F.lower(token))
+
+    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.transform(F.filter(found, lambda t: ~begins(t, "--", "#", "/*")), alike)
 
 
 def accepted(log: DataFrame, text: str, *names: str) -> DataFrame:
@@ -149,7 +158,24 @@ def table_names(columns: DataFrame) -> DataFrame:
 
 def distinct_texts(log: DataFrame, text: str) -> DataFrame:
     """``text_key, words`` of every accepted text once."""
-    return accepted(log, text).groupBy("text_key").agg(F.first("words").alias("words"))
+    return texts_of(accepted(log, text))
+
+
+def texts_of(worded: DataFrame) -> DataFrame:
+    """``text_key, words`` once each, of rows that hold them."""
+    return worded.groupBy("text_key").agg(F.first("words").alias("words"))
+
+
+def kept_words(log: DataFrame, key: str, text: str) -> DataFrame:
+    """``<key>, words, text_key`` of the accepted texts, stored: no text is checked or cut into tokens twice.
+
+    All rows are stored and then filtered. A filter before would be moved below
+    the clean-up, whose patterns would run again for each use in it.
+    """
+    told = with_verdict(spread(log.select(key, text)), text)
+    worded = told.select(key, F.when(F.col("verdict") == "ok", tokens(F.col("cleaned"))).alias("words"))
+    keyed = worded.withColumn("text_key", F.sha2(F.array_join("words", "\x00"), 256))
+    return materialize(keyed, "log-words").where("words IS NOT NULL")
 
 
 def text_references(texts: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -204,9 +230,10 @@ def text_references(texts: DataFrame, columns: DataFrame) -> tuple[DataFrame, Da
 
 def log_columns(log: DataFrame, key: str, text: str, columns: DataFrame) -> DataFrame:
     """``<key>, table_id, column`` for the accepted texts of a log."""
-    read, _ = text_references(distinct_texts(log, text), columns)
+    kept = kept_words(log, key, text)
+    read, _ = text_references(texts_of(kept), columns)
     read = materialize(read, "text-columns")
-    return accepted(log, text, key).drop("words").join(read, "text_key").drop("text_key")
+    return kept.drop("words").join(read, "text_key").drop("text_key")
 
 
 def log_costs(log: DataFrame, key: str, text: str, column_bytes: DataFrame, size: str = "logical_bytes") -> DataFrame:
@@ -214,10 +241,11 @@ def log_costs(log: DataFrame, key: str, text: str, column_bytes: DataFrame, size
 
     Distinct texts are priced; the log itself is only joined with the prices.
     """
-    read, _ = text_references(distinct_texts(log, text), column_bytes)
+    kept = kept_words(log, key, text)
+    read, _ = text_references(texts_of(kept), column_bytes)
     priced = query_costs(read.withColumnRenamed("text_key", "query_id"), column_bytes, size).withColumnRenamed("query_id", "text_key")
     priced = materialize(priced, "text-prices")
-    return accepted(log, text, key).drop("words").join(priced, "text_key").drop("text_key")
+    return kept.drop("words").join(priced, "text_key").drop("text_key")
 
 
 def log_refusals(log: DataFrame, key: str, text: str, columns: DataFrame, escape: str) -> DataFrame:
@@ -230,7 +258,8 @@ def log_refusals(log: DataFrame, key: str, text: str, columns: DataFrame, escape
     by_words = F.when(F.col("verdict") != "ok", F.col("verdict")).when(F.col("masked").rlike(escape), F.lit("escape_hatch"))
     words = F.when(F.col("verdict") == "ok", tokens(F.col("cleaned")))
     checked = checked.select(key, by_words.alias("by_words"), words.alias("words"))
-    checked = checked.select(key, "by_words", F.sha2(F.array_join("words", "\x00"), 256).alias("text_key"))
-    _, codes = text_references(distinct_texts(log, text), columns)
+    checked = checked.withColumn("text_key", F.sha2(F.array_join("words", "\x00"), 256))
+    checked = materialize(checked, "log-words")
+    _, codes = text_references(texts_of(checked.where("words IS NOT NULL")), columns)
     codes = materialize(codes, "text-codes")
-    return checked.join(codes, "text_key", "left").select(key, F.coalesce("by_words", "code").alias("code"))
+    return checked.drop("words").join(codes, "text_key", "left").select(key, F.coalesce("by_words", "code").alias("code"))

@@ -101,6 +101,23 @@ def test_windows_do_not_shuffle(spark, catalog):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_texts_are_read_once(spark, catalog, monkeypatch):
+    """Words of the log are stored by one projection without a filter; what follows reads no text again."""
+    plans, store = [], references.materialize
+
+    def stored(df, purpose):
+        if purpose == "log-words":
+            plans.append(df._jdf.queryExecution().toString().split("== Physical Plan ==")[1])
+        return store(df, purpose)
+
+    monkeypatch.setattr(references, "materialize", stored)
+    log = inputs.query_log(spark, SMALL)
+    sizes = catalog.selectExpr("table_id", "column", "1L AS logical_bytes")
+    for rows in (references.log_costs(log, "query_id", "sql", sizes), references.log_columns(log, "query_id", "sql", sizes)):
+        assert "regexp_extract_all" not in rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert len(plans) == 2 and all(p.count("regexp_extract_all") == 1 and "+- Filter" not in p for p in plans)
+
+
 def test_verdict_of_shapes_is_as_stated(spark):
     texts = [(i, text.format(u=7, k=3, t="click")) for i, (text, _, _) in enumerate(QUERY_SHAPES)]
     told = with_verdict(spark.createDataFrame(texts, "id int, sql string"), "sql").orderBy("id").collect()
