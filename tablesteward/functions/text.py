@@ -175,12 +175,13 @@ def kv_render(entries: Column, limit: int = ARGUMENT_CHARS) -> Column:
     """
 
     def line(entry: Column) -> Column:
-        text = truncate_marked(entry["value"], limit)
+        return bind(truncate_marked(entry["value"], limit), lambda text: shown(entry["key"], text))
+
+    def shown(key: Column, text: Column) -> Column:
         block = F.regexp_replace(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n  ")
-        return F.when(text.contains("\n"), F.concat(entry["key"], F.lit(":\n  "), block)).otherwise(
-            F.concat(entry["key"], F.lit(": "), text)
-        )
+        return F.when(text.contains("\n"), F.concat(key, F.lit(":\n  "), block)).otherwise(F.concat(key, F.lit(": "), text))
 
-    return F.when(F.size(entries) > 0, F.array_join(F.transform(F.map_entries(entries), line), "\n")).otherwise(
-        F.lit("{}")
-    )
+    def lines(given: Column) -> Column:
+        return F.when(F.size(given) > 0, F.array_join(F.transform(F.map_entries(given), line), "\n")).otherwise(F.lit("{}"))
+
+    return bind(entries, lines)

@@ -38,3 +38,14 @@ def test_in_key_value_text(spark):
     shown = spark.range(1).select(text.kv_render(entries)).first()[0]
     lines = json.dumps(value, indent=2).split("\n")
     assert shown == "result:\n  " + "\n  ".join(lines) + "\nn: 3"
+
+
+def test_entries_are_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from tablesteward.functions.text import kv_render
+
+    rows = spark.createDataFrame([("a\nb",), (None,)], "x string")
+    shown = rows.select(kv_render(F.create_map(F.lit("k"), F.reverse("x"))).alias("r"))
+    assert [r["r"] for r in shown.collect()][0] == "k:\n  b\n  a"
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
