@@ -251,3 +251,23 @@ def test_plans(spark, tmp_path):
     assert "partial_max_by" in plan(sessions.session_state(stored))
     # One shuffle for the log, one for the previews of it.
     assert plan(sessions.session_preview(stored)).split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 2
+
+
+def test_state_tasks_grow_with_the_events(spark, monkeypatch):
+    """More rows make more tasks, not larger ones; the setting is as before afterwards."""
+    from tablesteward.operators import sessions
+
+    used, store = [], sessions.materialize
+
+    def stored(df, purpose):
+        used.append(spark.conf.get(sessions.PARTITIONS))
+        return store(df, purpose)
+
+    before = spark.conf.get(sessions.PARTITIONS)
+    monkeypatch.setattr(sessions, "materialize", stored)
+    monkeypatch.setattr(sessions, "ROWS_PER_TASK", 3)
+    kinds = "app_name string, user_id string, session_id string, event_id string, ts timestamp_ntz, arrival int, partial boolean, state_delta map<string,string>"
+    rows = [("a", "u", f"s{i % 5}", f"e{i}", dt.datetime(2024, 1, 1, 0, i), 0, False, {"k": str(i)}) for i in range(40)]
+    got = sessions.session_state(spark.createDataFrame(rows, kinds)).collect()
+    assert sorted((r["session_id"], r["value"]) for r in got) == [(f"s{i}", str(35 + i)) for i in range(5)]
+    assert used == ["14"] and spark.conf.get(sessions.PARTITIONS) == before
