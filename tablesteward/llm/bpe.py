@@ -38,6 +38,7 @@ import heapq
 import json
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -99,10 +100,12 @@ class MergeList:
                 raise ValueError(f"merge {rank} comes before the merges of its parts")
         self.made_at = made_at
         self.longest = max(map(len, self.token_bytes.values()))
+        self.table = pa.array(map(self.token_bytes.get, range(max(self.token_bytes) + 1)), pa.large_binary())
         keys = np.array([a << 32 | b for a, b, _ in self.merges], dtype=np.int64)
         self.key_order = np.argsort(keys)
         self.sorted_keys = keys[self.key_order]
         self.made = np.array([made for _, _, made in self.merges], dtype=ID)
+        self.byte_ranks = self.rank_of(*(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))).reshape(256, 256)
         self.lookahead = self.sufficient_lookahead()
 
     def sufficient_lookahead(self) -> int:
@@ -135,9 +138,11 @@ class MergeList:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The place of each pair in the list, or ``NEVER``."""
+        if not len(self.sorted_keys):
+            return np.full(len(left), NEVER, dtype=ID)
         keys = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.sorted_keys, keys), len(self.sorted_keys) - 1)
-        return np.where(self.sorted_keys[at] == keys, self.key_order[at], NEVER)
+        return np.where(self.sorted_keys[at] == keys, self.key_order[at], NEVER).astype(ID)
 
     def merged_many(self, units: list[bytes]) -> list[bytes]:
         """The packed tokens of many short byte strings, those of one length together."""
@@ -147,42 +152,46 @@ class MergeList:
         for length in np.unique(lengths):
             of = np.flatnonzero(lengths == length)
             letters = np.frombuffer(b"".join([units[i] for i in of]), dtype=np.uint8).reshape(len(of), length)
-            tokens, counts = self.merged_rows(byte_ids[letters])
+            tokens, counts = self.merged_rows(byte_ids[letters], self.byte_ranks[letters[:, :-1], letters[:, 1:]])
             for i, row, count in zip(of.tolist(), tokens, counts.tolist(), strict=True):
                 out[i] = row[:count].tobytes()
         return out
 
-    def merged_rows(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of tokens merged one pair a step, each row its earliest rule and leftmost place; and what is left of each."""
+    def merged_rows(self, tokens: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of tokens and the ranks of their pairs, merged one pair a step, each row its earliest rule and leftmost
+        place; and what is left of each."""
         rows, width = tokens.shape
         counts = np.full(rows, width)
         if width < 2 or not len(self.merges):
             return tokens, counts
-        ranks = self.rank_of(tokens[:, :-1], tokens[:, 1:])
-        live, places = np.arange(rows), np.arange(width)
-        work = tokens
+        live, work = np.arange(rows), tokens
         while True:
-            at = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(live)), at]
-            on = best < NEVER
+            at, own = ranks.argmin(axis=1), np.arange(len(live))
+            best = ranks[own, at]
+            on, size = best < NEVER, work.shape[1]
             if not on.all():
-                done = ~on
-                tokens[live[done]] = work[done]
+                done = live[~on]
+                tokens[done, :size], counts[done] = work[~on], size
                 live, work, ranks, at, best = live[on], work[on], ranks[on], at[on], best[on]
                 if not len(live):
                     return tokens, counts
-            counts[live] -= 1
-            own = np.arange(len(live))
-            # what is right of the pair moves one place to the left
-            work = np.take_along_axis(work, np.minimum(places + (places > at[:, None]), width - 1), axis=1)
-            ranks = np.take_along_axis(ranks, np.minimum(places[:-1] + (places[:-1] >= at[:, None]), width - 2), axis=1)
-            work[own, at] = self.made[best]
-            last = counts[live] - 1
-            ranks[own, last] = NEVER
-            right = at < last
-            ranks[own[right], at[right]] = self.rank_of(work[own[right], at[right]], work[own[right], at[right] + 1])
-            left = at > 0
-            ranks[own[left], at[left] - 1] = self.rank_of(work[own[left], at[left] - 1], work[own[left], at[left]])
+                own = own[: len(live)]
+            # what is right of the pair moves one place to the left, so all rows still live are of one length
+            places = np.arange(size - 1, dtype=np.int32)
+            moved = places >= at.astype(np.int32)[:, None]
+            kept = work[:, :-1].copy()
+            np.copyto(kept, work[:, 1:], where=moved)
+            kept[own, at] = self.made[best]
+            work = kept
+            if size == 2:
+                tokens[live, :1], counts[live] = work, 1
+                return tokens, counts
+            kept = ranks[:, :-1].copy()
+            np.copyto(kept, ranks[:, 1:], where=moved[:, :-1])
+            ranks = kept
+            right, left = np.flatnonzero(at < size - 2), np.flatnonzero(at)
+            ranks[right, at[right]] = self.rank_of(work[right, at[right]], work[right, at[right] + 1])
+            ranks[left, at[left] - 1] = self.rank_of(work[left, at[left] - 1], work[left, at[left]])
 
     def merged_short(self, ids: list[int]) -> list[int]:
         rank, merges = self.ranks.get, self.merges
@@ -260,9 +269,12 @@ class Remembered:
             self.old, self.young = self.young, {}
         self.young[text] = ids
 
-    def missing(self, texts: Iterable[str]) -> list[str]:
-        young, old = self.young, self.old
-        return [text for text in texts if text not in young and text not in old]
+    def take_in(self, wanted: set[str], made: dict[str, bytes]) -> None:
+        """Put new texts into the young generation, which then holds all ``wanted`` ones that are known."""
+        if len(self.young) + len(made) > self.limit:
+            kept = {text: ids for text in wanted if (ids := self.young.get(text)) is not None}
+            self.old, self.young = self.young, kept
+        self.young.update(made)
 
 
 def packed(ids: list[int]) -> bytes:
@@ -286,18 +298,36 @@ class Transducer:
         words: set[str] = set()
         for text in texts:
             words.update(text.split(" "))
-        fresh = self.known_words.missing(" " + w for w in words if 0 < len(w) < REMEMBERED_CHARS and not w[0].isspace())
-        del words
-        split = self.units.findall
-        units_of = [split(word) for word in fresh]
-        units = self.known_units.missing({unit for units in units_of for unit in units})
-        data = [unit.encode() for unit in units]
-        short = [i for i, d in enumerate(data) if len(d) <= SHORT_BYTES]
-        found = dict(zip([units[i] for i in short], self.merges.merged_many([data[i] for i in short]), strict=True))
-        for unit, ids in found.items():
-            self.known_units.put(unit, ids)
-        for word, units in zip(fresh, units_of, strict=True):
-            self.known_words.put(word, b"".join([found.get(unit) or self.unit(unit) for unit in units]))
+        young, old = self.known_words.young, self.known_words.old
+        absent = [w for w in words if w not in young and 0 < len(w) < REMEMBERED_CHARS and not w[0].isspace()]
+        made = {word: ids for word in absent if (ids := old.get(word)) is not None}
+        fresh = [word for word in absent if word not in made]
+        # a word of ASCII letters is one unit with its blank
+        whole = [word for word in fresh if word.isascii() and word.isalpha()]
+        parted = [word for word in fresh if not (word.isascii() and word.isalpha())]
+        del absent, fresh
+        # a unit that begins with a blank begins a word
+        units = self.units.findall("".join([f" {word}" for word in parted]))
+        starts = [at for at, unit in enumerate(units) if unit[0] == " "]
+        if len(starts) != len(parted):
+            raise AssertionError("words are cut elsewhere than at their blanks")
+        distinct = set(units)
+        known = self.known_units
+        found = {
+            unit: known.young.get(unit) or known.old.get(unit) or (young.get(unit[1:]) or old.get(unit[1:]) if unit[0] == " " else None)
+            for unit in distinct
+        }
+        new = [unit for unit, ids in found.items() if ids is None and len(unit) <= SHORT_BYTES and len(unit.encode()) <= SHORT_BYTES]
+        merged = self.merges.merged_many([f" {word}".encode() for word in whole] + [unit.encode() for unit in new])
+        made.update(zip(whole, merged, strict=False))
+        found.update(zip(new, merged[len(whole) :], strict=True))
+        for unit in [unit for unit, ids in found.items() if ids is None]:
+            found[unit] = self.unit(unit)
+        known.take_in(distinct, {unit: ids for unit, ids in found.items() if unit not in known.young})
+        ids = [*map(found.get, units)]
+        for word, (start, end) in zip(parted, pairwise([*starts, len(units)]), strict=True):
+            made[word] = b"".join(ids[start:end])
+        self.known_words.take_in(words, made)
 
     def unit(self, text: str) -> bytes:
         found = self.known_units.get(text)
@@ -324,27 +354,40 @@ class Transducer:
         return b"".join([self.unit(unit) for unit in self.units.findall(text)])
 
     def word(self, text: str) -> bytes:
+        """The ids of a blank and a word, which begins with a non-blank and holds no single blank."""
         found = self.known_words.get(text)
         if found is None:
-            found = self.split(text)
-            if len(text) <= REMEMBERED_CHARS:
+            found = self.split(" " + text)
+            if len(text) < REMEMBERED_CHARS:
                 self.known_words.put(text, found)
         return found
 
     def words(self, text: str) -> bytes:
         """The ids of a text of whole units, by words where single blanks part them."""
         first, *rest = text.split(" ")
-        if not rest:
-            return self.split(first)
+        found = [*map(self.known_words.young.get, rest)]
+        try:
+            return self.split(first) + b"".join(found)
+        except TypeError:  # a word that is not in the young table
+            for at, ids in enumerate(found):
+                if ids is None:
+                    word = rest[at]
+                    if not word or word[0].isspace():
+                        return self.uneven(first, rest)
+                    found[at] = self.word(word)
+        return self.split(first) + b"".join(found)
+
+    def uneven(self, first: str, rest: list[str]) -> bytes:
+        """The same where a run of blanks goes with the words on both sides."""
         out: list[bytes] = []
-        known, pending = self.known_words, first
+        pending, even = first, False
         for word in rest:
             if word and not word[0].isspace():
-                out.append(known.young.get(pending) or self.word(pending))
-                pending = " " + word
-            else:  # a run of blanks goes with the words on both sides
-                pending += " " + word
-        out.append(self.word(pending))
+                out.append(self.word(pending) if even else self.split(pending))
+                pending, even = word, True
+            else:
+                pending, even = f" {pending} {word}" if even else f"{pending} {word}", False
+        out.append(self.word(pending) if even else self.split(pending))
         return b"".join(out)
 
     def plain(self, pieces: Iterable[str]) -> Iterator[np.ndarray]:
@@ -436,18 +479,29 @@ class TextMachine:
     """Ids in, in pieces; text out as soon as its characters are complete."""
 
     def __init__(self, merges: MergeList):
-        self.token_bytes = merges.token_bytes
+        self.token_bytes, self.table = merges.token_bytes, merges.table
         self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int], last: bool = False) -> str:
         return self.decoder.decode(b"".join(map(self.token_bytes.__getitem__, ids)), last)
 
     def decode(self, ids: list[int]) -> str:
-        self.decoder.reset()
-        if len(ids) <= PIECE:
-            return self.feed(ids, True)
-        pieces = [self.feed(ids[at : at + PIECE]) for at in range(0, len(ids), PIECE)]
-        return "".join(pieces) + self.feed([], True)
+        return self.decode_many(pa.array(ids, pa.int32()), [len(ids)])[0]
+
+    def decode_many(self, ids: pa.Array, counts: list[int]) -> list[str]:
+        """The texts of runs of ids with so many each; their bytes are looked up together."""
+        tokens = self.table.take(ids)
+        if tokens.null_count:
+            raise KeyError("an id that the vocabulary does not have")
+        ends = np.frombuffer(tokens.buffers()[1], dtype=np.int64)[tokens.offset :]
+        data = memoryview(tokens.buffers()[2] or b"")
+        out, start, piece = [], 0, self.decoder.decode
+        for count in counts:
+            self.decoder.reset()
+            cuts = [int(ends[at]) for at in (*range(start, start + count, PIECE), start + count)]
+            out.append("".join([piece(data[a:b]) for a, b in pairwise(cuts)]) + piece(b"", True))
+            start += count
+        return out
 
 
 def added_column(df: DataFrame, name: str, kind: T.DataType, start, make) -> DataFrame:
@@ -484,12 +538,7 @@ def decode(df: DataFrame, path: str, ids_column: str = "token_ids", text_column:
 
     def make(machine: TextMachine, part: pa.RecordBatch) -> pa.Array:
         ids = part[ids_column]
-        flat, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), ids.value_lengths().fill_null(0).to_numpy()
-        out, start = [], 0
-        for count in ends.tolist():
-            out.append(machine.decode(flat[start : start + count]))
-            start += count
-        return pa.array(out, pa.string())
+        return pa.array(machine.decode_many(ids.flatten(), ids.value_lengths().fill_null(0).to_pylist()), pa.string())
 
     return added_column(df, text_column, T.StringType(), lambda: TextMachine(loaded(file.digest, file.value)), make)
 

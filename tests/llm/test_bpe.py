@@ -61,3 +61,29 @@ def test_partial_characters(merges):
     ids = [merges.byte_ids[b] for b in "é漢".encode()]
     assert machine.decode(ids) == "é漢" and machine.decode(ids[:-1]) == "é�"
     assert [machine.feed([i]) for i in ids] == ["", "é", "", "", "漢"]
+
+
+def test_words_of_a_slice_are_at_hand_after_learning(monkeypatch):
+    machine = bpe.Transducer(bpe.merge_list(bpe.vocabulary()))
+    machine.known_words.limit = machine.known_units.limit = 64
+    slices = [[f"begin {' '.join(f'w{chr(97 + i % 26)}o{k} plain{chr(97 + i % 26)}.' for i in range(n))}" for k in range(5)] for n in (26, 9, 20)]
+    whole = [[machine.encode(text) for text in texts] for texts in slices]
+    for texts, ids in zip(slices, whole, strict=True):
+        machine.learn(texts)
+        with monkeypatch.context() as patched:
+            patched.setattr(machine, "word", None)  # not asked for one word
+            assert [machine.encode(text) for text in texts] == ids
+    assert machine.merges.merged_many([b" wordless", b"x", b"...!"]) == [bpe.packed(machine.merges.merged(u)) for u in (b" wordless", b"x", b"...!")]
+
+
+def test_runs_of_ids_are_decoded_together():
+    merges = bpe.merge_list(bpe.vocabulary())
+    machine, coder = bpe.TextMachine(merges), bpe.Transducer(merges)
+    texts = ["né 漢字", "", "a" * 7, "😀 x"]
+    ids = [coder.encode(text) for text in texts]
+    ids.append(ids[0][2:-1])  # begins or ends inside a character
+    flat = bpe.pa.array([i for run in ids for i in run], bpe.pa.int32())
+    assert machine.decode_many(flat, [len(run) for run in ids]) == [machine.decode(run) for run in ids]
+    assert machine.decode_many(flat, [len(run) for run in ids])[:4] == texts
+    with pytest.raises((KeyError, IndexError)):
+        machine.decode([10**6])
