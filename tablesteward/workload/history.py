@@ -87,32 +87,36 @@ def session_purge(spark, sf_dir):
     return left.unionByName(gone)
 
 
+def event_files(spark, events, batches: int, *keys) -> tuple[str, int]:
+    """``events`` as files that a stream reads in so many batches, and the files of a batch: one for each core."""
+    source, cores = scratch_path(spark, "event-files"), spark.sparkContext.defaultParallelism
+    events.repartition(batches * cores, *keys).write.parquet(source)
+    return source, cores
+
+
 def stream_sessions(spark, sf_dir):
     """Previews kept by the stream over shuffled files: one author's events twice, errors again with other contents."""
     events = inputs.restated_events(spark, sf_dir)
-    source = scratch_path(spark, "event-files")
     again = events.where("author = 'user'")
-    events.unionByName(again).repartition(6, F.xxhash64("event_id", F.size("texts")) % 6, "user_id", "arrival").write.parquet(source)
+    source, files = event_files(spark, events.unionByName(again), 3, F.xxhash64("event_id", F.size("texts")) % 6, "user_id", "arrival")
     stream = SessionStream(spark, scratch_path(spark, "session-stream"), compact_every=2)
-    stream.run(source, files_per_batch=2, state_partitions=spark.sparkContext.defaultParallelism)
+    stream.run(source, files_per_batch=files, state_partitions=spark.sparkContext.defaultParallelism)
     return stream.previews()
 
 
 def stream_state(spark, sf_dir):
     """State kept by the stream over the same events, several batches."""
-    source = scratch_path(spark, "event-files")
-    inputs.restated_events(spark, sf_dir).repartition(4, "event_id", "arrival").write.parquet(source)
+    source, files = event_files(spark, inputs.restated_events(spark, sf_dir), 4, "event_id", "arrival")
     stream = SessionStream(spark, scratch_path(spark, "session-stream"), compact_every=3)
-    stream.run(source, files_per_batch=1, state_partitions=spark.sparkContext.defaultParallelism)
+    stream.run(source, files_per_batch=files, state_partitions=spark.sparkContext.defaultParallelism)
     return stream.state()
 
 
 def stream_recent(spark, sf_dir):
     """The three newest events of each session, kept by the stream."""
-    source = scratch_path(spark, "event-files")
-    inputs.restated_events(spark, sf_dir).repartition(4, "event_id", "arrival").write.parquet(source)
+    source, files = event_files(spark, inputs.restated_events(spark, sf_dir), 4, "event_id", "arrival")
     stream = SessionStream(spark, scratch_path(spark, "session-stream"), compact_every=2, keep_recent=3)
-    stream.run(source, files_per_batch=1, state_partitions=spark.sparkContext.defaultParallelism)
+    stream.run(source, files_per_batch=files, state_partitions=spark.sparkContext.defaultParallelism)
     return stream.recent().select(*SESSION, "event_id", "ts", "arrival")
 
 

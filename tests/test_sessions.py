@@ -271,3 +271,26 @@ def test_state_tasks_grow_with_the_events(spark, monkeypatch):
     got = sessions.session_state(spark.createDataFrame(rows, kinds)).collect()
     assert sorted((r["session_id"], r["value"]) for r in got) == [(f"s{i}", str(35 + i)) for i in range(5)]
     assert used == ["14"] and spark.conf.get(sessions.PARTITIONS) == before
+
+
+def test_restated_sessions_are_folded_from_one_copy(spark, tmp_path):
+    """All events of a restated session as they are now, and the batch's own events of the others, keys null or not."""
+    stream = SessionStream(spark, str(tmp_path / "out"), keep_recent=3)
+    first = [event(1, "s"), event(2, "s"), event(3, "t"), event(4, None)]
+    second = [event(2, "s", texts=["changed"], arrival=1), event(5, "t"), event(6, None)]
+    for number, (rows, changed) in enumerate(((first, "false"), (second, "event_id = 'e00002'"))):
+        stream.apply(frame(spark, rows).selectExpr("*", f"{changed} AS changed"), number)
+    folded = spark.read.schema(EVENT_SCHEMA).parquet(f"{stream.folder}/refolded")
+    assert sorted((str(r.session_id), r.event_id, r.texts[0]) for r in folded.collect()) == [
+        ("None", "e00006", "text 6"), ("s", "e00001", "text 1"), ("s", "e00002", "changed"), ("t", "e00005", "text 5"),
+    ]
+    assert stream.recent().count() == 6
+
+
+def test_each_batch_has_a_file_for_each_core(spark, tmp_path):
+    from tablesteward.workload import history
+
+    rows = frame(spark, [event(n) for n in range(400)])
+    source, files = history.event_files(spark, rows, 4, "event_id", "arrival")
+    assert files == spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(source).count() == 400 and len(spark.read.parquet(source).inputFiles()) == 4 * files
