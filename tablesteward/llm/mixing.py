@@ -217,7 +217,8 @@ def mixed(
 def repeated_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; documents taken zero times go.
 
-    Rows equal in id and text share their copies.
+    Rows equal in id and text share their copies. The copies grow with ``docs``, so
+    they are never broadcast: texts move in the join once, at any size.
     """
     own_id, key, copies, rows_of, copy = fresh_names(docs, "id", "key", "copies", "rows", "copy")
     taken = mixed(docs, id_column, text_column, **settings).groupBy("id", "text_key").agg(
@@ -229,7 +230,7 @@ def repeated_documents(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     def found(rows: Column) -> DataFrame:
         of_row = F.col(id_column).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_column) == F.col(key))
-        return docs.join(taken.where(rows).drop(rows_of), of_row)
+        return docs.join(taken.where(rows).drop(rows_of).hint("merge"), of_row)
 
     def copied(rows: DataFrame) -> DataFrame:
         return rows.select(*names, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)

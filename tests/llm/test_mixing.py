@@ -49,3 +49,16 @@ def test_targets_and_copies(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], KIND)
     assert mixing.mixed(docs).count() == 0 and mixing.repeated_documents(docs).count() == 0
+
+
+def test_copies_are_not_broadcast(spark):
+    """Copies grow with the documents; a broadcast of them would fit small tables only."""
+    rows = [(i, f"w{i} " * (i % 5 + 1), "ab"[i % 2], "x") for i in range(40)]
+    for docs in (spark.createDataFrame(rows, KIND), spark.createDataFrame(rows + rows[:7], KIND)):
+        stored = mixing.materialize(docs, "test-mix")
+        repeated = mixing.repeated_documents(stored)
+        repeated.collect()
+        plan = repeated._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        # the texts are shuffled for one join; a second one reads the same shuffle again
+        assert plan.count("SortMergeJoin") - 1 == plan.count("ReusedExchange")

@@ -1,9 +1,11 @@
 """Personal data and secrets against plain Python patterns, and what the methods add."""
 
+import glob
 import random
 import re
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from tablesteward.llm import pii, secretscan
 
@@ -194,3 +196,13 @@ def test_all_labelled_candidates_are_learnt(spark, monkeypatch):
     scorer = pii.fitted(found, "key", "found")
     assert labelled >= 24_000 and 1.7 * labelled < weights[0] < 1.8 * labelled
     assert set(scorer.thresholds) == set(pii.KINDS)
+
+
+def test_kept_texts_are_packed(spark):
+    """The table of texts and candidates lies on disk under the stages that follow."""
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('mail a', id, '@b.com') AS text")
+    redacted = pii.redact_documents(docs)
+    files = [f for path in redacted.inputFiles() for f in glob.glob(path.removeprefix("file://")) if "pii-candidates" in f]
+    groups = [pq.ParquetFile(f).metadata.row_group(0) for f in files]
+    assert files and {g.column(i).compression for g in groups for i in range(g.num_columns)} == {"ZSTD"}
+    assert {r.text for r in redacted.collect()} == {"mail [email]"}
