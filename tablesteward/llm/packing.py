@@ -16,7 +16,8 @@ is written once, so that a lost executor repeats its own partitions alike.
 
 Ids come from the tokenizers library, which gets each distinct part of a text
 once: parts between blanks, and units within them, are independent in this
-vocabulary.
+vocabulary. Units of characters that stand alone go straight to the library's
+merges; what it makes of such a character, it is asked once.
 
 Defined results: a null text is an empty one; every document ends with the end
 id, so each has a piece at least; rows equal in every column are documents of
@@ -27,10 +28,11 @@ columns other than id and text are not looked at.
 from __future__ import annotations
 
 import functools
-import re
+import sys
 import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -52,30 +54,99 @@ LEAST_GAP = 16
 FAN_IN = 16
 END_ID = 1
 
-# How the vocabulary marks the end of a unit, how its special tokens
-# begin, and its units in lower-case ASCII.
-UNIT_END = "</w>"
+# How special tokens of the vocabulary begin, and the letters after an
+# apostrophe that make a unit with it.
 SPECIAL_START = "<|"
-ASCII_UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r a-z0-9]+")
-# Marks that end a word; an apostrophe may be part of a unit with letters.
-MARKS_TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")
+APOSTROPHE_UNITS = ("s", "t", "m", "d", "re", "ve", "ll")
 
-# Characters of distinct parts that the library gets in one text, and parts whose
-# ids a worker remembers.
+# What a character is in the vocabulary's units: runs of letters, runs of marks, single
+# digits. OTHER is what may depend on its neighbours or is a blank to the vocabulary.
+UNKNOWN, LETTER, MARK, DIGIT, OTHER = range(5)
+LAST_BASIC = 0xFFFF
+JAMO = range(0x1100, 0x1200)
+
+# Distinct words cut at once, characters of distinct parts that the library gets in
+# one text, and parts whose ids a worker remembers.
+BLOCK_WORDS = 1 << 16
 TEXT_CHARS = 1 << 16
 REMEMBERED = 1 << 19
+CODE = np.dtype("<u4")
 ID = np.dtype("<u4")
 ID_BYTES = ID.itemsize
 
 PIECE_COLUMNS = ("start", "length", "ids", "doc_tokens", "window", "offset")
 
 
+class Characters:
+    """What the library makes of single characters, asked once for each.
+
+    Known are characters that normalizing leaves alone beside any others of
+    them: none combines, and each is folded to one character.
+    """
+
+    def __init__(self, library):
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
+        self.kinds = np.full(sys.maxunicode + 1, UNKNOWN, dtype=np.uint8)
+        self.folded = np.arange(sys.maxunicode + 1, dtype=CODE)
+        self.spelled: dict[int, str] = {}  # folded characters as the vocabulary spells their bytes
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """The kind of each character."""
+        kinds = self.kinds[codes]
+        unknown = np.unique(codes[kinds == UNKNOWN]).tolist()
+        for code in unknown:
+            self.kinds[code] = self.ask(code)
+        return self.kinds[codes] if unknown else kinds
+
+    def ask(self, code: int) -> int:
+        if not stands_alone(chr(code)):
+            return OTHER
+        folded = self.normalizer.normalize_str(chr(code))
+        if len(folded) != 1 or not stands_alone(folded) or self.normalizer.normalize_str(folded) != folded:
+            return OTHER
+        letters, marks = (
+            [piece for piece, _ in self.pre_tokenizer.pre_tokenize_str(beside + folded + beside)] for beside in ("a", "!")
+        )
+        if len(letters) == 1:
+            kind, spelled = LETTER, letters[0][1:-1]
+        elif len(marks) == 1:
+            kind, spelled = MARK, marks[0][1:-1]
+        elif len(letters) == len(marks) == 3:
+            kind, spelled = DIGIT, letters[1]
+        else:
+            return OTHER
+        self.folded[code], self.spelled[ord(folded)] = ord(folded), spelled
+        return kind
+
+
+def stands_alone(character: str) -> bool:
+    """Whether a character is a letter, number, mark or symbol that is never composed with one before or after it."""
+    code = ord(character)
+    return (
+        code <= LAST_BASIC
+        and code not in JAMO
+        and unicodedata.category(character)[0] in "LNPS"
+        and unicodedata.combining(character) == 0
+        and unicodedata.is_normalized("NFC", character)
+    )
+
+
+class Known(dict):
+    """Numbers of parts, in the order they are met."""
+
+    def __missing__(self, part: str) -> int:
+        at = self[part] = len(self)
+        return at
+
+
 class Words:
     """Ids of whole texts by the ids of their distinct parts.
 
-    A text is cut at blanks. ASCII words are cut on into the vocabulary's own
-    units; of other words, which may be composed and folded first, only a tail
-    of marks is cut off. The ids of parts are remembered, a bounded number.
+    A text is cut at blanks, and words of known characters into the
+    vocabulary's own units, which need the library's merges only. Of other
+    words, which may be composed first or hold special tokens, only a tail of
+    marks is cut off; they go through the whole library. The ids of parts are
+    remembered, a bounded number.
     """
 
     def __init__(self, data: bytes):
@@ -84,19 +155,19 @@ class Words:
         self.library = Tokenizer.from_buffer(data)
         self.library.no_truncation()
         self.library.no_padding()
-        size = self.library.get_vocab_size()
-        self.ends_unit = np.array([self.library.id_to_token(i).endswith(UNIT_END) for i in range(size)])
+        self.merges = self.library.model
+        self.characters = Characters(self.library)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Known()
         self.flat, self.starts = np.zeros(0, dtype=ID), np.zeros(1, dtype=np.int64)
 
     def encoded(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
         """Ids of each text with the end id."""
-        words = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = words.flatten().dictionary_encode()
-        flat, starts = self.of_words(coded.dictionary.to_pylist())
+        flat, starts = self.of_words(coded.dictionary)
         tokens, counts = gathered(flat, starts, coded.indices.to_numpy(zero_copy_only=False))
         word_ends = np.cumsum(pc.list_value_length(words).to_numpy())
         ends = np.concatenate([[0], np.cumsum(counts)])[word_ends]
@@ -107,72 +178,117 @@ class Words:
         out[ends + nth] = end_id
         return np.split(out, (ends + nth + 1)[:-1]) if len(ends) else []
 
-    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def of_words(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after the other, and where each word's begin."""
+        blocks = [self.of_block(words.slice(at, BLOCK_WORDS)) for at in range(0, len(words), BLOCK_WORDS)]
+        flat, sizes = zip(*blocks, strict=True) if blocks else ([np.zeros(0, dtype=ID)], [np.zeros(0, dtype=np.int64)])
+        return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def of_block(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and their number in each word."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        known, parts, counts, units, others = self.known, [], [], [], []
-        for word in words:
-            own, single = parts_of(word)
-            counts.append(len(own))
-            for part in own:
-                at = known.get(part)
-                if at is None:
-                    at = known[part] = len(known)
-                    (units if single else others).append((at, part))
-                parts.append(at)
-        self.learn(units, others)
-        flat, sizes = gathered(self.flat, self.starts, np.array(parts, dtype=np.int64))
-        part_ends = np.concatenate([[0], np.cumsum(sizes)])
-        starts = part_ends[np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])]
-        return flat, starts
-
-    def learn(self, units: list[tuple[int, str]], others: list[tuple[int, str]]) -> None:
-        """Ids of parts not met before: those of one unit end with its last token, others are told apart by offsets."""
-        places, flat, counts = [], [], []
-        for found, are_units in ((units, True), (others, False)):
-            for group in grouped(found):
-                coded = self.library.encode(" ".join(part for _, part in group), add_special_tokens=False)
-                ids = np.array(coded.ids, dtype=ID)
-                if are_units:
-                    ends = np.flatnonzero(self.ends_unit[ids]) + 1
-                    sizes = np.diff(ends, prepend=0)
-                else:
-                    borders = np.cumsum([len(part) + 1 for _, part in group])
-                    first = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-                    sizes = np.bincount(np.searchsorted(borders, first, side="right"), minlength=len(group))
-                if len(sizes) != len(group):
-                    raise ValueError("a unit of the text is not one of the vocabulary")
-                places += [at for at, _ in group]
-                flat.append(ids)
-                counts.append(sizes)
-        if places:
-            order = np.argsort(np.array(places))
-            ids, starts = np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-            ids, sizes = gathered(ids, starts, order)
-            self.flat = np.concatenate([self.flat, ids])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-
-
-def parts_of(word: str) -> tuple[list[str], bool]:
-    """The parts of a word between blanks, and whether each is one unit of the vocabulary."""
-    if word.isascii() and SPECIAL_START not in word:
-        return ASCII_UNITS.findall(word.lower()), True
-    tail = MARKS_TAIL.search(word)
-    if tail and tail.start() and SPECIAL_START not in word and ends_in_letter(word[tail.start() - 1]):
-        return [word[: tail.start()], tail[0]], False
-    return [word], False
-
-
-def ends_in_letter(character: str) -> bool:
-    """Whether a character still is a letter, or ends in one, when it is composed and folded."""
-    return unicodedata.normalize("NFC", character).lower()[-1].isalpha()
-
-
-def grouped(parts: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+        parts, are_units, word_parts = cut_words(words, self.characters)
+        coded = parts.dictionary_encode()
+        distinct, nth = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        before = len(self.known)
+        at = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[nth]
+        single = np.zeros(len(self.known), dtype=bool)
+        single[at] = are_units
+        self.learn(list(islice(self.known, before, None)), single[before:].tolist())
+        flat, sizes = gathered(self.flat, self.starts, at)
+        return flat, np.diff(np.concatenate([[0], np.cumsum(sizes)])[word_parts])
+
+    def learn(self, parts: list[str], are_units: list[bool]) -> None:
+        """Ids of parts not met before: units are merged one by one, others are told apart by offsets."""
+        if not parts:
+            return
+        flat, counts, spelled = [], [], self.characters.spelled
+        for part in compress(parts, are_units):
+            merged = self.merges.tokenize(part if part.isascii() else part.translate(spelled))
+            flat += [token.id for token in merged]
+            counts.append(len(merged))
+        ids, sizes = [np.array(flat, dtype=ID)], [np.array(counts, dtype=np.int64)]
+        for group in grouped([part for part, is_unit in zip(parts, are_units, strict=True) if not is_unit]):
+            coded = self.library.encode(" ".join(group), add_special_tokens=False)
+            borders = np.cumsum([len(part) + 1 for part in group])
+            first = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            ids.append(np.array(coded.ids, dtype=ID))
+            sizes.append(np.bincount(np.searchsorted(borders, first, side="right"), minlength=len(group)))
+        order = np.argsort(~np.array(are_units), kind="stable")
+        ids, starts = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        ids, sizes = gathered(ids, starts, np.argsort(order))
+        self.flat = np.concatenate([self.flat, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+
+def cut_words(words: pa.LargeStringArray, characters: Characters) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+    """Parts of words without blanks, whether each is one unit, and the number of parts before each word."""
+    sizes = pc.utf8_length(words).to_numpy()
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    starts, ends, size = bounds[:-1], bounds[1:], int(bounds[-1])
+    codes = np.frombuffer("".join(words.to_numpy(zero_copy_only=False)).encode("utf-32-le"), dtype=CODE)
+    kinds = characters.of(codes)
+    folded = characters.folded[codes]
+    first = np.zeros(size + 1, dtype=bool)
+    first[bounds] = True
+
+    # Units: runs of one kind, single digits, and an apostrophe with certain letters.
+    cut = first.copy()
+    cut[1:size] |= (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)
+    at, units = apostrophe_units(folded, kinds, first, ends)
+    cut[at + 1] = False
+    cut[at + units] = True
+
+    # Words with other characters are one part, but for a tail of marks after a letter.
+    special = np.zeros(size, dtype=bool)
+    special[:-1] = (codes[:-1] == ord(SPECIAL_START[0])) & (codes[1:] == ord(SPECIAL_START[1]))
+    special_words, other_words = (
+        np.diff(np.concatenate([[0], np.cumsum(found)])[bounds]) > 0 for found in (special, special | (kinds == OTHER))
+    )
+    in_other = np.repeat(other_words, sizes)
+    cut[:size] = np.where(in_other, first[:size], cut[:size])
+    with_tail = np.flatnonzero(other_words & ~special_words)
+    before = np.maximum.accumulate(np.where(kinds == MARK, -1, np.arange(size)))[ends[with_tail] - 1]
+    tails = before[(before >= starts[with_tail]) & (before + 1 < ends[with_tail]) & (kinds[before] == LETTER)] + 1
+    cut[tails] = True
+
+    part_starts = np.flatnonzero(cut[:size])
+    part_ends = np.append(part_starts[1:], size)[: len(part_starts)]
+    are_units = ~in_other[part_starts]
+    are_units[np.searchsorted(part_starts, tails)] = True
+    codes = np.where(np.repeat(are_units, part_ends - part_starts), folded, codes)
+    return strings(codes, np.append(part_starts, size)), are_units, np.concatenate([[0], np.cumsum(cut[:size])])[bounds]
+
+
+def strings(codes: np.ndarray, bounds: np.ndarray) -> pa.LargeStringArray:
+    """The runs of characters between bounds."""
+    widths = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes > LAST_BASIC)
+    offsets = np.concatenate([[0], np.cumsum(widths)])[bounds]
+    data = codes.tobytes().decode("utf-32-le").encode()
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def apostrophe_units(folded: np.ndarray, kinds: np.ndarray, first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where an apostrophe that no mark of its word precedes begins a unit with letters, and the unit's length."""
+    after_mark = np.zeros(len(kinds), dtype=bool)
+    after_mark[1:] = (kinds[:-1] == MARK) & ~first[1:-1]
+    at = np.flatnonzero((folded == ord("'")) & ~after_mark)
+    room = ends[np.searchsorted(ends, at, side="right")] - at
+    padded = np.concatenate([folded, np.zeros(2, dtype=CODE)])
+    lengths = np.ones(len(at), dtype=np.int64)
+    for letters in APOSTROPHE_UNITS:
+        same = room > len(letters)
+        for nth, letter in enumerate(letters, 1):
+            same &= padded[at + nth] == ord(letter)
+        lengths[same] = len(letters) + 1
+    return at[lengths > 1], lengths[lengths > 1]
+
+
+def grouped(parts: list[str]) -> Iterator[list[str]]:
     group, chars = [], 0
-    for at, part in parts:
-        group.append((at, part))
+    for part in parts:
+        group.append(part)
         chars += len(part) + 1
         if chars >= TEXT_CHARS:
             yield group

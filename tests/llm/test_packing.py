@@ -59,6 +59,47 @@ def test_ids_of_words(library):
         assert ids.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+def test_known_characters_need_merges_only(library):
+    import pyarrow as pa
+
+    class Merges:
+        """The library without its way from a text to ids."""
+
+        def encode(self, *args, **settings):
+            raise AssertionError("a text of known characters went through the whole library")
+
+    texts = ["It's 24 o'clock: don't 'quote' (a_b)...\nWE'RE ''s '", "L'été, où ÇA?", "Слово, ΣΊΣΥΦΟΣ; 漢字。かな", "x²½ Ⓐ“q” – Ⅷ"]
+    words = packing.Words(open(packing.vocabulary(), "rb").read())
+    words.library = Merges()
+    for text, ids in zip(texts, words.encoded(pa.array(texts), 1), strict=True):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_ids_of_characters_beside_others(library):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    marks = [chr(i) for i in range(0x300, 0x370)]
+    some = [chr(i) for i in (*range(1, 0x600), *range(0x1100, 0x1200), *range(0x1E00, 0x2500), *range(0x3000, 0x3100), *range(0xAC00, 0xAC40))]
+    often = [*"aeJHTwyIK'’.<| \n\t", "'s", "'LL", "'re", "<|endoftext|>", "<|EndOfText|>", "😀", "𝐀", "\U00016d67"] * 60
+    texts = [c + "'s" + c + "a" + c + "! '" + c for c in some + marks]
+    texts += ["".join(rng.choice(some + marks * 3 + often) for _ in range(rng.randint(1, 25))) for _ in range(5000)]
+    got = packing.Words(open(packing.vocabulary(), "rb").read()).encoded(pa.array(texts), 1)
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_ids_are_forgotten_between_blocks(library, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    monkeypatch.setattr(packing, "BLOCK_WORDS", 2, raising=False)
+    words = packing.Words(open(packing.vocabulary(), "rb").read())
+    for texts in (["one two", "e\u0301te\u0301 three."], ["three two", None, "four, e\u0301te\u0301"], [], [""]):
+        got = words.encoded(pa.array(texts, pa.string()), 1)
+        assert [ids.tolist() for ids in got] == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_small_windows(spark, library):
     rng = random.Random(8)
     rows = [(None, None, 1), (1, "", 2), (2, "a b c", 3), (3, "word " * 500, 4)]
